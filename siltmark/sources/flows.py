@@ -19,7 +19,7 @@ def read_flows(spark: SparkSession, path: str, schema: T.StructType, fmt: str |
     ``NaN`` parse as such, and a line that does not fit the schema goes to ``bad`` with its
     text. Bad rows are split off by a filter on the same scan.
     """
-    kind = fmt or ("csv" if path.rstrip("/").endswith((".csv", ".csv.gz", "csv")) else "parquet")
+    kind = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     if kind == "parquet":
         rows = spark.read.schema(schema).parquet(path)
         return rows, rows.select(F.lit("").alias(CORRUPT)).where(F.lit(False))
@@ -35,12 +35,14 @@ def read_flows(spark: SparkSession, path: str, schema: T.StructType, fmt: str |
         .option("positiveInf", "Infinity")
         .option("negativeInf", "-Infinity")
         .option("nanValue", "NaN")
-        # Pruned fields are not parsed, so a bad line would pass when its bad field is unused.
-        .option("columnPruning", False)
         .csv(path)
     )
-    ok = F.col(CORRUPT).isNull()
-    return raw.where(ok).drop(CORRUPT), raw.where(~ok).select(*[f.name for f in schema.fields], CORRUPT)
+    # The scan parses only the columns a query asks for, and a line whose bad field is not
+    # parsed would pass. Hashing every field in both filters keeps them all requested, so
+    # which rows are bad does not depend on what is selected later.
+    parsed = F.xxhash64(*[F.col(f.name) for f in schema.fields]) >= F.lit(-(2**63))
+    bad = F.col(CORRUPT).isNotNull()
+    return raw.where(parsed & ~bad).drop(CORRUPT), raw.where(parsed & bad).select(*[f.name for f in schema.fields], CORRUPT)
 
 
 def trim_headers(df: DataFrame) -> DataFrame:

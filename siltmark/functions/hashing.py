@@ -6,10 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def seed_key(salt: str, seed: int, row_id: str | Column) -> Column:
+def seed_key(salt: str, seed: int, row_id: str) -> Column:
     """32 hex digits, uniform over rows and independent of partitioning or order."""
-    rid = F.col(row_id) if isinstance(row_id, str) else row_id
-    return F.md5(F.concat_ws(":", F.lit(salt), F.lit(str(seed)), rid.cast("string")))
+    return F.expr(f"md5(concat_ws(':', '{salt}', '{seed}', cast(`{row_id}` as string)))")
 
 
 def hex_to_int(key: Column, digits: int = 8, start: int = 1) -> Column:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmark.functions.sizing import small_side
+from siltmark.functions.sizing import local_side, small_side, small_table
 
 STATE_ROWS = 2_000_000
 SKETCH_ACCURACY = 20_000
@@ -36,9 +36,11 @@ def exact_quantiles(
     col = F.col(value) if isinstance(value, str) else value
     vals = df.select(*group, col.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     counts = vals.groupBy(*group).agg(F.count("*").alias("n_rows"))
-    sized = small_side(counts.where(F.col("n_rows") > 0))
-    largest = sized.agg(F.max("n_rows")).head()[0]
-    if largest is None or largest <= state_rows:
+    counts = counts.where("n_rows > 0")
+    table = small_table(counts)
+    sized = local_side(counts, table)
+    largest = sized.agg(F.max("n_rows")).head()[0] if table is None else max(table["n_rows"].to_pylist(), default=0)
+    if largest <= state_rows:
         return _direct(vals, probs, group)
     return _bracketed(vals, sized, probs, group, state_rows, accuracy)
 

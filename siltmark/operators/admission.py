@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltmark.functions.quantiles import exact_quantiles
 from siltmark.functions.sizing import bounded_rows
 from siltmark.operators.classifier import PrototypeClassifier
-from siltmark.operators.novelty import class_radii, detect_far
+from siltmark.operators.novelty import detect_far, distance_quantiles, own_distances
 from siltmark.operators.prepare import Scaler
 from siltmark.operators.tasks import REPLAY_CAP, replay_buffer
 
@@ -39,8 +39,9 @@ class Defence:
 
     @classmethod
     def fit(cls, model: PrototypeClassifier, trusted: DataFrame, policy: Policy) -> Defence:
-        limits = distance_limits(trusted, model, policy.distance_k) if policy.distance_k is not None else {}
-        radii = class_radii(trusted, model, policy.radius_quantile)
+        found = distance_quantiles(trusted, model, [0.5, policy.radius_quantile])
+        radii = found[policy.radius_quantile]
+        limits = distance_limits(trusted, model, policy.distance_k, found[0.5]) if policy.distance_k is not None else {}
         scaler = Scaler.fit(trusted, model.features) if policy.max_anomaly is not None else None
         return cls(model, policy, limits, radii, scaler)
 
@@ -50,15 +51,21 @@ def confidence_signal(df: DataFrame, model: PrototypeClassifier) -> DataFrame:
     return df.withColumn("claimed_prob", model.claimed("probs"))
 
 
-def distance_limits(trusted: DataFrame, model: PrototypeClassifier, k: float) -> dict[int, float]:
+def distance_limits(trusted: DataFrame, model: PrototypeClassifier, k: float, medians: dict | None = None) -> dict[int, float]:
     """Per class median + k * 1.4826 * MAD of the distance of trusted rows to their prototype."""
+    medians = medians or distance_quantiles(trusted, model, [0.5])[0.5]
+    return _limits(medians, deviations(trusted, model, medians), k)
+
+
+def deviations(trusted: DataFrame, model: PrototypeClassifier, medians: dict[int, float]) -> dict[int, float]:
+    """Per class the median absolute deviation of the distance of trusted rows."""
     label = model.label
-    own = trusted.withColumn("d2", model.distances()).select(label, F.sqrt(model.claimed("d2")).alias("_d"))
-    n = len(model.class_ids) + 1
-    medians = {r[label]: r["quantile"] for r in bounded_rows(exact_quantiles(own, "_d", [0.5], [label]), n, "medians")}
-    centre = per_class_value(medians, F.col(label))
-    off = own.select(label, F.abs(F.col("_d") - centre).alias("_o"))
-    mads = {r[label]: r["quantile"] for r in bounded_rows(exact_quantiles(off, "_o", [0.5], [label]), n, "deviations")}
+    off = own_distances(trusted, model).select(label, F.abs(F.col("_d") - per_class_value(medians, F.col(label))).alias("_o"))
+    rows = bounded_rows(exact_quantiles(off, "_o", [0.5], [label]), len(model.class_ids) + 1, "deviations")
+    return {r[label]: r["quantile"] for r in rows}
+
+
+def _limits(medians: dict, mads: dict, k: float) -> dict[int, float]:
     return {c: medians[c] + k * MAD_SCALE * mads[c] for c in medians if c in mads}
 
 
@@ -126,6 +133,31 @@ def admit(df: DataFrame, defence: Defence) -> DataFrame:
     return decide(signals(df, defence), defence.policy, defence.model)
 
 
+def admit_each(df: DataFrame, model: PrototypeClassifier, trusted: DataFrame, policies: dict[str, Policy]) -> DataFrame:
+    """``df``'s columns plus ``setting, decision, reason``: every policy on the same rows.
+
+    The trusted statistics are fitted once for all policies and the candidates are scored in
+    one scan; each row is then judged by every policy where it lies.
+    """
+    wanted = [p.radius_quantile for p in policies.values()]
+    found = distance_quantiles(trusted, model, [0.5, *wanted])
+    needs_mad = any(p.distance_k is not None for p in policies.values())
+    mads = deviations(trusted, model, found[0.5]) if needs_mad else {}
+    needs_z = any(p.max_anomaly is not None for p in policies.values())
+    scaler = Scaler.fit(trusted, model.features) if needs_z else None
+    scored, cells = label_consistency(confidence_signal(model.predict(df), model), model), []
+    if scaler is not None:
+        scored = anomaly_score(scored, scaler)
+    for i, (name, policy) in enumerate(policies.items()):
+        judged = detect_far(scored, model, found[policy.radius_quantile])
+        if policy.distance_k is not None:
+            judged = robust_distance(judged, model, _limits(found[0.5], mads, policy.distance_k))
+        judged = decide(judged, policy, model)
+        scored = judged.withColumnsRenamed({"decision": f"_d{i}", "reason": f"_r{i}"})
+        cells.append(F.struct(F.lit(name).alias("setting"), F.col(f"_d{i}").alias("decision"), F.col(f"_r{i}").alias("reason")))
+    return scored.select(*df.columns, F.inline(F.array(*cells)))
+
+
 def secure_replay(df: DataFrame, defence: Defence, cap: int = REPLAY_CAP, seed: int = 0, row_id: str = "row_id") -> DataFrame:
     """Class-balanced buffer built from admitted rows only."""
     admitted = admit(df, defence).where(F.col("decision") == "admit").select(*df.columns)

@@ -49,13 +49,24 @@ def threshold_sweep(df: DataFrame, thresholds: list[float], is_novel: str = "is_
     )
 
 
+def own_distances(rows: DataFrame, model: PrototypeClassifier) -> DataFrame:
+    """``label, _d``: distance of every row to the prototype of its own class."""
+    return rows.withColumn("d2", model.distances()).select(model.label, F.sqrt(model.claimed("d2")).alias("_d"))
+
+
+def distance_quantiles(rows: DataFrame, model: PrototypeClassifier, probs: list[float]) -> dict[float, dict[int, float]]:
+    """Per prob and class the quantile of the distance of its rows to its prototype."""
+    wanted = sorted(set(probs))
+    table = exact_quantiles(own_distances(rows, model), "_d", wanted, [model.label])
+    found: dict[float, dict[int, float]] = {p: {} for p in wanted}
+    for r in bounded_rows(table, (len(model.class_ids) + 1) * len(wanted), "distance quantiles"):
+        found[r["prob"]][r[model.label]] = r["quantile"]
+    return found
+
+
 def class_radii(train: DataFrame, model: PrototypeClassifier, q: float) -> dict[int, float]:
     """Per class the ``q`` quantile of the distance of its training rows to its prototype."""
-    own = train.withColumn("d2", model.distances()).select(
-        model.label, F.sqrt(model.claimed("d2")).alias("_d")
-    )
-    rows = bounded_rows(exact_quantiles(own, "_d", [q], [model.label]), len(model.class_ids) + 1, "radii")
-    return {r[model.label]: r["quantile"] for r in rows}
+    return distance_quantiles(train, model, [q])[q]
 
 
 def detect_far(df: DataFrame, model: PrototypeClassifier, radii: dict[int, float]) -> DataFrame:

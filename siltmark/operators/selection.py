@@ -44,18 +44,17 @@ def lowest_cuts(
     wanted = F.array(
         *[F.struct(F.lit(n).alias("quota"), q(F.col("n_rows")).cast("bigint").alias("k")) for n, q in quotas.items()]
     )
-    spread = F.lit(slack) * F.sqrt(F.col("k").cast("double")) + F.lit(slack)
+    spread = f"({slack} * sqrt(cast(k as double)) + {slack})"
     sizes = (
         keyed.groupBy(*group)
         .agg(F.count("*").alias("n_rows"))
-        .select(*group, "n_rows", F.explode(wanted).alias("_w"))
-        .select(*group, "n_rows", "_w.quota", F.greatest(F.lit(0), F.least("_w.k", "n_rows")).alias("k"))
-        .withColumn("_lo", _key_at((F.col("k") - spread) / F.col("n_rows"), low=True))
-        .withColumn("_hi", _key_at((F.col("k") + spread) / F.col("n_rows"), low=False))
+        .select(*group, "n_rows", F.inline(wanted))
+        .withColumn("k", F.expr("greatest(0L, least(k, n_rows))"))
+        .withColumns({"_lo": _key_at(f"((k - {spread}) / n_rows)", "''", ""), "_hi": _key_at(f"((k + {spread}) / n_rows)", "", f"'{KEY_END}'")})
     )
     table = small_table(sizes)
     sizes = local_side(sizes, table)
-    is_open = (F.col("k") > 0) & (F.col("k") < F.col("n_rows"))
+    is_open = F.expr("k > 0 and k < n_rows")
     n_open = sizes.where(is_open).count() if table is None else sum(
         0 < k < n for k, n in zip(table["k"].to_pylist(), table["n_rows"].to_pylist())
     )
@@ -65,36 +64,24 @@ def lowest_cuts(
         "n_rows",
         "quota",
         "k",
-        F.when(F.col("k") == 0, None).when(F.col("k") == F.col("n_rows"), F.lit(KEY_END)).otherwise(F.col("_cut_h")).alias("h"),
-        F.when((F.col("k") > 0) & (F.col("k") < F.col("n_rows")), F.col("_cut_id")).alias("id"),
+        F.expr(f"case when k = 0 then null when k = n_rows then '{KEY_END}' else _cut_h end as h"),
+        F.expr("case when k > 0 and k < n_rows then _cut_id end as id"),
     )
     wide = full.groupBy(*group, "n_rows").agg(
-        *[
-            F.max(F.when(F.col("quota") == n, F.col(c))).alias(f"{c}_{n}")
-            for n in quotas
-            for c in ("k", "h", "id")
-        ]
+        *[F.expr(f"max(case when quota = '{n}' then {c} end) as {c}_{n}") for n in quotas for c in ("k", "h", "id")]
     )
     return small_side(wide)
 
 
 def matches(keys: list[str], prefix: str) -> Column:
     """Null-safe equality of each key with its prefixed copy on the other side of a join."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
-    return cond
+    return F.expr(" and ".join(f"`{k}` <=> `{prefix}{k}`" for k in keys))
 
 
 def _resolve(keyed: DataFrame, sizes: DataFrame, n_open: int, group: list[str], whole: bool = False) -> DataFrame:
     """The k-th key of every (group, quota) with 0 < k < n, from the rows in its bracket."""
-    open_cuts = sizes.select(
-        *[F.col(c).alias(f"_b_{c}") for c in group],
-        "quota",
-        "k",
-        (F.lit("") if whole else F.col("_lo")).alias("_lo"),
-        (F.lit(KEY_END) if whole else F.col("_hi")).alias("_hi"),
-    )
+    span = ("'' as _lo", f"'{KEY_END}' as _hi") if whole else ("_lo", "_hi")
+    open_cuts = sizes.selectExpr(*[f"`{c}` as `_b_{c}`" for c in group], "quota", "k", *span)
     if group:
         paired = keyed.join(open_cuts, matches(group, "_b_"))
     else:
@@ -105,10 +92,10 @@ def _resolve(keyed: DataFrame, sizes: DataFrame, n_open: int, group: list[str],
             "_id", "_h", *[F.col(f"_b.{f}").alias(f) for f in fields]
         )
     # Rows below a bracket collapse to one counted row per task before the shuffle.
-    inside = F.col("_h") >= F.col("_lo")
+    kept = [f"case when _h >= _lo then {c} end as {c}" for c in ("_h", "_id")]
     counted = (
-        paired.where(F.col("_h") < F.col("_hi"))
-        .select(*group, "quota", "k", F.when(inside, F.col("_h")).alias("_h"), F.when(inside, F.col("_id")).alias("_id"))
+        paired.where("_h < _hi")
+        .select(*group, "quota", "k", *[F.expr(c) for c in kept])
         .groupBy(*group, "quota", "k", "_h", "_id")
         .agg(F.count("*").alias("_c"))
     )
@@ -119,13 +106,8 @@ def _resolve(keyed: DataFrame, sizes: DataFrame, n_open: int, group: list[str],
     )
     cut = (
         counted.withColumn("_end", F.sum("_c").over(w))
-        .where(F.col("_h").isNotNull() & (F.col("_end") >= F.col("k")) & (F.col("_end") - F.col("_c") < F.col("k")))
-        .select(
-            *[F.col(c).alias(f"_f_{c}") for c in group],
-            F.col("quota").alias("_f_quota"),
-            F.col("_h").alias("_cut_h"),
-            F.col("_id").alias("_cut_id"),
-        )
+        .where("_h is not null and _end >= k and _end - _c < k")
+        .selectExpr(*[f"`{c}` as `_f_{c}`" for c in group], "quota as _f_quota", "_h as _cut_h", "_id as _cut_id")
     )
     table = small_table(cut)
     n_found = cut.count() if table is None else table.num_rows
@@ -135,11 +117,12 @@ def _resolve(keyed: DataFrame, sizes: DataFrame, n_open: int, group: list[str],
     return local_side(cut, table)
 
 
-def _key_at(fraction: Column, low: bool) -> Column:
-    digits = F.lpad(F.lower(F.hex(F.floor(fraction * F.lit(FRACTION_SCALE)).cast("bigint"))), FRACTION_DIGITS, "0")
-    if low:
-        return F.when(fraction <= 0, F.lit("")).otherwise(digits)
-    return F.when(fraction >= 1, F.lit(KEY_END)).otherwise(digits)
+def _key_at(fraction: str, start: str, end: str) -> Column:
+    """Hex key at a fraction of the range; ``start``/``end`` stand for its open ends."""
+    digits = f"lpad(lower(hex(cast(floor({fraction} * {FRACTION_SCALE}D) as bigint))), {FRACTION_DIGITS}, '0')"
+    if start:
+        return F.expr(f"case when {fraction} <= 0 then {start} else {digits} end")
+    return F.expr(f"case when {fraction} >= 1 then {end} else {digits} end")
 
 
 def mark_lowest(
@@ -154,22 +137,17 @@ def mark_lowest(
 ) -> DataFrame:
     """Add boolean ``<prefix><name>`` per quota; rows of groups without a cut get FALSE."""
     group = list(group or [])
-    key = seed_key(salt, seed, row_id)
-    rid = F.col(row_id)
+    key = f"struct(md5(concat_ws(':', '{salt}', '{seed}', cast(`{row_id}` as string))) as h, `{row_id}` as i)"
+    # Struct order is field by field with NULL first, so a missing cut selects nothing.
     if not group:
-        row = cuts.head()
-        flags = {n: _at_or_below(key, rid, F.lit(row[f"h_{n}"]).cast("string"), F.lit(row[f"id_{n}"]).cast(df.schema[row_id].dataType)) if row else F.lit(False) for n in names}
-        return df.withColumns({f"{prefix}{n}": c for n, c in flags.items()})
+        row, kind = cuts.head(), df.schema[row_id].dataType
+        at = lambda n: F.struct(F.lit(row[f"h_{n}"]).cast("string").alias("h"), F.lit(row[f"id_{n}"]).cast(kind).alias("i"))
+        return df.withColumns({f"{prefix}{n}": F.expr(key) <= at(n) if row else F.lit(False) for n in names})
     fields = [f"{c}_{n}" for n in names for c in ("h", "id")]
-    right = cuts.select(*[F.col(c).alias(f"_g_{c}") for c in group], *fields)
+    right = cuts.selectExpr(*[f"`{c}` as `_g_{c}`" for c in group], *fields)
     joined = df.join(right, matches(group, "_g_"), "left")
-    flags = {f"{prefix}{n}": _at_or_below(key, rid, F.col(f"h_{n}"), F.col(f"id_{n}")) for n in names}
-    return joined.withColumns(flags).drop(*[f"_g_{c}" for c in group], *fields)
-
-
-def _at_or_below(key: Column, rid: Column, h: Column, i: Column) -> Column:
-    # Struct order is field by field with NULL first, so a missing cut selects nothing.
-    return F.struct(key.alias("h"), rid.alias("i")) <= F.struct(h.alias("h"), i.alias("i"))
+    flags = [F.expr(f"{key} <= struct(h_{n} as h, id_{n} as i) as `{prefix}{n}`") for n in names]
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *flags)
 
 
 def select_lowest(

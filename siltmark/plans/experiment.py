@@ -16,7 +16,7 @@ from siltmark.operators.corruption import conditions
 from siltmark.operators.evaluate import compare_conditions, confusion, metrics_of, novelty_metrics, per_class, to_long
 from siltmark.operators.novelty import UNKNOWN, detect_unknown, label_unknown
 from siltmark.operators.split import split
-from siltmark.operators.tasks import REPLAY_CAP, STRATEGIES, make_tasks, task_classes_df, task_manifest, training_set
+from siltmark.operators.tasks import REPLAY_CAP, STRATEGIES, make_tasks, replay_buffer, task_classes_df, task_manifest, training_set
 from siltmark.sources.tables import write_conditions, write_manifest
 
 MATRIX = "strategy string, after_task int, eval_task int, score double, n_rows bigint"
@@ -50,9 +50,34 @@ def run_tasks(
     return spark.createDataFrame(cells, MATRIX)
 
 
-def run_both(tasked: DataFrame, tasks: list[int], **kwargs) -> DataFrame:
-    parts = [run_tasks(tasked, tasks, s, **kwargs) for s in STRATEGIES]
-    return parts[0].unionByName(parts[1])
+def run_both(
+    tasked: DataFrame, tasks: list[int], tau: float = 1.0, cap: int = REPLAY_CAP, seed: int = 0, features="features", label: str = "label"
+) -> DataFrame:
+    """``run_tasks`` for prototypes under both strategies, in four scans for any number of tasks.
+
+    Class sums are additive and tasks share no class: the sums of every task's own rows and
+    of its buffered rows are enough to put together each model, and one scan of the test
+    rows scores them all.
+    """
+    train, test = tasked.where(F.col("split") == "train"), tasked.where(F.col("split") == "test")
+    current = fit_many(train, "task_id", features, label, tau)
+    past = fit_many(replay_buffer(train, cap, seed, label=label), "task_id", features, label, tau)
+    scored, cells = test, []
+    for i, (strategy, task) in enumerate((s, t) for s in STRATEGIES for t in tasks):
+        model = current[task]
+        for earlier in tasks[: tasks.index(task)] if strategy == "replay" else []:
+            model = model.merge(past[earlier])
+        scored = model.predict(scored).withColumnRenamed("pred", f"_pred_{i}").drop("d2", "probs", "max_prob", "pred_d2")
+        hit = (F.col(f"_pred_{i}") == F.col(label)).cast("double")
+        cells.append(F.struct(F.lit(strategy).alias("strategy"), F.lit(int(task)).alias("after_task"), hit.alias("hit")))
+    order = F.array(*[F.lit(int(t)) for t in tasks])
+    seen = F.array_position(order, F.col("task_id")) <= F.array_position(order, F.col("after_task"))
+    return small_side(
+        scored.select("task_id", F.inline(F.array(*cells)))
+        .where(seen)
+        .groupBy("strategy", "after_task", F.col("task_id").alias("eval_task"))
+        .agg(F.avg("hit").alias("score"), F.count("*").alias("n_rows"))
+    )
 
 
 @dataclass
@@ -118,10 +143,9 @@ def run(rows: DataFrame, p: Params, features="features", label: str = "label") -
     spark = rows.sparkSession
     sided = split(rows, p.seed)
     tasked, _ = make_tasks(sided, task_classes_df(spark, p.tasks), label)
-    make = lambda: PrototypeClassifier(features, label, p.tau)
-    matrix = run_both(tasked, sorted(p.tasks), make_model=make, cap=p.replay_cap, seed=p.seed, label=label)
+    matrix = run_both(tasked, sorted(p.tasks), p.tau, p.replay_cap, p.seed, features, label)
     metrics = run_conditions(rows, p, features, label)
-    model = make().fit(tasked.where(F.col("split") == "train"))
+    model = PrototypeClassifier(features, label, p.tau).fit(tasked.where(F.col("split") == "train"))
     cm = confusion(model.predict(tasked.where(F.col("split") == "test")), label)
     tables = {
         "task_manifest": task_manifest(tasked, p.seed, label),

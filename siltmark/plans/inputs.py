@@ -9,6 +9,7 @@ from siltmark.functions.hashing import content_key
 
 SEED = 11
 TAU = 0.05
+SPLIT_BYTES = 128 * 1024 * 1024
 TASKS = {1: [0, 1, 2, 3], 2: [4, 5], 3: [6, 7]}
 TWO_TASKS = {1: [0, 1, 2, 3, 4], 2: [5, 6, 7]}
 FLOW_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -22,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a table with less than one scan split of data per core.
+
+    Such a table is often one file with one row group, which a single task would read and
+    hash. A larger one has splits enough and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("row_id"), F.col("embedding").alias("features"), F.col("label")
@@ -30,7 +42,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as numeric flows with a content id; whole rows are unique."""
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         content_key(LINE_COLUMNS).alias("row_id"), *FLOW_FEATURES, F.col("l_returnflag").alias("label"), "l_orderkey", "l_partkey", "l_suppkey"
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
 from siltmark.operators.admission import (
-    Defence, Policy, admit, anomaly_score, audit_buffer, confidence_signal, distance_limits, label_consistency,
+    Defence, Policy, admit, admit_each, anomaly_score, audit_buffer, confidence_signal, distance_limits, label_consistency,
     robust_distance, secure_replay,
 )
 from siltmark.operators.classifier import PrototypeClassifier
@@ -304,7 +304,7 @@ def q_asr(spark, d):
 
 # Admission: trusted rows are the validation side, candidates the flipped training side
 
-POLICY = Policy(min_confidence=0.1017, distance_k=1.0, max_anomaly=None, radius_quantile=0.5)
+POLICY = Policy(min_confidence=0.1817, distance_k=1.0, max_anomaly=None, radius_quantile=0.9)
 ADMIT_TAU = 0.2
 SQL_ADMIT = (
     f"{SQL_FLIP_EMB}, cand AS (SELECT row_id, f, label AS truth, claimed, is_poisoned FROM flipped), trusted AS (SELECT * FROM sided WHERE split = 'test' AND label < 8), "
@@ -312,23 +312,28 @@ SQL_ADMIT = (
     "own AS (SELECT t.label, list_distance(t.f, p.c) AS dist FROM trusted t JOIN proto p ON t.label = p.class_id), "
     "med AS (SELECT label, quantile_cont(dist, 0.5) AS m FROM own GROUP BY label), "
     "lim AS (SELECT label, any_value(m) + 1.0 * 1.4826 * quantile_cont(abs(dist - m), 0.5) AS lim FROM own JOIN med USING (label) GROUP BY label), "
-    "rad AS (SELECT label, quantile_cont(dist, 0.5) AS radius FROM own GROUP BY label), "
+    f"rad AS (SELECT label, quantile_cont(dist, {POLICY.radius_quantile}) AS radius FROM own GROUP BY label), "
     "far AS (SELECT s.row_id, min(sqrt(s.d2) - r.radius) > 0 AS far_all, sqrt(min(s.d2)) AS nearest_dist FROM sc s JOIN rad r ON s.class_id = r.label GROUP BY s.row_id), "
     "sig AS (SELECT b.row_id, b.truth, b.claimed, b.is_poisoned, b.pred, c.prob AS claimed_prob, sqrt(c.d2) AS claimed_dist, l.lim AS dist_limit, "
     "coalesce(sqrt(c.d2) <= l.lim, false) AS dist_ok, b.pred = b.claimed AS label_ok, far_all, nearest_dist "
     "FROM sc_best b JOIN far USING (row_id) LEFT JOIN sc c ON c.row_id = b.row_id AND c.class_id = b.claimed LEFT JOIN lim l ON l.label = b.claimed), "
     "adm AS (SELECT *, CASE WHEN claimed NOT IN (SELECT class_id FROM proto) THEN 'unknown_class' WHEN far_all THEN 'far' WHEN NOT label_ok THEN 'label_mismatch' "
-    "WHEN claimed_prob < 0.1017 THEN 'low_confidence' WHEN NOT dist_ok THEN 'distance' ELSE 'ok' END AS reason FROM sig), "
+    f"WHEN claimed_prob < {POLICY.min_confidence} THEN 'low_confidence' WHEN NOT dist_ok THEN 'distance' ELSE 'ok' END AS reason FROM sig), "
     "dec AS (SELECT *, CASE WHEN reason = 'ok' THEN 'admit' WHEN reason IN ('unknown_class', 'far') THEN 'quarantine' ELSE 'reject' END AS decision FROM adm)"
 )
 
 
-def admission_parts(spark, d, policy=POLICY):
-    """Candidates with their claimed label in ``label``, and a defence fitted on trusted rows."""
+def admission_inputs(spark, d):
+    """Candidates with their claimed label in ``label``, trusted rows and a model of them."""
     trusted = test_of(sided(spark, d)).where(F.col("label").isin(KNOWN))
     model = PrototypeClassifier(tau=ADMIT_TAU).fit(trusted)
     data = flipped_train(spark, d).data
     cand = data.select("row_id", "features", F.col("label").alias("truth"), F.col("label_poisoned").alias("label"), "is_poisoned")
+    return cand, trusted, model
+
+
+def admission_parts(spark, d, policy=POLICY):
+    cand, trusted, model = admission_inputs(spark, d)
     return cand, Defence.fit(model, trusted, policy)
 
 
@@ -398,7 +403,7 @@ def q_quarantine(spark, d):
     return spark.read.parquet(path).select("row_id", "claimed", "reason", "arrived_task")
 
 
-_SUPPORT, _SPREAD = 5, 1.02
+_SUPPORT, _SPREAD = 10, 1.0
 SQL_RELEASE = (
     f"{SQL_ADMIT}, held AS (SELECT * FROM dec WHERE decision = 'quarantine'), "
     f"ready AS (SELECT claimed FROM held GROUP BY claimed HAVING count(*) >= {_SUPPORT} AND avg(nearest_dist) <= {_SPREAD}), "
@@ -457,14 +462,14 @@ def q_security(spark, d):
 
 SETTINGS = {
     "none": Policy(None, None, None, 1.0),
-    "confidence": Policy(0.1017, None, None, 0.5),
-    "distance": Policy(None, 1.0, None, 0.5),
+    "confidence": Policy(0.1817, None, None, 0.9),
+    "distance": Policy(None, 1.0, None, 0.9),
     "both": POLICY,
 }
 
 
 def _sql_setting(name: str, p: Policy) -> str:
-    radius = "(SELECT label, " + ("max(dist)" if p.radius_quantile == 1.0 else "quantile_cont(dist, 0.5)") + " AS radius FROM own GROUP BY label)"
+    radius = f"(SELECT label, quantile_cont(dist, {p.radius_quantile}) AS radius FROM own GROUP BY label)"
     conf = f"WHEN claimed_prob < {p.min_confidence} THEN 'reject'" if p.min_confidence is not None else ""
     dist = "WHEN NOT dist_ok THEN 'reject'" if p.distance_k is not None else ""
     return (
@@ -480,11 +485,8 @@ def _sql_setting(name: str, p: Policy) -> str:
     + f"), n AS (SELECT setting, {SQL_SECURITY} FROM st GROUP BY setting) SELECT setting, {SQL_SECURITY_RATES} FROM n",
 )
 def q_tradeoff(spark, d):
-    parts = None
-    for name, policy in SETTINGS.items():
-        one = decisions(spark, d, policy).select(F.lit(name).alias("setting"), "row_id", "is_poisoned", "decision")
-        parts = one if parts is None else parts.unionByName(one)
-    long = to_long(security_metrics(parts, by=["setting"]), ["setting"], SECURITY)
+    cand, trusted, model = admission_inputs(spark, d)
+    long = to_long(security_metrics(admit_each(cand, model, trusted, SETTINGS), by=["setting"]), ["setting"], SECURITY)
     return rounded(tradeoff(long, SECURITY), *SECURITY)
 
 

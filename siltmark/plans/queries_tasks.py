@@ -114,7 +114,7 @@ SQL_MATRIX = (
 
 def matrix(spark, d):
     rows, _ = tasked(spark, d)
-    return run_both(rows, sorted(TASKS), make_model=lambda: PrototypeClassifier(tau=TAU), cap=20, seed=SEED)
+    return run_both(rows, sorted(TASKS), TAU, 20, SEED)
 
 
 @query("q_task_matrix", f"WITH {SQL_MATRIX} SELECT strategy, after_task, eval_task, round(score, 6) AS score, n_rows FROM matrix")

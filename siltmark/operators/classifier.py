@@ -71,7 +71,7 @@ class PrototypeClassifier:
         at = F.array_position(F.col("probs"), F.col("max_prob")).cast("int")
         scored = scored.withColumn("_at", F.when(at > 0, at))
         return scored.withColumns(
-            {"pred": F.element_at(self.ids_column(), F.col("_at")), "pred_d2": F.element_at("d2", F.col("_at"))}
+            {"pred": F.try_element_at(self.ids_column(), F.col("_at")), "pred_d2": F.try_element_at(F.col("d2"), F.col("_at"))}
         ).drop("_at")
 
     def ids_column(self) -> Column:

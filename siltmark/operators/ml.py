@@ -81,7 +81,7 @@ class MLClassifier:
     def predict(self, df: DataFrame) -> DataFrame:
         scored = self.predict_proba(df).withColumn("max_prob", F.array_max("probs"))
         at = F.array_position(F.col("probs"), F.col("max_prob")).cast("int")
-        return scored.withColumn("pred", F.element_at(self._ids(), at))
+        return scored.withColumn("pred", F.try_element_at(self._ids(), at))
 
     def history(self, spark: SparkSession) -> DataFrame:
         rows = [(i, v) for i, v in enumerate(self.losses)]

@@ -79,7 +79,7 @@ def detect_far(df: DataFrame, model: PrototypeClassifier, radii: dict[int, float
     return df.withColumns(
         {
             "nearest_dist": F.sqrt(nearest),
-            "is_far": nearest > F.element_at(r2, F.when(at > 0, at)),
+            "is_far": nearest > F.try_element_at(r2, F.when(at > 0, at)),
             "is_far_from_all": outside,
         }
     )

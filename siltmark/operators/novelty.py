@@ -72,14 +72,14 @@ def class_radii(train: DataFrame, model: PrototypeClassifier, q: float) -> dict[
 def detect_far(df: DataFrame, model: PrototypeClassifier, radii: dict[int, float]) -> DataFrame:
     """Add ``nearest_dist``, ``is_far`` (beyond the radius of the nearest class) and
     ``is_far_from_all`` (beyond the radius of every class). ``df`` carries ``d2``."""
-    r2 = F.array(*[F.lit(float(radii[c]) ** 2) for c in model.class_ids])
+    r = F.array(*[F.lit(float(radii[c])) for c in model.class_ids])
     nearest = F.array_min("d2")
     at = F.array_position(F.col("d2"), nearest).cast("int")
-    outside = F.forall(F.zip_with("d2", r2, lambda d, r: d > r), lambda b: b)
+    outside = F.forall(F.zip_with("d2", r, lambda d, r: F.sqrt(d) > r), lambda b: b)
     return df.withColumns(
         {
             "nearest_dist": F.sqrt(nearest),
-            "is_far": nearest > F.try_element_at(r2, F.when(at > 0, at)),
+            "is_far": F.sqrt(nearest) > F.try_element_at(r, F.when(at > 0, at)),
             "is_far_from_all": outside,
         }
     )

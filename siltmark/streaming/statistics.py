@@ -70,7 +70,9 @@ def expiring_sums(df: DataFrame, value: str = "value", label: str = "label", ttl
     """Like ``prototype_stream`` with state that expires. Classes are split over ``salts``
     keys, so a hot class is spread; readers add the latest rows of each (label, salt).
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). With a
+    time to live Spark keeps running empty batches to expire state; a run that should end by
+    itself sets ``spark.sql.streaming.noDataMicroBatches.enabled`` to false.
     """
     keyed = df.select(
         F.col(label).cast("string").alias("label"),
@@ -78,5 +80,5 @@ def expiring_sums(df: DataFrame, value: str = "value", label: str = "label", ttl
         F.col(value).cast("double").alias("value"),
     )
     return keyed.groupBy("label", "salt").transformWithStateInPandas(
-        _RunningSums(ttl_ms), "label string, salt int, n_rows bigint, total double, squares double", "Update", "ProcessingTime"
+        _RunningSums(ttl_ms), "label string, salt int, n_rows bigint, total double, squares double", "Update", "ProcessingTime" if ttl_ms else "None"
     )

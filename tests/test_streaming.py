@@ -75,9 +75,10 @@ def test_every_id_counts_once(skewed, arriving):
 
 
 def test_expiring_state_keeps_the_same_sums(spark, skewed, arriving, folder):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         out = []
         q = (
@@ -88,9 +89,12 @@ def test_expiring_state_keeps_the_same_sums(spark, skewed, arriving, folder):
             .trigger(availableNow=True)
             .start()
         )
-        q.awaitTermination()
+        ended = q.awaitTermination(90)
+        q.stop()
+        assert ended
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     last = {(r[1], r[2]): r[3:] for r in sorted(out)}
     total = {}
     for (label, _), (n, s, _sq) in last.items():

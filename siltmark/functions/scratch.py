@@ -7,17 +7,19 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_local_root: str | None = None
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
+    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    _local_root = _local_root or tempfile.mkdtemp(prefix="spark-")
+    return _local_root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions.hashing import seed_key
-from siltmark.functions.sizing import local_side, small_side, small_table
+from siltmark.functions.sizing import SMALL_ROWS, local_side, small_side, small_table
 
 Quota = Callable[[Column], Column]
 
@@ -198,5 +198,7 @@ def hash_rank(
         F.col("_p").alias("_g__p"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
     )
-    out = ranked.join(small_side(offsets), matches([*group, "_p"], "_g_"))
+    # Past the broadcast bound the join shares the rank's own partitioning instead.
+    side = small_side(offsets) if 16**digits <= SMALL_ROWS else offsets
+    out = ranked.join(side, matches([*group, "_p"], "_g_"))
     return out.withColumn("hash_rank", F.col("_off") + F.col("_r")).drop("_h", "_p", "_r", "_g__p", "_off", *[f"_g_{c}" for c in group])

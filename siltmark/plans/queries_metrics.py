@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
 from siltmark.operators.admission import (
-    Defence, Policy, admit, admit_each, anomaly_score, audit_buffer, confidence_signal, distance_limits, label_consistency,
+    Defence, Policy, admit, admit_each, anomaly_score, audit_buffer, confidence_signal, label_consistency,
     robust_distance, secure_replay,
 )
 from siltmark.operators.classifier import PrototypeClassifier
@@ -19,15 +19,15 @@ from siltmark.operators.neighbours import knn_consistency
 from siltmark.operators.novelty import class_radii, detect_far, detect_unknown, label_unknown, quarantine, release, threshold_sweep
 from siltmark.operators.prepare import Scaler
 from siltmark.operators.split import split
-from siltmark.operators.tasks import make_tasks, replay_buffer, task_classes_df
-from siltmark.plans.experiment import CLASS_METRICS, NOVELTY_METRICS, Params, run_conditions
+from siltmark.operators.tasks import replay_buffer
+from siltmark.plans.experiment import Params, manifest_fields, run_conditions
 from siltmark.plans.inputs import (
-    SEED, SQL_EMB, SQL_SIDED, TAU, TWO_TASKS, candidates, sql_int, sql_key, sql_lowest, sql_proto, sql_score, sql_split, sql_tasks, vectors,
+    SEED, SQL_EMB, SQL_SIDED, TAU, TWO_TASKS, sql_int, sql_key, sql_lowest, sql_proto, sql_score, sql_split, vectors,
 )
 from siltmark.plans.queries_tasks import (
-    SQL_FLIP_EMB, SQL_FITTED, SQL_MATRIX, SQL_SCORED, fitted, flipped_train, matrix, sided, test_of, train_of,
+    SQL_FLIP_EMB, SQL_FITTED, SQL_MATRIX, fitted, flipped_train, matrix, sided, test_of, train_of,
 )
-from siltmark.plans.registry import query, r6, rounded
+from siltmark.plans.registry import query, rounded
 from siltmark.sources.tables import append_quarantine, summary_table, write_manifest
 
 THRESHOLD = 0.1523
@@ -509,8 +509,6 @@ def q_buffer_audit(spark, d):
 @query("q_summary_table", f"WITH {SQL_EXPERIMENT} SELECT 'clean against flipped labels' AS experiment, '[{SEED}]' AS seeds, rate, metric, round(value, 6) AS value FROM metrics")
 def q_summary_table(spark, d):
     """Metrics joined to the written manifest of their run."""
-    from siltmark.plans.experiment import manifest_fields
-
     p = Params("clean against flipped labels", "embeddings", SEED, TWO_TASKS, RATES, EXPERIMENT_THRESHOLD, TAU)
     path = scratch_path(spark, "manifest")
     write_manifest(spark, manifest_fields(p), path)

@@ -261,9 +261,12 @@ def q_seeds(spark, d):
     return rounded(across_seeds(runs), "mean", "spread", "min", "max")
 
 
-@query("q_metrics_json")
+@query("q_metrics_json", f"WITH {SQL_EXPERIMENT} SELECT rate, metric, round(value, 6) AS value FROM metrics")
 def q_metrics_json(spark, d):
-    return metrics_json(experiment_metrics(spark, d), ["rate"])
+    """One JSON object per rate, parsed back to the values it was made from."""
+    packed = metrics_json(experiment_metrics(spark, d), ["rate"])
+    parsed = F.from_json("metrics", "map<string,double>")
+    return rounded(packed.select("rate", F.explode(parsed).alias("metric", "value")), "value")
 
 
 @query(

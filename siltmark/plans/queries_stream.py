@@ -13,7 +13,9 @@ from siltmark.plans.registry import query, rounded
 from siltmark.streaming.candidates import dedup_stream, read_candidates, run_to_table, score_stream
 from siltmark.streaming.monitor import monitor, progress_table
 from siltmark.streaming.replay import latest, replay_stream
-from siltmark.streaming.statistics import complete_table, last_version, prototype_stream
+from siltmark.streaming.statistics import (
+    complete_table, expiring_state, expiring_sums, last_version, latest_values, prototype_stream,
+)
 
 
 def stream(spark, d, name):
@@ -53,6 +55,20 @@ def q_stream_counts(spark, d):
     return rounded(last_version(spark, path), "total", "squares")
 
 
+@query(
+    "q_stream_expiring",
+    "SELECT event_type AS label, count(*) AS n_rows, round(sum(value), 6) AS total, round(sum(value * value), 6) AS squares FROM events GROUP BY event_type",
+)
+def q_stream_expiring(spark, d):
+    """The same sums kept in salted state with a time to live of a day."""
+    path = scratch_path(spark, "expiring")
+    with expiring_state(spark):
+        sums = expiring_sums(event_stream(spark, d), ttl_ms=86_400_000)
+        complete_table(sums, path, "update").awaitTermination()
+    parts = latest_values(spark, path, ["label", "salt"], ["n_rows", "total", "squares"])
+    return rounded(parts.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("n_rows", "total", "squares")]), "total", "squares")
+
+
 def _sql_windows(width: str, starts: str) -> str:
     return (
         f"SELECT {starts} AS window_start, {starts} + INTERVAL {width} AS window_end, count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'error') AS n_flagged, "

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -24,14 +25,17 @@ def prototype_stream(df: DataFrame, value: str = "value", label: str = "label")
     return df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n_rows"), F.sum(v).alias("total"), F.sum(v * v).alias("squares"))
 
 
-def complete_table(df: DataFrame, path: str) -> StreamingQuery:
-    """Keep one Parquet version of the whole result per batch; a repeated batch rewrites its own."""
+def complete_table(df: DataFrame, path: str, mode: str = "complete") -> StreamingQuery:
+    """Keep one Parquet version of the result per batch; a repeated batch rewrites its own.
+
+    In ``update`` mode a version holds only the keys that changed (see ``latest_values``).
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/table/version={batch_id}")
 
     return (
-        df.writeStream.outputMode("complete")
+        df.writeStream.outputMode(mode)
         .foreachBatch(save)
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
@@ -39,12 +43,36 @@ def complete_table(df: DataFrame, path: str) -> StreamingQuery:
     )
 
 
-def last_version(spark, path: str) -> DataFrame:
+def last_version(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.parquet(f"{path}/table")
     last = table.agg(F.max("version")).head()[0]
     return table.where(F.col("version") == last).drop("version")
 
 
+def latest_values(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
+    """The newest row of every key over all versions written in ``update`` mode."""
+    table = spark.read.parquet(f"{path}/table")
+    newest = F.max_by(F.struct(*values), "version").alias("_v")
+    return table.groupBy(*keys).agg(newest).select(*keys, "_v.*")
+
+
+@contextmanager
+def expiring_state(spark: SparkSession) -> Iterator[None]:
+    """Session settings for a drained query with expiring state; restored afterwards."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class _RunningSums(StatefulProcessor):
     """Sums per (class, salt) with a time to live, for classes that may fall silent."""
 
@@ -70,9 +98,8 @@ def expiring_sums(df: DataFrame, value: str = "value", label: str = "label", ttl
     """Like ``prototype_stream`` with state that expires. Classes are split over ``salts``
     keys, so a hot class is spread; readers add the latest rows of each (label, salt).
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). With a
-    time to live Spark keeps running empty batches to expire state; a run that should end by
-    itself sets ``spark.sql.streaming.noDataMicroBatches.enabled`` to false.
+    Needs the RocksDB state store. With a time to live Spark keeps running empty batches to
+    expire state, so a run that should end by itself switches those off (``expiring_state``).
     """
     keyed = df.select(
         F.col(label).cast("string").alias("label"),

@@ -7,7 +7,9 @@ from siltmark.operators.tasks import replay_buffer
 from siltmark.streaming.candidates import dedup_stream, read_candidates, run_to_table, score_stream
 from siltmark.streaming.monitor import monitor, progress_table
 from siltmark.streaming.replay import latest, read_versions, replay_stream, version_path
-from siltmark.streaming.statistics import ROCKSDB, complete_table, expiring_sums, last_version, prototype_stream
+from siltmark.streaming.statistics import (
+    complete_table, expiring_state, expiring_sums, last_version, latest_values, prototype_stream,
+)
 
 
 @pytest.fixture()
@@ -74,31 +76,14 @@ def test_every_id_counts_once(skewed, arriving):
     assert rows(out, "row_id") == rows(skewed, "row_id")
 
 
-def test_expiring_state_keeps_the_same_sums(spark, skewed, arriving, folder):
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        out = []
-        q = (
-            expiring_sums(arriving(), ttl_ms=3_600_000, salts=3)
-            .writeStream.outputMode("update")
-            .foreachBatch(lambda b, i: out.extend((i, *r) for r in b.collect()))
-            .option("checkpointLocation", folder + "/e")
-            .trigger(availableNow=True)
-            .start()
-        )
+@pytest.mark.parametrize("ttl_ms", [None, 3_600_000])
+def test_expiring_state_keeps_the_same_sums(spark, skewed, arriving, folder, ttl_ms):
+    with expiring_state(spark):
+        q = complete_table(expiring_sums(arriving(), ttl_ms=ttl_ms, salts=3), folder + "/e", "update")
         ended = q.awaitTermination(90)
         q.stop()
-        assert ended
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    last = {(r[1], r[2]): r[3:] for r in sorted(out)}
-    total = {}
-    for (label, _), (n, s, _sq) in last.items():
-        a, b = total.get(label, (0, 0.0))
-        total[label] = (a + n, b + s)
+    assert ended
+    parts = latest_values(spark, folder + "/e", ["label", "salt"], ["n_rows", "total"])
+    got = {r["label"]: (r["n"], r["t"]) for r in parts.groupBy("label").agg(F.sum("n_rows").alias("n"), F.sum("total").alias("t")).collect()}
     both = skewed.union(skewed.where("row_id >= 668"))
-    assert total == {str(r["label"]): (r["n"], r["t"]) for r in both.groupBy("label").agg(F.count("*").alias("n"), F.sum("value").alias("t")).collect()}
+    assert got == {str(r["label"]): (r["n"], r["t"]) for r in both.groupBy("label").agg(F.count("*").alias("n"), F.sum("value").alias("t")).collect()}

@@ -1,7 +1,7 @@
 """Exact interpolated quantiles per group with bounded state.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task. That is fine
-for a group whose size was counted first; beyond ``state_rows`` the quantile is found by
+for groups whose sizes were counted first; beyond ``state_rows`` the quantile is found by
 bracketing instead: a sketch proposes a narrow value range, one narrow scan counts the
 rows below it and the (value, count) pairs inside it, and only those are ordered.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siltmark.functions.sizing import local_side, small_side, small_table
 
 STATE_ROWS = 2_000_000
+GROUPS_PER_TASK = 20
 SKETCH_ACCURACY = 20_000
 
 
@@ -39,8 +40,14 @@ def exact_quantiles(
     counts = counts.where("n_rows > 0")
     table = small_table(counts)
     sized = local_side(counts, table)
-    largest = sized.agg(F.max("n_rows")).head()[0] if table is None else max(table["n_rows"].to_pylist(), default=0)
-    if largest <= state_rows:
+    if table is None:
+        largest, total = sized.agg(F.max("n_rows"), F.sum("n_rows")).head()
+    else:
+        sizes = table["n_rows"].to_pylist()
+        largest, total = max(sizes, default=0), sum(sizes)
+    # One task may hold the states of many groups, so either all of them together are small
+    # or each one is.
+    if total <= state_rows or largest <= state_rows // GROUPS_PER_TASK:
         return _direct(vals, probs, group)
     return _bracketed(vals, sized, probs, group, state_rows, accuracy)
 

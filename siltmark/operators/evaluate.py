@@ -30,20 +30,25 @@ def confusion_wide(cm: DataFrame, class_ids: list[int]) -> DataFrame:
 def per_class(cm: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``class_id, tp, support, predicted, precision, recall, f1`` per class in y or yhat.
 
-    Row and column sums come from one regrouping of the confusion table. Unknown is a
-    prediction, not a class: it lowers recall and has no row.
+    Unknown is a prediction, not a class: it lowers recall and has no row.
     """
-    by = by or []
+    return _class_scores(cm, by or []).where(F.col("class_id").isNotNull())
+
+
+def _class_scores(cm: DataFrame, by: list[str]) -> DataFrame:
+    """Row and column sums of the confusion table from one regrouping, with their ratios.
+    Rows without a label or a prediction are kept under a NULL class."""
     sides = F.explode(
         F.array(
             F.struct(F.col("y").alias("class_id"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted")),
             F.struct(F.col("yhat").alias("class_id"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted")),
         )
     )
-    hit = F.when((F.col("y") == F.col("yhat")) & (F.col("_s.support") > 0), F.col("n")).otherwise(0)
+    zero = F.lit(0).cast("bigint")
+    hit = F.when((F.col("y") == F.col("yhat")) & (F.col("_s.support") > 0), F.col("n")).otherwise(zero)
     sums = (
         cm.withColumn("_s", sides)
-        .where(F.col("_s.class_id") != UNKNOWN)
+        .where(~F.col("_s.class_id").eqNullSafe(F.lit(UNKNOWN)))
         .groupBy(*by, F.col("_s.class_id").alias("class_id"))
         .agg(F.sum(hit).alias("tp"), F.sum("_s.support").alias("support"), F.sum("_s.predicted").alias("predicted"))
     )
@@ -58,26 +63,28 @@ def classification_metrics(df: DataFrame, y: str = "label", yhat: str = "pred",
 
 
 def metrics_of(cm: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The same from a confusion table: one aggregate over its per-class sums, no join."""
     by = by or []
-    known = F.when(F.col("yhat") != UNKNOWN, F.col("n")).otherwise(0)
-    correct = F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0)
-    total = cm.groupBy(*by).agg(F.sum("n").alias("n_rows"), F.sum(known).alias("_known"), F.sum(correct).alias("_hit"))
-    total = total.select(
+    named = F.col("class_id").isNotNull()
+    macro = lambda c: F.coalesce(F.avg(F.when(named, F.col(c))), F.lit(0.0)).alias(f"macro_{c}")
+    sums = _class_scores(cm, by).groupBy(*by).agg(
+        F.coalesce(F.sum("support"), F.lit(0)).alias("n_rows"),
+        F.sum(F.when(named, F.col("predicted"))).alias("_known"),
+        F.sum("tp").alias("_hit"),
+        macro("precision"),
+        macro("recall"),
+        macro("f1"),
+    )
+    return sums.select(
         *by,
         ratio("_hit", "n_rows").alias("accuracy"),
         ratio("_hit", "_known").alias("accuracy_covered"),
         ratio("_known", "n_rows").alias("coverage"),
+        "macro_precision",
+        "macro_recall",
+        "macro_f1",
         "n_rows",
     )
-    macro = per_class(cm, by).groupBy(*by).agg(
-        F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1")
-    )
-    keys = by or ["_one"]
-    if not by:
-        total, macro = total.withColumn("_one", F.lit(1)), macro.withColumn("_one", F.lit(1))
-    return total.join(macro, keys).select(
-        *by, "accuracy", "accuracy_covered", "coverage", "macro_precision", "macro_recall", "macro_f1", "n_rows"
-    )
 
 
 def continual_metrics(matrix: DataFrame, strategy: str = "strategy") -> DataFrame:

@@ -72,6 +72,15 @@ def test_classification_metrics(preds):
     assert m["macro_f1"] == pytest.approx(sum(f1) / 4)
 
 
+def test_rows_without_label_or_prediction_count_but_name_no_class(spark, preds):
+    more = preds.union(spark.createDataFrame([(None, 0), (0, None)], "label int, pred int"))
+    m = classification_metrics(more).head()
+    assert m["n_rows"] == 14 and m["accuracy"] == pytest.approx(7 / 14) and m["coverage"] == pytest.approx(11 / 14)
+    assert {r["class_id"] for r in per_class(confusion(more)).collect()} == {0, 1, 2, 9}
+    plan = classification_metrics(more)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
+
+
 def test_spark_evaluator_agrees_on_accuracy(preds):
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 

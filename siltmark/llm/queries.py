@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.llm import quality, secrets, sharding
+from siltmark.functions.scratch import scratch_path
+from siltmark.llm import bpe, packing, quality, secrets, sharding, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +31,32 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@query("op1_bpe")
+def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe.round_trip(table(spark, d, "documents"), path, pattern)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    found = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    found = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(found, docs.count(), ["doc_id", "piece", "length", "ids_crc32"])
+
+
+@query("op7_warc")
+def op7_warc(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_archives(warc.marked(table(spark, d, "pages")), path)
+    records = warc.read_archives(spark.read.parquet(path))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 @query("op3_secrets")
 def op3_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secrets.scan(table(spark, d, "documents"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
-from siltmark.llm import bpe, packing, quality, secrets, sharding, warc
+from siltmark.llm import bpe, packing, pii, quality, secrets, sharding, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,18 @@ def op4_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(found, docs.count(), ["doc_id", "piece", "length", "ids_crc32"])
 
 
+@query("op6_pii")
+def op6_pii(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.scan(table(spark, d, "documents"))
+    names = F.array(*map(F.lit, pii.KINDS))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["stop"])), ",")
+    count = lambda n: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("bigint")
+    return found.select(
+        "doc_id", *[count(n).alias(f"n_{k}") for n, k in enumerate(pii.KINDS)],
+        F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+    )
+
+
 @query("op7_warc")
 def op7_warc(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "archives")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
-from siltmark.llm import bpe, packing, pii, quality, secrets, sharding, warc
+from siltmark.llm import bpe, lines, packing, pii, quality, secrets, sharding, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,52 @@ def op1_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+SQL_LINES = r"""
+WITH d AS (
+  SELECT doc_id, text, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM documents
+), l AS (
+  SELECT doc_id, i, ls[i] AS line, len([w FOR w IN string_split_regex(ls[i], '[\x20\x09-\x0D]+') IF w <> '']) AS n
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)
+), c AS (
+  SELECT doc_id, i, line, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS through FROM l
+), f AS (
+  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 49 AND b.through - (a.through - a.n) >= 50 GROUP BY 1, 2
+), g AS (
+  SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 49 AND b.through - (a.through - a.n) >= 50 GROUP BY b.doc_id, b.i
+), runs AS (
+  SELECT DISTINCT doc_id, s, e FROM (SELECT doc_id, s, e FROM f UNION ALL SELECT doc_id, s, e FROM g)
+), named AS (
+  SELECT r.doc_id, s, e, array_to_string(d.ls[s:e], chr(10)) AS body FROM runs r JOIN d ON r.doc_id = d.doc_id
+), later AS (
+  SELECT doc_id, s, e FROM (SELECT doc_id, s, e, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS k FROM named) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM later
+), raw AS (
+  SELECT doc_id, j, x[j] AS line, regexp_matches(x[j], '[^\x20\x09-\x0D]') AS word
+  FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS j FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))
+), numbered AS (
+  SELECT doc_id, j, line, word, sum(word::INT) OVER (PARTITION BY doc_id ORDER BY j) AS i FROM raw
+), marked AS (
+  SELECT n.*, g.i IS NOT NULL AS hit, h.i IS NOT NULL AS next_hit
+  FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i LEFT JOIN gone h ON n.doc_id = h.doc_id AND n.i + 1 = h.i
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY j) AS body FROM marked WHERE NOT (CASE WHEN word THEN hit ELSE hit AND next_hit END) GROUP BY doc_id
+), counts AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.ls)::BIGINT AS n_lines, coalesce(counts.n, 0)::BIGINT AS n_deleted, length(coalesce(kept.body, ''))::BIGINT AS n_chars,
+  sha256(coalesce(kept.body, '')) AS text_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN counts ON d.doc_id = counts.doc_id
+"""
+
+
+@query("op2_lines", SQL_LINES)
+def op2_lines(spark: SparkSession, d: str) -> DataFrame:
+    clean = lines.dedup(table(spark, d, "documents"))
+    body = F.coalesce("text", F.lit(""))
+    return clean.select("doc_id", "n_lines", "n_deleted", F.length(body).cast("bigint").alias("n_chars"), F.sha2(body, 256).alias("text_sha256"))
+
+
 @query("op4_packing")
 def op4_packing(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
-from siltmark.llm import bpe, lines, packing, pii, quality, secrets, sharding, warc
+from siltmark.llm import bpe, lines, minhash, packing, pii, quality, secrets, sharding, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -127,6 +127,11 @@ def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"), tree, sharding.grown(tree))
 
 
+@query("op8_minhash")
+def op8_minhash(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, d, "documents"))
+
+
 SQL_QUALITY = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,

@@ -17,11 +17,15 @@ an empty table gives no rows; columns outside ``keep`` are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,15 +34,17 @@ CAPACITY = 2048
 #: Open bins of one packer, pieces of a run in descending order, and documents of a bucket.
 OPEN, RUN, BUCKET_ROWS = 4096, 4096, 40_000
 #: Chunks and words up to this many characters are cached, this many of each.
-CHUNK, CACHED = 48, 200_000
+CHUNK, CACHED = 48, 400_000
 END_ID = 0
 
 
 class WordTokenizer:
-    """A ``tokenizers`` file whose pre-tokenizer never joins across blanks, with cached chunks.
+    """A ``tokenizers`` file with a lower-casing, byte-level, word-wise BPE, with cached words.
 
-    Texts are cut at blanks, line feeds, tabs and carriage returns; what lies between is encoded
-    by the whole tokenizer (special strings included) when it is not among the cached chunks.
+    Texts are cut at blanks, line feeds, tabs and carriage returns, which no token crosses. What
+    lies between is looked up; else, if it is plain Latin (where normalising is lower case
+    alone), cut into words that are looked up or go to the model; else the whole tokenizer
+    encodes it, special strings included.
     """
 
     def __init__(self, path: str):
@@ -46,27 +52,59 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        stages = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
+        self.words = regex.compile(next(s["pattern"]["Regex"] for s in stages if s["type"] == "Split")).findall
+        self.model = self.tokenizer.model.tokenize
         self.cache: dict[str, bytes] = {"": b""}
+        self.word_cache: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLING)
+        ids = _packed_ids([t.id for t in self.model(spelled)])
+        if len(word) <= CHUNK:
+            if len(self.word_cache) >= CACHED:
+                self.word_cache.clear()
+            self.word_cache[word] = ids
+        return ids
 
-    def _miss(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.cache[chunk] = np.asarray(e.ids, dtype="<u4").tobytes()
+    def _chunk(self, chunk: str) -> bytes:
+        if _PLAIN.fullmatch(chunk):
+            known = self.word_cache
+            ids = b"".join([known.get(w) or self._word(w) for w in self.words(chunk.lower())])
+        else:
+            ids = _packed_ids(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        if len(chunk) <= CHUNK:
+            if len(self.cache) >= CACHED:
+                self.cache.clear()
+                self.cache[""] = b""
+            self.cache[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        cache = self.cache
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        missing = [p for p in dict.fromkeys(parts) if p not in cache]
-        if missing:
-            self._miss(missing)
-        ids = b"".join([cache[p] for p in parts])
-        if len(cache) > CACHED:
-            self.cache = {"": b""}
-        else:
-            for p in missing:
-                if len(p) > CHUNK:
-                    del cache[p]
-        return ids
+        if "\t" in text or "\r" in text:
+            text = text.replace("\t", " ").replace("\r", " ")
+        chunks = text.replace("\n", " ").split(" ")
+        parts = list(map(self.cache.get, chunks))
+        if None in parts:
+            parts = [self._chunk(c) if p is None else p for p, c in zip(parts, chunks)]
+        return b"".join(parts)
+
+
+def _packed_ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
+
+
+def _spelling() -> dict[int, int]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + n for n, b in enumerate(rest)}
+
+
+_SPELLING = _spelling()
+#: Visible ASCII without "<" (special strings) and Latin letters whose lower case has one letter.
+_PLAIN = regex.compile(r"[!-;=-~\u00c0-\u012f\u0131-\u024f]+")
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
-from siltmark.llm import bpe, lines, minhash, packing, pii, quality, secrets, sharding, warc
+from siltmark.llm import ann, bpe, lines, minhash, packing, pii, quality, secrets, sharding, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -167,3 +167,8 @@ def op9_quality(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & quality.passes()).alias("kept"), "failed",
     )
+
+
+@query("op10_neighbours")
+def op10_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return ann.nearest(table(spark, d, "embeddings"), lambda vec_id: vec_id % 20 == 0)

@@ -152,7 +152,7 @@ def later_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``df``, the text without later copies, plus n_lines and n_deleted
-    (lines that hold a word)."""
+    (lines that hold a word; they replace columns of these names)."""
     runs = later_runs(df, doc_id, text, min_words)
     cuts = runs.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("_ld_cuts"))
     docs = _keyed(df, doc_id, text)
@@ -170,6 +170,6 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words:
     kept = F.concat(F.flatten(F.transform("_ld_cuts", gap)), F.slice("_ld_lines", last + 1, F.size("_ld_lines") - last))
     gone = F.aggregate("_ld_cuts", F.lit(0), lambda n, x: n + 1 + F.array_position("_ld_places", x["b"]).cast("int") - F.array_position("_ld_places", x["a"]).cast("int"))
     return rows.select(
-        *[c for c in df.columns if c != text], F.when(F.col("_ld_cuts").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text),
+        *[c for c in df.columns if c not in (text, "n_lines", "n_deleted")], F.when(F.col("_ld_cuts").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text),
         F.size("_ld_places").cast("bigint").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("bigint").alias("n_deleted"),
     )

@@ -169,7 +169,8 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words:
     last = F.element_at("_ld_cuts", -1)["b"] + 1
     kept = F.concat(F.flatten(F.transform("_ld_cuts", gap)), F.slice("_ld_lines", last + 1, F.size("_ld_lines") - last))
     gone = F.aggregate("_ld_cuts", F.lit(0), lambda n, x: n + 1 + F.array_position("_ld_places", x["b"]).cast("int") - F.array_position("_ld_places", x["a"]).cast("int"))
-    return rows.select(
-        *[c for c in df.columns if c not in (text, "n_lines", "n_deleted")], F.when(F.col("_ld_cuts").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text),
-        F.size("_ld_places").cast("bigint").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("bigint").alias("n_deleted"),
-    )
+    # A generator of one row: later filters stay above it and do not evaluate these expressions again.
+    body = F.when(F.col("_ld_cuts").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    counts = F.size("_ld_places").cast("bigint").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("bigint").alias("n_deleted")
+    others = [c for c in df.columns if c not in (text, "n_lines", "n_deleted")]
+    return rows.select(*others, F.inline(F.array(F.struct(body.alias(text), *counts))))

@@ -97,7 +97,8 @@ def measure(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     df = df.withColumn("_places", F.coalesce(repeated, F.array().cast("array<int>")))
     steps = F.transform("_places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_places", k + 1) - p, F.lit(WINDOW))))
     total = F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return df.select(*keep, *[c for c in MEASURES if c != "n_repeat_words"], total.alias("n_repeat_words"))
+    # A generator of one row: later filters stay above it and do not evaluate these expressions again.
+    return df.select(*keep, F.inline(F.array(F.struct(*[c for c in MEASURES if c != "n_repeat_words"], total.alias("n_repeat_words")))))
 
 
 def with_bits(measured: DataFrame, name: str = "failed") -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
+from siltmark.llm.workers import task
 
 #: Neighbours of a node, sampled new and old ones each, proposals of a member in one group.
 K, SAMPLE, TOP = 30, 12, 4
@@ -192,7 +193,7 @@ def _merged(proposals: DataFrame, graph: DataFrame | None, turn: int) -> DataFra
     if graph is not None:
         rows = rows.unionByName(graph.select("p", "q", "s", "state"))
     rows = rows.repartition("p").sortWithinPartitions("p")
-    return _written(rows.mapInArrow(_nearest(K, SAMPLE, turn), GRAPH), f"graph-{turn}")
+    return _written(rows.mapInArrow(task(_nearest, K, SAMPLE, turn), GRAPH), f"graph-{turn}")
 
 
 def _leaves(bits: int):
@@ -217,7 +218,7 @@ def _leaves(bits: int):
 def build(codes: DataFrame) -> DataFrame:
     """Graph rows (p, q, s): the neighbours of every node of ``codes`` (node, code)."""
     bits = max(0, int(np.ceil(np.log2(max(1, codes.count()) / LEAF))))
-    placed = codes.mapInArrow(_leaves(bits), "tree int, leaf bigint, member bigint, code binary")
+    placed = codes.mapInArrow(task(_leaves, bits), "tree int, leaf bigint, member bigint, code binary")
     large = placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > MAX_LEAF)
     large = large.select(F.col("tree").alias("t_"), F.col("leaf").alias("l_"), F.ceil(F.col("n") / LEAF).alias("parts"))
     rows = placed.join(large, (F.col("tree") == F.col("t_")) & (F.col("leaf") == F.col("l_")), "left")
@@ -225,7 +226,7 @@ def build(codes: DataFrame) -> DataFrame:
     rows = rows.select("tree", "leaf", part.alias("part"), "member", F.lit(True).alias("fresh"), F.lit(float("-inf")).cast("float").alias("least"), "code")
     keys = ["tree", "leaf", "part"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, "member")
-    graph = _merged(rows.mapInArrow(_local_join(keys, LEAF_TOP), "p bigint, q bigint, s float"), None, 0)
+    graph = _merged(rows.mapInArrow(task(_local_join, keys, LEAF_TOP), "p bigint, q bigint, s float"), None, 0)
     for turn in range(1, ROUNDS + 1):
         _release(codes)
         least = graph.groupBy(F.col("p").alias("n_")).agg(F.when(F.count("*") >= K, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
@@ -238,7 +239,7 @@ def build(codes: DataFrame) -> DataFrame:
         groups = picked.select(F.col("p").alias("center"), F.col("q").alias("member"), "fresh").unionByName(back)
         groups = groups.join(known, F.col("member") == F.col("node")).select("center", "member", "fresh", "least", "code")
         groups = groups.repartition("center").sortWithinPartitions("center", "member")
-        graph = _merged(groups.mapInArrow(_local_join(["center"], TOP), "p bigint, q bigint, s float"), graph, turn)
+        graph = _merged(groups.mapInArrow(task(_local_join, ["center"], TOP), "p bigint, q bigint, s float"), graph, turn)
     return graph.select("p", "q", "s")
 
 
@@ -319,11 +320,11 @@ def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
         front = state.select("query", F.explode(F.slice(F.transform(open_, lambda x: x["pool"]), 1, EXPAND)).alias("at"))
         reached = front.join(edges, F.col("at") == F.col("node")).groupBy(F.col("query").alias("q_")).agg(F.collect_list("edges").alias("edges"))
         grown = state.join(reached, F.col("query") == F.col("q_")).select("query", "qcode", "met", "edges")
-        found = grown.mapInArrow(_candidates, "query bigint, node bigint, qcode binary")
+        found = grown.mapInArrow(task(_candidates), "query bigint, node bigint, qcode binary")
         coded = codes.select(F.col("node").alias("c_"), "code")
-        scored = found.join(coded, F.col("node") == F.col("c_")).select("query", "node", "qcode", "code").mapInArrow(_scores, "query bigint, node bigint, s float")
+        scored = found.join(coded, F.col("node") == F.col("c_")).select("query", "node", "qcode", "code").mapInArrow(task(_scores), "query bigint, node bigint, s float")
         scored = scored.groupBy(F.col("query").alias("q_")).agg(F.collect_list(F.struct("node", "s")).alias("found"))
-        state = state.join(scored, F.col("query") == F.col("q_"), "left").drop("q_").mapInArrow(_advance, STATE)
+        state = state.join(scored, F.col("query") == F.col("q_"), "left").drop("q_").mapInArrow(task(_advance), STATE)
         state = _written(state, f"search-{step}")
         _release(codes)
     return state.select("query", "pool")
@@ -335,7 +336,7 @@ def nearest(df: DataFrame, wanted, n: int = 20, vec_id: str = "vec_id", vector:
     rows = _written(usable(df, vec_id, vector), "vectors")
     named = rows.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(7), "vector"))
     nodes = _written(named.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.any_value("vector").alias("vector")), "nodes")
-    codes = _written(nodes.select("node", "vector").mapInArrow(_codes, "node bigint, code binary"), "codes")
+    codes = _written(nodes.select("node", "vector").mapInArrow(task(_codes), "node bigint, code binary"), "codes")
     edges = _written(adjacency(build(codes)), "edges")
     keys = nodes.select(F.col("h1").alias("a_"), F.col("h2").alias("b_"), "node")
     owned = _written(named.select("vec_id", "h1", "h2").join(keys, (F.col("h1") == F.col("a_")) & (F.col("h2") == F.col("b_"))).select("vec_id", "node"), "owned")

@@ -31,6 +31,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from siltmark.llm.workers import task
+
 #: Characters of a text leaf, bytes of a leaf inside one match.
 LEAF, PIECE_LEAF = 4096, 512
 #: Chunks up to this many characters are cached, this many at most.
@@ -175,6 +177,11 @@ def _decoded(ranks_path: str, pattern: str):
     return run
 
 
+def _both(ranks_path: str, pattern: str, text: str):
+    first, second = _encoded(ranks_path, pattern, text), _decoded(ranks_path, pattern)
+    return lambda batches: second(first(batches))
+
+
 def _schema(df: DataFrame, drop: str | None, *added: T.StructField) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != drop] + list(added))
 
@@ -186,16 +193,15 @@ DECODED = T.StructField("decoded", T.BinaryType())
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``ids`` (array of int) of every row. No shuffle; memory is one batch of texts."""
     rows = df.select(*keep, text)
-    return rows.mapInArrow(_encoded(ranks_path, pattern, text), _schema(rows, text, IDS))
+    return rows.mapInArrow(task(_encoded, ranks_path, pattern, text), _schema(rows, text, IDS))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """The rows of ``df`` with ``decoded``, the bytes of their ``ids`` (NULL ids: no bytes)."""
-    return df.mapInArrow(_decoded(ranks_path, pattern), _schema(df, None, DECODED))
+    return df.mapInArrow(task(_decoded, ranks_path, pattern), _schema(df, None, DECODED))
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``decode(encode(df))`` in one pass through one worker."""
-    first, second = _encoded(ranks_path, pattern, text), _decoded(ranks_path, pattern)
     rows = df.select(*keep, text)
-    return rows.mapInArrow(lambda batches: second(first(batches)), _schema(rows, text, IDS, DECODED))
+    return rows.mapInArrow(task(_both, ranks_path, pattern, text), _schema(rows, text, IDS, DECODED))

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
+from siltmark.llm.workers import task
 
 SHINGLE, PERCENT = 5, 75
 COORDS, MATCHES = 64, 32
@@ -249,7 +250,7 @@ def proposals(postings: DataFrame, members: DataFrame, components: DataFrame | N
     rows = rows.join(members, F.col("node") == F.col("m_"))
     key = ["c", "v", "i", "j"]
     rows = rows.select("node", *key, "side", "component", "mask", "coarse", "fine").repartition(*key).sortWithinPartitions(*key, "node")
-    return rows.mapInArrow(_pairs, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(task(_pairs), "a bigint, b bigint").distinct()
 
 
 def confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -285,7 +286,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row. Ids are integers."""
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed = _written(rows.mapInArrow(_signed, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sig array<int>"), "signatures")
+    signed = _written(rows.mapInArrow(task(_signed), "doc_id bigint, n bigint, h1 bigint, h2 bigint, sig array<int>"), "signatures")
     same = ["n", "h1", "h2"]
     sets = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig"))
     sets = _written(sets, "sets")
@@ -293,7 +294,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     masks = postings.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, c)")).alias("mask"))
     wanted = sets.select(F.col("node").alias("n_"), "h1", "h2").join(masks, F.col("n_") == F.col("node")).select("node", "h1", "h2", "mask")
     held = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("node", "text", "h1", "h2")
-    fine = held.mapInArrow(_fine, "node bigint, shingles array<bigint>, coarse binary, fine binary")
+    fine = held.mapInArrow(task(_fine), "node bigint, shingles array<bigint>, coarse binary, fine binary")
     mask = masks.select(F.col("node").alias("n_"), "mask")
     members = _written(fine.join(mask, F.col("node") == F.col("n_")).drop("n_"), "members")
     first = _written(confirmed(proposals(postings, members, None), members), "links")

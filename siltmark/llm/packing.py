@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltmark.llm.workers import task
+
 CAPACITY = 2048
 #: Open bins of one packer, pieces of a run in descending order, and documents of a bucket.
 OPEN, RUN, BUCKET_ROWS = 4096, 4096, 40_000
@@ -159,7 +161,7 @@ def pieces(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
     """``keep``, piece, start, length and ids (little-endian unsigned 32-bit) of every piece."""
     rows = df.select(*keep, text)
     schema = T.StructType([f for f in rows.schema.fields if f.name != text] + PIECE)
-    return rows.mapInArrow(_cut(path, text, capacity), schema)
+    return rows.mapInArrow(task(_cut, path, text, capacity), schema)
 
 
 class BestFit:
@@ -229,4 +231,4 @@ def pack(pieces: DataFrame, rows: int, by: list[str], capacity: int = CAPACITY,
     dealt = dealt.withColumn("_run", F.pmod(F.shiftright("_hash", 32), F.lit(runs)))
     dealt = dealt.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_run", F.desc("length"), "_hash", *by)
     schema = T.StructType([f for f in pieces.schema.fields] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return dealt.mapInArrow(_packed(capacity, limit), schema)
+    return dealt.mapInArrow(task(_packed, capacity, limit), schema)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltmark.llm.workers import task
+
 #: Fixed order: it decides ties between spans that start together. Label 0 is "none".
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
@@ -260,7 +262,9 @@ def train(df: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS) -> Weight
     return fit([f for t in rows if (f := field(t, base_spans(t)))])
 
 
-def _scan(w: Weights, text: str):
+def _scan(shape: tuple, skip: tuple, text: str):
+    w = Weights(shape, skip)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("stop", pa.int64())]))
         for batch in batches:
@@ -279,4 +283,4 @@ def scan(df: DataFrame, w: Weights | None = None, doc_id: str = "doc_id", text:
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     span = "array<struct<start:bigint,kind:int,stop:bigint>>"
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scan(w, "_text"), f"doc_id {id_type}, base {span}, spans {span}")
+    return rows.mapInArrow(task(_scan, w.shape, w.skip, "_text"), f"doc_id {id_type}, base {span}, spans {span}")

@@ -29,6 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltmark.llm.workers import task
+
 # Fixed values of the WARC and Zstandard formats.
 VERSION = b"WARC/1.1"
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -155,7 +157,7 @@ def _blob(archive: _Archive) -> pa.RecordBatch:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write the output of :func:`marked` as a table of archives (path, length, content)."""
-    pages.mapInArrow(_write, "path string, length bigint, content binary").write.parquet(path)
+    pages.mapInArrow(task(_write), "path string, length bigint, content binary").write.parquet(path)
 
 
 class Damaged(ValueError):
@@ -271,4 +273,4 @@ def _records(path: str, data) -> Iterator[dict]:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """Records of a table of archives: ``binaryFile`` rows, or what :func:`write_archives` wrote."""
-    return archives.select("path", "content").mapInArrow(_read, RECORD)
+    return archives.select("path", "content").mapInArrow(task(_read), RECORD)

@@ -22,6 +22,8 @@ def uniform(key: Column) -> Column:
 
 
 def content_key(columns: list[str], sep: str = "|") -> Column:
-    """md5 over the string form of all columns; NULL and the empty string stay apart."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
+    """md5 over the string form of all columns, each behind its length, so that no value can
+    imitate a border; NULL and the empty string stay apart."""
+    text = [F.col(f"`{c}`").cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("\\N")) for t in text]
     return F.md5(F.concat_ws(sep, *parts))

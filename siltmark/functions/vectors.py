@@ -42,13 +42,14 @@ def long_values(df: DataFrame, features: str | list[str], keep: list[str]) -> Da
 
 
 def to_matrix(batch: pa.Array, width: int) -> np.ndarray:
-    """Dense float64 matrix of one Arrow batch; rows without a vector become NaN."""
+    """Dense float64 matrix of one Arrow batch; rows without a vector become NaN. Every length
+    is checked: a vector of another width is an error of the table, not a row to score."""
     flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if batch.null_count == 0 and flat.size == len(batch) * width:
-        return flat.reshape(len(batch), width)
     lengths = np.asarray(batch.value_lengths().fill_null(-1))
     if np.any((lengths != width) & (lengths != -1)):
         raise ValueError(f"a feature vector is not {width} wide")
+    if batch.null_count == 0:
+        return flat.reshape(len(batch), width)
     out = np.full((len(batch), width), np.nan)
     out[lengths == width] = flat.reshape(-1, width)
     return out

@@ -115,9 +115,9 @@ def signals(df: DataFrame, defence: Defence) -> DataFrame:
 
 def decide(df: DataFrame, policy: Policy, model: PrototypeClassifier) -> DataFrame:
     """Add ``decision`` and ``reason``. Novelty is settled before any rejection, so that an
-    unfamiliar row is held and not dropped."""
+    unfamiliar row is held and not dropped; so is a row whose vector cannot be scored."""
     known = F.coalesce(F.col(model.label).isin(model.class_ids), F.lit(False))
-    reason = F.when(~known, "unknown_class").when(F.col("is_far_from_all"), "far").when(~F.col("label_ok"), "label_mismatch")
+    reason = F.when(~known, "unknown_class").when(F.col("d2").isNull(), "invalid_vector").when(F.col("is_far_from_all"), "far").when(~F.col("label_ok"), "label_mismatch")
     if policy.min_confidence is not None:
         reason = reason.when(F.col("claimed_prob") < F.lit(policy.min_confidence), "low_confidence")
     if policy.distance_k is not None:
@@ -125,7 +125,7 @@ def decide(df: DataFrame, policy: Policy, model: PrototypeClassifier) -> DataFra
     if policy.max_anomaly is not None:
         reason = reason.when(F.col("anomaly") > F.lit(policy.max_anomaly), "anomaly")
     out = df.withColumn("reason", reason.otherwise("ok"))
-    held = F.col("reason").isin("unknown_class", "far")
+    held = F.col("reason").isin("unknown_class", "invalid_vector", "far")
     return out.withColumn("decision", F.when(F.col("reason") == "ok", "admit").when(held, "quarantine").otherwise("reject"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,13 +62,17 @@ class PrototypeClassifier:
         """Add ``d2`` and ``probs`` = softmax(-d2 / tau), both aligned with ``class_ids``."""
         if not self.stats:
             raise ValueError("the model is not fitted")
+        # Missing and non-finite vectors have no distances, on every path.
         near = df.withColumn("d2", self.distances())
+        finite = F.forall("d2", lambda d: d.isNotNull() & ~F.isnan(d) & (d < float("inf")))
+        near = near.withColumn("d2", F.when(finite, F.col("d2")))
         raw = near.withColumn("_e", F.transform("d2", lambda d: F.exp((F.array_min("d2") - d) / F.lit(float(self.tau)))))
         total = F.aggregate("_e", F.lit(0.0), lambda a, e: a + e)
         return raw.withColumn("_t", total).withColumn("probs", F.transform("_e", lambda e: e / F.col("_t"))).drop("_e", "_t")
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Add ``probs``, ``max_prob``, ``pred`` and ``pred_d2``; ties go to the lowest class id."""
+        """Add ``probs``, ``max_prob``, ``pred`` and ``pred_d2``; ties go to the lowest class id.
+        All are NULL for a vector that is missing or not finite."""
         scored = self.predict_proba(df).withColumn("max_prob", F.array_max("probs"))
         at = F.array_position(F.col("probs"), F.col("max_prob")).cast("int")
         scored = scored.withColumn("_at", F.when(at > 0, at))
@@ -124,6 +130,14 @@ def fit_many(
     return models
 
 
+def finite_features(features: str | list[str]) -> Column:
+    """TRUE for rows whose features are all there and finite: the rows a fit may use."""
+    sound = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+    if isinstance(features, str):
+        return F.coalesce(F.forall(features, sound), F.lit(False))
+    return reduce(and_, [sound(F.col(c)) for c in features])
+
+
 def _class_sums(df: DataFrame, features: str | list[str], label: str) -> dict:
     return {c: s for (_, c), s in _sums(df, features, label, None).items()}
 
@@ -133,6 +147,7 @@ def _sums(df: DataFrame, features: str | list[str], label: str, by: str | None)
     keys = ([by] if by else []) + [label]
     name = lambda r: (r[by] if by else None, r[label])
     stats: dict[tuple, tuple[int, list[float], list[float]]] = {}
+    df = df.where(finite_features(features))
     if isinstance(features, str):
         sums = (
             long_values(df, features, keys)

@@ -161,7 +161,8 @@ def security_metrics(decisions: DataFrame, log: DataFrame | None = None, by: lis
     """
     rows = decisions
     if log is not None:
-        marked = log.select(F.col("row_id").alias("_id")).withColumn("_p", F.lit(True))
+        # A row may be logged by several corruptions.
+        marked = log.select(F.col("row_id").alias("_id")).distinct().withColumn("_p", F.lit(True))
         rows = decisions.drop("is_poisoned").join(marked, F.col(row_id) == F.col("_id"), "left")
         rows = rows.withColumn("is_poisoned", F.coalesce(F.col("_p"), F.lit(False)))
     bad, admitted, rejected = F.col("is_poisoned"), F.col("decision") == "admit", F.col("decision") == "reject"
@@ -195,10 +196,12 @@ def to_long(table: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     return table.select(*keys, F.inline(F.array(*cells)))
 
 
-def compare_conditions(metrics: DataFrame, rate: str = "rate") -> DataFrame:
-    """``rate, metric, value, clean_value, delta`` against the rate-0 run of each metric."""
-    clean = metrics.where(F.col(rate) == 0).select("metric", F.col("value").alias("clean_value"))
-    return metrics.join(clean, "metric").withColumn("delta", F.col("value") - F.col("clean_value"))
+def compare_conditions(metrics: DataFrame, rate: str = "rate", keys: list[str] | None = None) -> DataFrame:
+    """``rate, metric, value, clean_value, delta`` against the rate-0 run of each metric with the
+    same ``keys`` (a seed, a class). Metrics without a clean run keep a NULL difference."""
+    on = [*(keys or []), "metric"]
+    clean = metrics.where(F.col(rate) == 0).select(*on, F.col("value").alias("clean_value"))
+    return metrics.join(clean, on, "left").withColumn("delta", F.col("value") - F.col("clean_value"))
 
 
 def across_seeds(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:

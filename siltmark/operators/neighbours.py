@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.functions.sizing import small_table
-from siltmark.functions.vectors import to_matrix
+from siltmark.functions.vectors import to_matrix, width_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -83,12 +83,15 @@ def _broadcast_votes(cand: DataFrame, table: pa.Table, k: int) -> DataFrame:
                 [b.column(0), b.column(1), pa.array(agree), pa.array(found)], names=["row_id", "label", "agree", "n_neighbours"]
             )
 
-    return cand.mapInArrow(vote, "row_id bigint, label int, agree bigint, n_neighbours bigint")
+    kinds = [cand.schema[c].dataType.simpleString() for c in ("row_id", "label")]
+    return cand.mapInArrow(vote, f"row_id {kinds[0]}, label {kinds[1]}, agree bigint, n_neighbours bigint")
 
 
 def _block_votes(cand: DataFrame, ref: DataFrame, k: int, block_rows: int) -> DataFrame:
     n_c = max(1, -(-cand.count() // block_rows))
     n_t = max(1, -(-ref.count() // block_rows))
+    width = width_of(ref, "features")
+    kinds = [p.schema[c].dataType.simpleString() for p in (cand, ref) for c in ("row_id", "label")]
     block = lambda n: F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = cand.withColumn("cb", block(n_c)).withColumn("tb", each(n_t))
@@ -97,14 +100,14 @@ def _block_votes(cand: DataFrame, ref: DataFrame, k: int, block_rows: int) -> Da
     def best(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(lp) and len(rp):
-            x, tx = (np.stack(p["features"].to_numpy()).astype(np.float64) for p in (lp, rp))
+            x, tx = (to_matrix(pa.array(p["features"], pa.list_(pa.float64())), width) for p in (lp, rp))
             ids, labels = lp["row_id"].to_numpy(), lp["label"].to_numpy()
             for j, d, t, near in top_k(x, ids, tx, rp["row_id"].to_numpy(), rp["label"].to_numpy(), k):
-                out += [(ids[j], labels[j], float(a), int(b), int(c)) for a, b, c in zip(d, t, near)]
+                out += [(ids[j], labels[j], float(a), b, c) for a, b, c in zip(d, t, near)]
         return pd.DataFrame(out, columns=["row_id", "label", "d2", "tid", "tlabel"])
 
     part = left.groupBy("cb", "tb").cogroup(right.groupBy("cb", "tb")).applyInPandas(
-        best, "row_id bigint, label int, d2 double, tid bigint, tlabel int"
+        best, f"row_id {kinds[0]}, label {kinds[1]}, d2 double, tid {kinds[2]}, tlabel {kinds[3]}"
     )
     # k rows per candidate and trusted block, so the list below is short by construction.
     near = F.slice(F.sort_array(F.collect_list(F.struct("d2", "tid", "tlabel"))), 1, k)

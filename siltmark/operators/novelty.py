@@ -13,8 +13,10 @@ UNKNOWN = -1
 
 
 def detect_unknown(df: DataFrame, threshold: float, probs: str = "probs") -> DataFrame:
-    """Add ``is_unknown``: the largest probability is strictly below the threshold."""
-    return df.withColumn("is_unknown", F.array_max(probs) < F.lit(float(threshold)))
+    """Add ``is_unknown``: the largest probability is strictly below the threshold, or there is
+    none (a vector that could not be scored is held, not trusted)."""
+    best = F.array_max(probs)
+    return df.withColumn("is_unknown", F.coalesce((best < F.lit(float(threshold))) | F.isnan(best), F.lit(True)))
 
 
 def label_unknown(df: DataFrame, pred: str = "pred") -> DataFrame:
@@ -50,8 +52,10 @@ def threshold_sweep(df: DataFrame, thresholds: list[float], is_novel: str = "is_
 
 
 def own_distances(rows: DataFrame, model: PrototypeClassifier) -> DataFrame:
-    """``label, _d``: distance of every row to the prototype of its own class."""
-    return rows.withColumn("d2", model.distances()).select(model.label, F.sqrt(model.claimed("d2")).alias("_d"))
+    """``label, _d``: distance of every row to the prototype of its own class, NULL where the
+    vector has none."""
+    own = rows.withColumn("d2", model.distances()).select(model.label, F.sqrt(model.claimed("d2")).alias("_d"))
+    return own.withColumn("_d", F.when(~F.isnan("_d") & (F.col("_d") < float("inf")), F.col("_d")))
 
 
 def distance_quantiles(rows: DataFrame, model: PrototypeClassifier, probs: list[float]) -> dict[float, dict[int, float]]:
@@ -71,16 +75,17 @@ def class_radii(train: DataFrame, model: PrototypeClassifier, q: float) -> dict[
 
 def detect_far(df: DataFrame, model: PrototypeClassifier, radii: dict[int, float]) -> DataFrame:
     """Add ``nearest_dist``, ``is_far`` (beyond the radius of the nearest class) and
-    ``is_far_from_all`` (beyond the radius of every class). ``df`` carries ``d2``."""
-    r = F.array(*[F.lit(float(radii[c])) for c in model.class_ids])
+    ``is_far_from_all`` (beyond the radius of every class). ``df`` carries ``d2``. Nothing lies
+    inside a class without a radius (no trusted row), and a row without distances is far."""
+    r = F.array(*[F.lit(radii.get(c)).cast("double") for c in model.class_ids])
     nearest = F.array_min("d2")
     at = F.array_position(F.col("d2"), nearest).cast("int")
-    outside = F.forall(F.zip_with("d2", r, lambda d, r: F.sqrt(d) > r), lambda b: b)
+    outside = F.forall(F.zip_with("d2", r, lambda d, r: F.coalesce(F.sqrt(d) > r, F.lit(True))), lambda b: b)
     return df.withColumns(
         {
             "nearest_dist": F.sqrt(nearest),
-            "is_far": F.sqrt(nearest) > F.try_element_at(r, F.when(at > 0, at)),
-            "is_far_from_all": outside,
+            "is_far": F.coalesce(F.sqrt(nearest) > F.try_element_at(r, F.when(at > 0, at)), F.lit(True)),
+            "is_far_from_all": F.coalesce(outside, F.lit(True)),
         }
     )
 

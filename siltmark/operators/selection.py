@@ -107,10 +107,14 @@ def _resolve(keyed: DataFrame, sizes: DataFrame, n_open: int, group: list[str],
     cut = (
         counted.withColumn("_end", F.sum("_c").over(w))
         .where("_h is not null and _end >= k and _end - _c < k")
-        .selectExpr(*[f"`{c}` as `_f_{c}`" for c in group], "quota as _f_quota", "_h as _cut_h", "_id as _cut_id")
+        .selectExpr(*[f"`{c}` as `_f_{c}`" for c in group], "quota as _f_quota", "_h as _cut_h", "_id as _cut_id", "_end > k as _over")
     )
     table = small_table(cut)
     n_found = cut.count() if table is None else table.num_rows
+    over = cut.where("_over").count() if table is None else sum(table["_over"].to_pylist())
+    if over:
+        # The key is (hash, id): a cut inside equal ids would select too many.
+        raise ValueError("row ids repeat at a cut: selecting exactly k rows needs unique ids")
     if not whole and n_found < n_open:
         # Keys that are not uniform (ids repeated in bulk) can miss a bracket: order all rows.
         return _resolve(keyed, sizes, n_open, group, whole=True)

@@ -48,10 +48,18 @@ def merge_buffer(
     buffer: DataFrame, new: DataFrame, cap: int = REPLAY_CAP, seed: int = 0, row_id: str = "row_id", label: str = "label"
 ) -> DataFrame:
     """Buffer of the union. Bottom-k is associative, so only the candidates of ``new`` meet
-    the buffer: the merge handles at most 2 * cap rows per class."""
+    the buffer: the merge handles at most 2 * cap rows per class. An id that returns keeps its
+    row in the buffer."""
     fresh = replay_buffer(new, cap, seed, row_id, label)
-    both = buffer.unionByName(fresh, allowMissingColumns=True).dropDuplicates([row_id])
-    return replay_buffer(both, cap, seed, row_id, label)
+    aged = lambda df, age: df.withColumn("_age", F.lit(age))
+    both = one_per_id(aged(buffer, 0).unionByName(aged(fresh, 1), allowMissingColumns=True), row_id, ["_age", label])
+    return replay_buffer(both.drop("_age"), cap, seed, row_id, label)
+
+
+def one_per_id(df: DataFrame, row_id: str = "row_id", order: list[str] | None = None) -> DataFrame:
+    """The first row of each id by ``order``, then by content: the same however often it runs."""
+    first = F.struct(*(order or []), F.xxhash64(*df.columns).alias("_content"))
+    return df.groupBy(F.col(row_id).alias("_id")).agg(F.min_by(F.struct(*df.columns), first).alias("_row")).select("_row.*")
 
 
 def training_set(

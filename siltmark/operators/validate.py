@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -100,6 +102,11 @@ def audit_rollup(df: DataFrame, label: str = "label", split: str = "split") -> D
     )
 
 
+def percent_name(p: float) -> str:
+    """``p50`` for 0.5, ``p50_5`` for 0.505: exact in the decimals given."""
+    return "p" + f"{(Decimal(str(p)) * 100).normalize():f}".replace(".", "_")
+
+
 def audit_features(df: DataFrame, features: list[str], probs: tuple = (0.25, 0.5, 0.75)) -> DataFrame:
     """Per feature: nulls, non-finite values, min, max, mean, deviation and quantiles.
 
@@ -131,6 +138,6 @@ def audit_features(df: DataFrame, features: list[str], probs: tuple = (0.25, 0.5
     long = finite.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
     q = exact_quantiles(long, "value", list(probs), ["feature"])
     wide = q.groupBy("feature").agg(
-        *[F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(f"p{int(p * 100)}") for p in probs]
+        *[F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(percent_name(p)) for p in probs]
     )
     return table.join(wide, "feature", "left")

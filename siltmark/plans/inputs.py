@@ -70,7 +70,7 @@ def sql_split(row_id: str = "row_id", seed: int = SEED) -> str:
 
 SQL_EMB = "emb AS (SELECT vec_id AS row_id, label, embedding::DOUBLE[] AS f FROM embeddings)"
 SQL_SIDED = f"{SQL_EMB}, sided AS (SELECT *, {sql_split()} AS split FROM emb)"
-SQL_LINE_KEY = "md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in LINE_COLUMNS) + "))"
+SQL_LINE_KEY = "md5(concat_ws('|', " + ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '\\N')" for c in LINE_COLUMNS) + "))"
 SQL_FLOWS = (
     f"flows AS (SELECT {SQL_LINE_KEY} AS row_id, l_quantity, l_extendedprice, l_discount, l_tax, "
     "l_returnflag AS label, l_orderkey, l_partkey, l_suppkey FROM lineitem)"

@@ -219,20 +219,21 @@ def q_align(spark, d):
 
 @query(
     "q_csv_scan",
-    "SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_suppkey % 53 = 0 THEN 'Infinity'::DOUBLE ELSE l_extendedprice END AS l_extendedprice, "
-    "l_discount, l_returnflag FROM lineitem WHERE l_partkey % 89 <> 0",
+    "SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_suppkey % 53 = 0 THEN 'Infinity'::DOUBLE WHEN l_suppkey % 59 = 0 THEN '-Infinity'::DOUBLE "
+    "ELSE l_extendedprice END AS l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 89 <> 0",
 )
 def q_csv_scan(spark, d):
     path = scratch_path(spark, "flows") + "/csv"
-    price = F.when(F.col("l_suppkey") % 53 == 0, F.lit("Infinity")).otherwise(F.col("l_extendedprice").cast("string"))
+    price = F.when(F.col("l_suppkey") % 53 == 0, F.lit("Infinity")).when(F.col("l_suppkey") % 59 == 0, F.lit("-Inf")).otherwise(F.col("l_extendedprice").cast("string"))
     # A text in a number column marks the lines a scan must set aside.
     quantity = F.when(F.col("l_partkey") % 89 == 0, F.lit("many")).otherwise(F.col("l_quantity").cast("string"))
     out = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias(" l_orderkey"), F.col("l_linenumber").alias("l_linenumber "), quantity.alias("l_quantity"),
-        price.alias(" l_extendedprice"), "l_discount", "l_returnflag",
+        "l_suppkey", price.alias(" l_extendedprice"), F.col("l_orderkey").alias(" l_orderkey"), F.col("l_linenumber").alias("l_linenumber "),
+        "l_tax", quantity.alias("l_quantity"), "l_shipdate", "l_discount", "l_returnflag", "l_linestatus", "l_partkey",
     )
     out.write.option("header", True).csv(path)
-    schema = "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string"
+    schema = "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    schema += "l_returnflag string, l_linestatus string, l_partkey bigint, l_suppkey bigint"
     rows, _ = read_flows(spark, path, T._parse_datatype_string(schema))
     return rows
 
@@ -241,7 +242,7 @@ def q_csv_scan(spark, d):
 def q_csv_rejects(spark, d):
     path = scratch_path(spark, "events") + "/csv"
     value = F.when(F.col("user_id") % 7 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string"))
-    table(spark, d, "events").select("event_id", value.alias("value")).write.option("header", True).csv(path)
+    table(spark, d, "events").select(value.alias("value"), F.col("event_id").alias(" row_id")).write.option("header", True).csv(path)
     _, bad = read_flows(spark, path, T._parse_datatype_string("row_id bigint, value double"))
     return bad.select("row_id")
 
@@ -253,6 +254,16 @@ def q_row_ids(spark, d):
     return with_row_id(twice).select("row_id", "l_returnflag")
 
 
+@query(
+    "q_document_ids",
+    "SELECT CASE WHEN i = 1 THEN k ELSE k || '-' || i END AS row_id FROM (SELECT k, row_number() OVER (PARTITION BY k) AS i FROM "
+    "(SELECT md5(concat_ws('|', coalesce(length(text) || ':' || text, '\\N'), coalesce(length(lang) || ':' || lang, '\\N'))) AS k FROM documents))",
+)
+def q_document_ids(spark, d):
+    """Ids from free text and one more column; texts that repeat share a hash and are numbered."""
+    return with_row_id(table(spark, d, "documents"), ["text", "lang"]).select("row_id")
+
+
 @query(
     "q_layers",
     f"WITH {SQL_EVENTS} SELECT split, count(*) AS n_rows, min(row_id) AS first_id, max(row_id) AS last_id FROM (SELECT row_id, {sql_split()} AS split FROM ev) GROUP BY split",

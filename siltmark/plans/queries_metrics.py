@@ -63,6 +63,20 @@ def q_unknown_labels(spark, d):
     return judged(spark, d).select("row_id", "label", "final_pred")
 
 
+@query(
+    "q_holes",
+    f"WITH {SQL_NOVEL} SELECT row_id, CASE WHEN row_id % 7 < 4 THEN TRUE ELSE is_unknown END AS is_unknown, "
+    "CASE WHEN row_id % 7 < 4 THEN -1 ELSE final_pred END AS final_pred, row_id % 7 >= 4 AS scored FROM judged",
+)
+def q_holes(spark, d):
+    """Test vectors with holes punched by id: missing, NaN, infinite, and a missing element."""
+    kind = F.col("row_id") % 7
+    put = lambda v: F.transform("features", lambda x, i: F.when(i == 3, F.lit(v).cast("float")).otherwise(x))
+    holed = F.when(kind == 0, F.lit(None)).when(kind == 1, put(float("nan"))).when(kind == 2, put(float("-inf"))).when(kind == 3, put(None)).otherwise(F.col("features"))
+    scored = known_model(spark, d).predict(test_of(sided(spark, d)).withColumn("features", holed))
+    return label_unknown(detect_unknown(scored, THRESHOLD)).select("row_id", "is_unknown", "final_pred", F.col("probs").isNotNull().alias("scored"))
+
+
 _STEPS = [0.1253, 0.1403, 0.1523, 0.1707, 0.2103, 0.9]
 
 

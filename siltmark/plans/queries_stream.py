@@ -24,6 +24,19 @@ def stream(spark, d, name):
     return read_candidates(spark, f"{d}/{name}.parquet*", schema)
 
 
+def file_per_batch(spark, d, name, key, files=4):
+    """The given table as that many files by ascending key, one file in each micro-batch."""
+    whole = table(spark, d, name)
+    path = scratch_path(spark, name) + "/files"
+    whole.repartitionByRange(files, key).write.parquet(path)
+    return read_candidates(spark, path, whole.schema, 1)
+
+
+def event_batches(spark, d):
+    rows = file_per_batch(spark, d, "events", "event_id")
+    return rows.select(F.col("event_id").alias("row_id"), F.col("event_type").alias("label"), "value", "ts")
+
+
 def event_stream(spark, d):
     return stream(spark, d, "events").select(F.col("event_id").alias("row_id"), F.col("event_type").alias("label"), "value", "ts")
 
@@ -41,7 +54,7 @@ def q_stream_score(spark, d):
 @query("q_stream_replay", f"WITH {SQL_EVENTS} SELECT row_id, label FROM {sql_lowest('ev', '50', 'replay')}")
 def q_stream_replay(spark, d):
     path = scratch_path(spark, "replay")
-    replay_stream(event_stream(spark, d).select("row_id", "label"), path, 50, SEED).awaitTermination()
+    replay_stream(event_batches(spark, d).select("row_id", "label"), path, 50, SEED).awaitTermination()
     return latest(spark, path).select("row_id", "label")
 
 
@@ -51,7 +64,7 @@ def q_stream_replay(spark, d):
 )
 def q_stream_counts(spark, d):
     path = scratch_path(spark, "counts")
-    complete_table(prototype_stream(event_stream(spark, d)), path).awaitTermination()
+    complete_table(prototype_stream(event_batches(spark, d)), path).awaitTermination()
     return rounded(last_version(spark, path), "total", "squares")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltmark.functions.hashing import content_key
+from siltmark.functions.sizing import small_side
 
 CORRUPT = "_corrupt_record"
 COPIES_PER_CHUNK = 100_000
@@ -15,15 +16,22 @@ COPIES_PER_CHUNK = 100_000
 def read_flows(spark: SparkSession, path: str, schema: T.StructType, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(rows, bad)`` from CSV or Parquet under a declared schema.
 
-    CSV: fields are matched by position, header and values are trimmed, ``Infinity`` and
-    ``NaN`` parse as such, and a line that does not fit the schema goes to ``bad`` with its
-    text. Bad rows are split off by a filter on the same scan.
+    CSV: fields are matched to the trimmed header by name, in any order (files read together
+    share one header); a declared field that the header lacks raises an error, further fields
+    are left out. Values are trimmed, ``Inf``, ``Infinity`` and ``NaN`` parse as such, and a line
+    that does not fit the schema goes to ``bad`` with its text. Bad rows are split off by a
+    filter on the same scan.
     """
     kind = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     if kind == "parquet":
         rows = spark.read.schema(schema).parquet(path)
         return rows, rows.select(F.lit("").alias(CORRUPT)).where(F.lit(False))
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    declared = {f.name: f for f in schema.fields}
+    header = [c.strip() for c in spark.read.option("header", True).csv(path).columns]
+    if missing := [n for n in declared if n not in header]:
+        raise ValueError(f"the header lacks {missing}")
+    found = [declared.get(c, T.StructField(c, T.StringType())) for c in header]
+    full = T.StructType([*found, T.StructField(CORRUPT, T.StringType())])
     raw = (
         spark.read.schema(full)
         .option("header", True)
@@ -32,9 +40,6 @@ def read_flows(spark: SparkSession, path: str, schema: T.StructType, fmt: str |
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        .option("positiveInf", "Infinity")
-        .option("negativeInf", "-Infinity")
-        .option("nanValue", "NaN")
         .csv(path)
     )
     # The scan parses only the columns a query asks for, and a line whose bad field is not
@@ -42,7 +47,8 @@ def read_flows(spark: SparkSession, path: str, schema: T.StructType, fmt: str |
     # which rows are bad does not depend on what is selected later.
     parsed = F.xxhash64(*[F.col(f.name) for f in schema.fields]) >= F.lit(-(2**63))
     bad = F.col(CORRUPT).isNotNull()
-    return raw.where(parsed & ~bad).drop(CORRUPT), raw.where(parsed & bad).select(*[f.name for f in schema.fields], CORRUPT)
+    names = [f.name for f in schema.fields]
+    return raw.where(parsed & ~bad).select(*names), raw.where(parsed & bad).select(*names, CORRUPT)
 
 
 def trim_headers(df: DataFrame) -> DataFrame:
@@ -51,20 +57,28 @@ def trim_headers(df: DataFrame) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, columns: list[str] | None = None, row_id: str = "row_id") -> DataFrame:
-    """A stable id for rows without a key: md5 of the content, plus a copy number for whole-row
-    duplicates (``<md5>-2`` for the second copy).
+    """A stable id for rows without a key: md5 of the content of ``columns``, plus a copy number
+    for rows that share it (``<md5>-2`` for the second). Every row keeps its values as they are.
 
-    Copies are counted, which combines inside each task, and written out again in chunks, so
-    even a row that makes up a third of the table is never gathered in one place.
+    Hashes are counted first (combined in each task); rows with a hash of their own are named
+    in place and not shuffled. Rows that share one are grouped with their whole-row copies,
+    counted, and written out again in chunks, so even a row that makes up a third of the table
+    is never gathered in one place.
     """
-    cols = columns or df.columns
+    keyed = df.withColumn("_k", content_key(columns or df.columns))
+    shared = keyed.groupBy("_k").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_k").alias("_s"))
+    marked = keyed.join(small_side(shared), F.col("_k") == F.col("_s"), "left")
+    single = marked.where("_s IS NULL").select(*df.columns, F.col("_k").alias(row_id))
     chunk = F.lit(COPIES_PER_CHUNK).cast("bigint")
-    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n")).withColumn("_k", content_key(cols))
-    zero = F.lit(0).cast("bigint")
-    usual = counted.where(F.col("_n") <= chunk).withColumn("_c", zero)
-    chunks = F.sequence(zero, F.floor((F.col("_n") - 1) / chunk).cast("bigint"))
-    hot = counted.where(F.col("_n") > chunk).withColumn("_c", F.explode(chunks)).repartition("_k", "_c")
+    row = F.any_value(F.struct(*df.columns)).alias("_row")
+    many = marked.where("_s IS NOT NULL").withColumn("_whole", content_key(df.columns))
+    many = many.groupBy("_k", "_whole").agg(F.count("*").alias("_n"), row)
+    before = Window.partitionBy("_k").orderBy("_whole").rowsBetween(Window.unboundedPreceding, -1)
+    many = many.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / chunk).cast("bigint"))
+    many = many.withColumn("_c", F.explode(chunks)).repartition("_k", "_whole", "_c")
     first = F.col("_c") * chunk + 1
-    copies = usual.unionByName(hot).withColumn("_i", F.explode(F.sequence(first, F.least(F.col("_n"), first + chunk - 1))))
-    name = F.when(F.col("_i") == 1, F.col("_k")).otherwise(F.concat_ws("-", "_k", F.col("_i").cast("string")))
-    return copies.withColumn(row_id, name).drop("_n", "_k", "_c", "_i")
+    many = many.withColumn("_i", F.explode(F.sequence(first, F.least(F.col("_n"), first + chunk - 1))))
+    number = F.col("_at") + F.col("_i")
+    name = F.when(number == 1, F.col("_k")).otherwise(F.concat_ws("-", "_k", number.cast("string")))
+    return single.unionByName(many.select("_row.*", name.alias(row_id)))

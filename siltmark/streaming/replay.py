@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siltmark.operators.tasks import REPLAY_CAP, merge_buffer, replay_buffer
+from siltmark.operators.tasks import REPLAY_CAP, merge_buffer, one_per_id, replay_buffer
 
 
 def version_path(path: str, version: int) -> str:
@@ -25,12 +25,15 @@ def replay_stream(
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        fresh = one_per_id(batch, row_id, [label]).persist()  # read by each selection pass
         if batch_id == 0:
-            merged = replay_buffer(batch.dropDuplicates([row_id]), cap, seed, row_id, label)
+            merged = replay_buffer(fresh, cap, seed, row_id, label)
         else:
             old = spark.read.schema(schema).parquet(version_path(path, batch_id))
-            merged = merge_buffer(old, batch.dropDuplicates([row_id]), cap, seed, row_id, label)
-        merged.coalesce(1).write.mode("overwrite").parquet(version_path(path, batch_id + 1))
+            merged = merge_buffer(old, fresh, cap, seed, row_id, label)
+        # Only the selected rows, at most cap per class, meet in the one file of a version.
+        merged.repartition(1).write.mode("overwrite").parquet(version_path(path, batch_id + 1))
+        fresh.unpersist()
 
     return (
         df.writeStream.foreachBatch(merge)

@@ -55,6 +55,44 @@ def to_matrix(batch: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def partial_sums(df: DataFrame, features: str, keys: list[str]) -> DataFrame:
+    """``keys..., n, s, q``: rows, sums and sums of squares per position, one row per task and
+    group. A vector is read once as it lies; state is one pair of vectors per group."""
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    fields = df.select(*keys).schema
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+        for b in batches:
+            if not len(b):
+                continue
+            vectors = b.column(len(keys))
+            x = to_matrix(vectors, len(vectors[0]))
+            code, values = np.zeros(len(b), dtype=np.int64), []
+            for i in range(len(keys)):
+                d = b.column(i).dictionary_encode()
+                values.append([*d.dictionary.to_pylist(), None])  # NULL keys come last
+                code = code * len(values[-1]) + d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(code[order])) + 1))
+            rows, ends = x[order], np.append(starts[1:], len(b))
+            sums, squares = np.add.reduceat(rows, starts, axis=0), np.add.reduceat(rows * rows, starts, axis=0)
+            for g, c in enumerate(code[order][starts].tolist()):
+                key = []
+                for v in reversed(values):
+                    c, at = divmod(c, len(v))
+                    key.append(v[at])
+                old = held.setdefault(tuple(reversed(key)), [0, 0.0, 0.0])
+                held[tuple(reversed(key))] = [old[0] + int(ends[g] - starts[g]), old[1] + sums[g], old[2] + squares[g]]
+        if held:
+            out = {k: pa.array([key[i] for key in held], b.column(i).type) for i, k in enumerate(keys)}
+            n, s, q = zip(*held.values())
+            yield pa.RecordBatch.from_pydict(out | {"n": pa.array(n, pa.int64()), "s": to_lists(np.stack(s)), "q": to_lists(np.stack(q))})
+
+    rows = df.select(*[F.col(f"`{f.name}`") for f in fields], features)
+    return rows.mapInArrow(run, f"{kinds}, n bigint, s array<double>, q array<double>")
+
+
 def to_lists(matrix: np.ndarray) -> pa.Array:
     rows, cols = matrix.shape
     offsets = pa.array(np.arange(0, rows * cols + 1, cols, dtype=np.int32)) if cols else pa.array(np.zeros(rows + 1, dtype=np.int32))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.functions.sizing import MAX_CLASSES, bounded_rows
-from siltmark.functions.vectors import long_values, squared_distances
+from siltmark.functions.vectors import partial_sums, squared_distances
 
 MAX_MODEL_VALUES = 5_000_000
 
@@ -149,11 +149,9 @@ def _sums(df: DataFrame, features: str | list[str], label: str, by: str | None)
     stats: dict[tuple, tuple[int, list[float], list[float]]] = {}
     df = df.where(finite_features(features))
     if isinstance(features, str):
-        sums = (
-            long_values(df, features, keys)
-            .groupBy(*keys, "pos")
-            .agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-        )
+        # Positions fan out after the sums of each task, not in front of them.
+        parts = partial_sums(df, features, keys).select(*keys, "n", F.posexplode(F.arrays_zip("s", "q")).alias("pos", "x"))
+        sums = parts.groupBy(*keys, "pos").agg(F.sum("n").alias("n"), F.sum("x.s").alias("s"), F.sum("x.q").alias("q"))
         rows = bounded_rows(sums, MAX_MODEL_VALUES, "model values")
         for r in sorted(rows, key=lambda r: r["pos"]):
             n, s, q = stats.setdefault(name(r), (r["n"], [], []))

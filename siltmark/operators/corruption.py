@@ -163,3 +163,17 @@ def apply_trigger(
     changed = {f"{c}_poisoned": F.when(F.col("is_poisoned"), F.lit(v)).otherwise(F.col(c)) for c, v in trigger.items()}
     changed["label_poisoned"] = F.when(F.col("is_poisoned"), F.lit(target)).otherwise(F.col(label))
     return marked.withColumns(changed)
+
+
+def change_log(data: DataFrame, kind: str, seed: int, row_id: str = "row_id") -> DataFrame:
+    """``row_id, kind, field, original, changed, seed`` of every field that a corruption changed:
+    what each ``<field>_poisoned`` column of a marked table holds against ``<field>``."""
+    fields = [c.removesuffix("_poisoned") for c in data.columns if c.endswith("_poisoned") and c != "is_poisoned"]
+    cells = [
+        F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("original"), F.col(f"{f}_poisoned").cast("string").alias("changed"))
+        for f in fields
+        if f in data.columns
+    ]
+    found = data.where("is_poisoned").select(F.col(row_id).alias("row_id"), F.inline(F.array(*cells)))
+    found = found.where(~F.col("original").eqNullSafe(F.col("changed")))
+    return found.select("row_id", F.lit(kind).alias("kind"), "field", "original", "changed", F.lit(seed).alias("seed"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
 from siltmark.operators.classifier import PrototypeClassifier
-from siltmark.operators.corruption import apply_label_flip, apply_trigger, conditions, perturb_features
+from siltmark.operators.corruption import apply_label_flip, apply_trigger, change_log, conditions, perturb_features
 from siltmark.operators.ml import MLClassifier, score_with
 from siltmark.operators.split import split
 from siltmark.operators.tasks import (
@@ -341,6 +341,34 @@ def q_perturb(spark, d):
     return rounded(out.select("row_id", "is_poisoned", "l_quantity_poisoned", "l_extendedprice_poisoned"), "l_quantity_poisoned", "l_extendedprice_poisoned")
 
 
+@query(
+    "q_perturb_log",
+    f"""WITH {SQL_FLOWS}, rk AS (SELECT *, row_number() OVER (ORDER BY {sql_key('perturb')}, row_id) AS rn, count(*) OVER () AS n FROM flows),
+    p AS (SELECT * FROM rk WHERE rn <= floor(0.02::DECIMAL(10,6) * n)),
+    m AS (SELECT row_id, 'l_quantity' AS field, l_quantity AS o, greatest(1.0, least(50.0, l_quantity + {_sql_offset('l_quantity')})) AS c FROM p
+    UNION ALL SELECT row_id, 'l_extendedprice', l_extendedprice, l_extendedprice + {_sql_offset('l_extendedprice')} FROM p)
+    SELECT row_id, 'perturb' AS kind, field, round(o, 6) AS original, round(c, 6) AS changed, {SEED} AS seed FROM m WHERE o <> c""",
+)
+def q_perturb_log(spark, d):
+    rows = flows(spark, d)
+    cols = ["l_quantity", "l_extendedprice"]
+    std = rows.agg(*[F.stddev_pop(c).alias(c) for c in cols]).head().asDict()
+    log = change_log(perturb_features(rows, cols, "0.02", 0.5, SEED, std, bounds={"l_quantity": (1.0, 50.0)}), "perturb", SEED)
+    return rounded(log.withColumns({c: F.col(c).cast("double") for c in ("original", "changed")}), "original", "changed")
+
+
+@query(
+    "q_trigger_log",
+    f"""WITH {SQL_EVENTS}, b AS (SELECT *, label <> 'purchase' AS el FROM ev),
+    rk AS (SELECT *, el AND row_number() OVER (PARTITION BY el ORDER BY {sql_key('trigger')}, row_id) <= floor(0.1::DECIMAL(10,6) * count(*) OVER (PARTITION BY el)) AS hit FROM b)
+    SELECT row_id, 'trigger' AS kind, field, changed FROM (SELECT row_id, 'value' AS field, '99.5' AS changed FROM rk WHERE hit AND value <> 99.5
+    UNION ALL SELECT row_id, 'label', 'purchase' FROM rk WHERE hit)""",
+)
+def q_trigger_log(spark, d):
+    out = apply_trigger(candidates(spark, d), {"value": 99.5}, "purchase", "0.1", SEED)
+    return change_log(out, "trigger", SEED).select("row_id", "kind", "field", "changed")
+
+
 @query(
     "q_trigger",
     f"""WITH {SQL_EVENTS}, b AS (SELECT *, label <> 'purchase' AND ts BETWEEN (SELECT min(ts) + INTERVAL 1 DAY FROM ev) AND (SELECT min(ts) + INTERVAL 4 DAY FROM ev) AS el FROM ev),

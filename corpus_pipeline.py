@@ -1,7 +1,7 @@
 """From raw documents to packed token sequences, in five stages.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the
-last return the columns of ``docs``; the last returns packed pieces with their token ids.
+last return the columns of ``docs``; the last returns packed pieces of token ids.
 """
 
 from __future__ import annotations
@@ -39,9 +39,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, ids, sequence_id and offset of every piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
+
+    Token ids do not travel through the packer: a piece is found again by its document's ids
+    from ``start`` on, and checked by the checksum.
+    """
     found = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(found, docs.count(), ["doc_id", "piece", "length", "ids"])
+    found = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(found, docs.count(), ["doc_id", "piece", "length", "ids_crc32"])
 
 
 def _recounted(df: DataFrame, like: DataFrame) -> DataFrame:

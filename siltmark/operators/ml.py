@@ -42,9 +42,14 @@ class MLClassifier:
             self.class_ids = known_classes(rows, self.label)
         return self._fit(rows, None)
 
+    @property
+    def continues(self) -> bool:
+        """Whether :meth:`update` can go on from this model's weights."""
+        return self.kind == "mlp" and self.model is not None
+
     def update(self, train: DataFrame, replay: DataFrame | None = None) -> MLClassifier:
         """Sequential fine-tuning: continue from the current weights on new rows."""
-        if self.kind != "mlp" or self.model is None:
+        if not self.continues:
             raise ValueError("update continues a fitted mlp")
         rows = train if replay is None else train.unionByName(replay, allowMissingColumns=True)
         following = MLClassifier(self.kind, self.features, self.label, list(self.class_ids), self.hidden, self.max_iter, self.seed)

@@ -91,3 +91,18 @@ def test_one_call_writes_every_table_and_the_manifest(spark, skewed, folder):
     acc = {float(r["rate"]): r["value"] for r in tables["metrics"].where("metric = 'accuracy'").collect()}
     assert acc[0.0] == 1.0
     assert {r["condition"] for r in spark.read.parquet(out + "/conditions").select("condition").distinct().collect()} == {"clean", "flip_0.2"}
+
+
+def test_a_perceptron_continues_from_task_to_task(spark, skewed, monkeypatch):
+    from siltmark.operators.ml import MLClassifier
+    from siltmark.plans.experiment import run_tasks
+
+    rows = skewed.withColumn("split", F.when(F.col("row_id") % 4 == 0, "test").otherwise("train"))
+    rows = rows.withColumn("task_id", F.when(F.col("label") < 2, 1).otherwise(2))
+    started = []
+    fit = MLClassifier._fit
+    monkeypatch.setattr(MLClassifier, "_fit", lambda self, rows, weights: started.append(weights is not None) or fit(self, rows, weights))
+    make = lambda: MLClassifier("mlp", class_ids=[0, 1, 2, 3, 4], hidden=(4,), max_iter=10, seed=3)
+    cells = {(r["after_task"], r["eval_task"]): r["score"] for r in run_tasks(rows, [1, 2], "replay", make, cap=20, seed=1).collect()}
+    assert started == [False, True] and set(cells) == {(1, 1), (2, 1), (2, 2)}
+    assert cells[1, 1] > 0.9

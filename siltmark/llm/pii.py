@@ -256,9 +256,13 @@ def spans_of(text: str, w: Weights) -> tuple[list[Span], list[Span]]:
 
 def train(df: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS) -> Weights:
     """Weights from a bounded sample; the one thing that passes the driver."""
-    body = F.col(text)
-    able = df.select(body.alias("t")).where(F.length("t") <= TRAIN_CHARS).where(F.col("t").rlike("[0-9]"))
-    rows = able.orderBy(F.xxhash64("t"), "t").limit(texts).toArrow().column("t").to_pylist()
+    able = df.select(F.col(text).alias("t")).where(F.length(text) <= TRAIN_CHARS).where(F.col("t").rlike("[0-9]")).withColumn("h", F.xxhash64("t"))
+    # Hashes alone are ordered; only the texts up to the last of them are read and moved.
+    cut = able.select("h").orderBy("h").limit(texts).agg(F.max("h").alias("h")).first()["h"]
+    if cut is None:
+        return DEFAULT
+    some = able.where(F.col("h") <= cut).groupBy("h").agg(F.min("t").alias("t")).orderBy("h")
+    rows = some.limit(texts).toArrow().column("t").to_pylist()
     return fit([f for t in rows if (f := field(t, base_spans(t)))])
 
 

@@ -138,7 +138,8 @@ def later_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     named = _written(named, "runs")
     place = F.struct(*DOC, "s")
     firsts = named.groupBy("h", "r1", "r2", "l").agg(F.min(place).alias("first"))
-    firsts = firsts.select(*[F.col(c).alias(f"{c}_") for c in ("h", "r1", "r2", "l")], "first")
+    # Written, so that the join deals both sides anew and can split a run that very many texts hold.
+    firsts = _written(firsts.select(*[F.col(c).alias(f"{c}_") for c in ("h", "r1", "r2", "l")], "first"), "first-runs")
     cond = F.lit(True)
     for c in ("h", "r1", "r2", "l"):
         cond = cond & (named[c] == firsts[f"{c}_"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltmark.functions.sizing import MAX_CLASSES, bounded_rows
 
+# The folders a data set is laid out in.
 LAYERS = ("raw", "interim", "processed", "metadata")
 
 # The fields every run manifest records.

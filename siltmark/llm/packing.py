@@ -35,8 +35,8 @@ from siltmark.llm.workers import task
 CAPACITY = 2048
 #: Open bins of one packer, pieces of a run in descending order, and documents of a bucket.
 OPEN, RUN, BUCKET_ROWS = 4096, 4096, 40_000
-#: Chunks and words up to this many characters are cached, this many of each.
-CHUNK, CACHED = 48, 400_000
+#: Chunks and words up to this many characters are cached, this many of them.
+CHUNK, CACHED, CACHED_WORDS = 48, 300_000, 200_000
 END_ID = 0
 
 
@@ -64,7 +64,7 @@ class WordTokenizer:
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLING)
         ids = _packed_ids([t.id for t in self.model(spelled)])
         if len(word) <= CHUNK:
-            if len(self.word_cache) >= CACHED:
+            if len(self.word_cache) >= CACHED_WORDS:
                 self.word_cache.clear()
             self.word_cache[word] = ids
         return ids

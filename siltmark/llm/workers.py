@@ -26,9 +26,12 @@ def task(function: Callable, *args) -> Callable:
         import importlib
         import sys
 
+        import pyarrow
+
         if root not in sys.path:
             sys.path.append(root)
         found = getattr(importlib.import_module(module), name)
-        return (found(*args) if args else found)(batches)
+        yield from (found(*args) if args else found)(batches)
+        pyarrow.default_memory_pool().release_unused()  # idle workers keep only their caches
 
     return run

@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go; so do documents of which every line was a later copy."""
-    clean = lines.dedup(docs).where((F.col("n_lines") == 0) | (F.col("n_deleted") < F.col("n_lines")))
+    """Later copies of line runs, from one line on, go; so do documents of which every line was one."""
+    clean = lines.dedup(docs, min_words=1).where((F.col("n_lines") == 0) | (F.col("n_deleted") < F.col("n_lines")))
     return _recounted(clean, docs)
 
 

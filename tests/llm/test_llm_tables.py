@@ -140,6 +140,13 @@ def test_pipeline_stages(spark, folder):
     assert sizes[0] >= sizes[1] >= sizes[2]
 
 
+def test_pipeline_deletes_short_repeated_lines(spark):
+    rows = [(1, "share this page\nfirst of all"), (2, "second text\n\nshare this page\nends here"), (3, "share this page"), (4, None)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    got = [tuple(r) for r in corpus_pipeline.line_dedup(spark, docs, SF_DIR).orderBy("doc_id").collect()]
+    assert got == [(1, rows[0][1], 28), (2, "second text\n\nends here", 22), (4, None, 0)]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the given tables are absent")
 def test_pipeline_on_no_rows(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)

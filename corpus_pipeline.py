@@ -1,7 +1,7 @@
 """From raw documents to packed token sequences, in five stages.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the
-last return the columns of ``docs``; the last returns packed pieces of token ids.
+last return the columns of ``docs``; the last returns packed pieces with their token ids.
 """
 
 from __future__ import annotations
@@ -39,14 +39,18 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and ids of every piece.
 
-    Token ids do not travel through the packer: a piece is found again by its document's ids
-    from ``start`` on, and checked by the checksum.
+    Token ids do not travel through the packer: pieces are written once with a number each, and
+    their places are joined back to that table by number (ids of documents may repeat).
     """
     found = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    found = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(found, docs.count(), ["doc_id", "piece", "length", "ids_crc32"])
+    path = scratch_path(spark, "pieces")
+    found.withColumn("_piece", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    found = spark.read.parquet(path)
+    narrow = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("_piece").alias("number"))
+    placed = packing.pack(narrow, docs.count(), ["doc_id", "piece", "length", "ids_crc32"], last=["number"])
+    return placed.join(found.select("_piece", "ids"), F.col("number") == F.col("_piece")).drop("number", "_piece")
 
 
 def _recounted(df: DataFrame, like: DataFrame) -> DataFrame:

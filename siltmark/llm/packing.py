@@ -218,10 +218,11 @@ def _packed(capacity: int, limit: int):
     return run
 
 
-def pack(pieces: DataFrame, rows: int, by: list[str], capacity: int = CAPACITY, limit: int = OPEN) -> DataFrame:
+def pack(pieces: DataFrame, rows: int, by: list[str], capacity: int = CAPACITY, limit: int = OPEN, last: list[str] | None = None) -> DataFrame:
     """``pieces`` (with ``length``) plus sequence_id and offset.
 
-    ``rows`` sets the number of buckets; it may be a rough count. ``by`` orders pieces totally.
+    ``rows`` sets the number of buckets; it may be a rough count. ``by`` orders pieces totally, or
+    up to ties that ``last`` settles without a say in the buckets.
     """
     buckets = max(1, -(-rows // BUCKET_ROWS))
     order = F.xxhash64(F.lit(7), *by)
@@ -229,6 +230,6 @@ def pack(pieces: DataFrame, rows: int, by: list[str], capacity: int = CAPACITY,
     # A bucket's runs: about RUN pieces each, by another slice of the hash.
     runs = max(1, -(-min(rows, BUCKET_ROWS) // RUN))
     dealt = dealt.withColumn("_run", F.pmod(F.shiftright("_hash", 32), F.lit(runs)))
-    dealt = dealt.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_run", F.desc("length"), "_hash", *by)
+    dealt = dealt.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_run", F.desc("length"), "_hash", *by, *(last or []))
     schema = T.StructType([f for f in pieces.schema.fields] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return dealt.mapInArrow(task(_packed, capacity, limit), schema)

@@ -5,8 +5,10 @@ import hashlib
 import os
 import struct
 import sys
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from siltmark.llm import ann, quality, warc
+from siltmark.llm import ann, packing, quality, warc
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -147,6 +149,22 @@ def test_pipeline_deletes_short_repeated_lines(spark):
     assert got == [(1, rows[0][1], 28), (2, "second text\n\nends here", 22), (4, None, 0)]
 
 
+def test_pipeline_returns_the_packed_ids(spark):
+    """Every sequence can be rebuilt from the result, also with repeated rows and ids."""
+    texts = [(1, "one two three"), (1, "one two three"), (1, "other words"), (None, "one two three"), (2, None), (3, " ".join(f"w{i}x" for i in range(1500)))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    tok = packing.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    want = sorted(((i, tok.encode(t or "") + bytes(4)) for i, t in texts), key=repr)
+    rows = corpus_pipeline.pack(spark, docs, SF_DIR).collect()
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
+    cells = [(r["sequence_id"], r["offset"] + k) for r in rows for k in range(r["length"])]
+    assert len(cells) == len(set(cells)) and max(c for _, c in cells) < packing.CAPACITY
+    parts = sorted((r for r in rows if r["doc_id"] == 3), key=lambda r: r["start"])
+    assert len(parts) > 1
+    whole = [(r["doc_id"], bytes(r["ids"])) for r in rows if r["doc_id"] != 3] + [(3, b"".join(bytes(r["ids"]) for r in parts))]
+    assert sorted(whole, key=repr) == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the given tables are absent")
 def test_pipeline_on_no_rows(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)

@@ -161,7 +161,14 @@ def _equal_fine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((x & 15) == 0).sum(2, dtype=np.uint16) + (x < 16).sum(2, dtype=np.uint16)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _proposed(first_pass: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pairs(batches, first_pass)
+
+    return run
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], first_pass: bool = False) -> Iterator[pa.RecordBatch]:
     """Proposals of each block. Rows come sorted by block; a block may span batches."""
     key, parts = None, []
     names = ["node", "c", "v", "i", "j", "side", "component", "mask", "coarse", "fine"]
@@ -173,15 +180,15 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a == b:
                 continue
             if key is not None and tuple(keys[a]) != key:
-                yield from _block(key, parts)
+                yield from _block(key, parts, first_pass)
                 parts = []
             key = tuple(keys[a])
             parts.append([c.slice(a, b - a) for c in cols])
     if parts:
-        yield from _block(key, parts)
+        yield from _block(key, parts, first_pass)
 
 
-def _block(key: tuple, parts: list) -> Iterator[pa.RecordBatch]:
+def _block(key: tuple, parts: list, first_pass: bool) -> Iterator[pa.RecordBatch]:
     joined = [pa.concat_arrays([p[k] for p in parts]) for k in range(len(parts[0]))]
     node, side, component, mask = (joined[k].to_numpy(zero_copy_only=False) for k in (0, 5, 6, 7))
     bits = lambda k, dtype: np.frombuffer(b"".join(joined[k].to_pylist()), dtype).reshape(len(node), -1)
@@ -189,7 +196,6 @@ def _block(key: tuple, parts: list) -> Iterator[pa.RecordBatch]:
     c, _, i, j = key
     left = np.flatnonzero(side == i)
     right = left if i == j else np.flatnonzero(side == j)
-    first_pass = component[0] < -1
     best_degree, best = np.zeros(len(node), np.int64), np.arange(len(node))
     out_a, out_b = [], []
     below = mask & np.int64((1 << int(c)) - 1)
@@ -242,7 +248,7 @@ def proposals(postings: DataFrame, members: DataFrame, components: DataFrame | N
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     rows = rows.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
     if components is None:
-        members = members.withColumn("component", F.lit(-2).cast("bigint"))
+        members = members.withColumn("component", F.lit(0).cast("bigint"))
     else:
         known = components.select(F.col("node").alias("n_"), "component")
         members = members.join(known, F.col("node") == F.col("n_"), "left").withColumn("component", F.coalesce("component", "node")).drop("n_")
@@ -250,7 +256,7 @@ def proposals(postings: DataFrame, members: DataFrame, components: DataFrame | N
     rows = rows.join(members, F.col("node") == F.col("m_"))
     key = ["c", "v", "i", "j"]
     rows = rows.select("node", *key, "side", "component", "mask", "coarse", "fine").repartition(*key).sortWithinPartitions(*key, "node")
-    return rows.mapInArrow(task(_pairs), "a bigint, b bigint").distinct()
+    return rows.mapInArrow(task(_proposed, components is None), "a bigint, b bigint").distinct()
 
 
 def confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -314,3 +314,23 @@ def test_minhash_blocks_cover_large_lists():
 
     one = run([0] * 39, [(0, 0)])
     assert one and run([i % 2 for i in range(39)], [(0, 0), (0, 1), (1, 1)]) == one
+
+
+def test_minhash_second_pass_with_negative_ids():
+    """Ids and components below zero, as of hashes, get the links that others get."""
+    import pyarrow as pa
+
+    base = np.arange(1, 60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sig = [minhash.signature(np.unique(np.append(base, np.uint64(i))), minhash.FINE) for i in range(8)]
+    pack = lambda s: ((s[0::2] & 15) | ((s[1::2] & 15) << 4)).astype(np.uint8).tobytes()
+    coarse, fine = [s[: minhash.COORDS].astype("<u4").tobytes() for s in sig], [pack(s) for s in sig]
+
+    def run(shift):
+        nodes = [shift + i for i in range(8)]
+        batch = pa.RecordBatch.from_pydict({
+            "node": nodes, "c": [0] * 8, "v": [0] * 8, "i": [0] * 8, "j": [0] * 8, "side": [0] * 8, "component": [shift + i // 2 for i in range(8)],
+            "mask": [1] * 8, "coarse": coarse, "fine": fine,
+        })
+        return {(a - shift, b - shift) for out in minhash._pairs(iter([batch])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())}
+
+    assert run(0) == run(-100) == {(a, b) for a in range(8) for b in range(a + 1, 8) if a // 2 != b // 2}

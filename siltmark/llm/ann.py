@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: an NN-descent graph and greedy graph search, as Spark joins.
 
 Nearness is the largest inner product. Equal vectors share one node, named by their smallest id;
-the node keeps its smallest ids, as many as a result can use. Inside the index vectors are
-eight-bit codes with a scale; the final candidates are scored on the original vectors in double
-precision.
+the node keeps its smallest ids, as many as a result can use. The index holds the
+original vectors (*codes*: their bytes, in the precision of the column) and scores them in double
+precision, so that members of a group of near copies are told apart; leaves and groups are worked
+on in ``PARTS`` parts, so that only a part of the copies is on disk at once.
 
 Graph. Nodes first meet in the leaves of random sign trees (large leaves are split by a hash).
 Then every round each node takes a sample of its new and old neighbours, and of the nodes that
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltmark.functions.scratch import scratch_path
 from siltmark.llm.workers import task
@@ -39,8 +41,11 @@ from siltmark.llm.workers import task
 K, SAMPLE, TOP = 30, 12, 4
 #: Sign trees, nodes aimed at and allowed in a leaf, proposals of a member in one leaf; rounds.
 TREES, LEAF, MAX_LEAF, LEAF_TOP, ROUNDS = 48, 64, 128, 3, 3
-#: Search: pool, expanded nodes a round, rounds, reverse edges of a node, candidates scored exactly.
+#: Search: pool, expanded nodes a round, rounds, reverse edges of a node, candidates of a result (their
+#: order in the pool is by exact scores already).
 POOL, EXPAND, STEPS, REVERSE, EXACT = 400, 64, 5, 30, 64
+#: Parts of a round.
+PARTS = 4
 #: Rows a task handles at once.
 CHUNK = 30_000
 
@@ -65,20 +70,23 @@ def usable(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") ->
     return rows.where(F.size("vector") == (sizes[0]["d"] if sizes else 0))
 
 
-def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = batch.column(batch.schema.names.index("vector"))
-        if len(values):
-            x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
-            scale = np.abs(x).max(1) / 127
-            q = np.rint(x / scale[:, None]).astype(np.int8)
-            code = [s.tobytes() + r.tobytes() for s, r in zip(scale.astype("<f4"), q)]
-            yield pa.RecordBatch.from_pydict({"node": batch.column(batch.schema.names.index("node")), "code": pa.array(code, pa.binary())})
+def _codes(kind: str):
+    """The bytes of a vector after one that tells their width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = bytes([np.dtype(kind).itemsize])
+        for batch in batches:
+            values = batch.column(batch.schema.names.index("vector"))
+            if len(values):
+                x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(kind)
+                yield pa.RecordBatch.from_pydict({"node": batch.column(batch.schema.names.index("node")), "code": pa.array([head + r.tobytes() for r in x], pa.binary())})
+
+    return run
 
 
 def _decoded(codes: pa.Array) -> np.ndarray:
     raw = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+    return np.ascontiguousarray(raw[:, 1:]).view(f"<f{raw[0, 0]}").astype(np.float64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -185,7 +193,7 @@ def _hash(p: np.ndarray, q: np.ndarray, turn: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-GRAPH = "p bigint, q bigint, s float, state int, pick int"
+GRAPH = "p bigint, q bigint, s double, state int, pick int"
 
 
 def _merged(proposals: DataFrame, graph: DataFrame | None, turn: int) -> DataFrame:
@@ -196,7 +204,7 @@ def _merged(proposals: DataFrame, graph: DataFrame | None, turn: int) -> DataFra
     return _written(rows.mapInArrow(task(_nearest, K, SAMPLE, turn), GRAPH), f"graph-{turn}")
 
 
-def _leaves(bits: int):
+def _leaves(bits: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
         for batch in batches:
@@ -206,7 +214,7 @@ def _leaves(bits: int):
             x = _decoded(code)
             if planes is None:
                 planes = np.random.default_rng(1).standard_normal((TREES, x.shape[1], bits)).astype(np.float32)
-            for t in range(TREES):
+            for t in range(part, TREES, PARTS):
                 leaf = ((x @ planes[t]) > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_pydict({
                     "tree": pa.array(np.full(len(x), t, np.int32)), "leaf": pa.array(leaf.astype(np.int64)), "member": node, "code": code,
@@ -215,31 +223,50 @@ def _leaves(bits: int):
     return run
 
 
+def _in_parts(codes: DataFrame, made, name: str) -> DataFrame:
+    """What ``made`` gives for each part, one after another."""
+    out = None
+    for part in range(PARTS):
+        some = _written(made(part), f"{name}-{part}")
+        out = some if out is None else out.unionByName(some)
+        _release(codes)
+    return out
+
+
 def build(codes: DataFrame) -> DataFrame:
     """Graph rows (p, q, s): the neighbours of every node of ``codes`` (node, code)."""
     bits = max(0, int(np.ceil(np.log2(max(1, codes.count()) / LEAF))))
-    placed = codes.mapInArrow(task(_leaves, bits), "tree int, leaf bigint, member bigint, code binary")
-    large = placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > MAX_LEAF)
-    large = large.select(F.col("tree").alias("t_"), F.col("leaf").alias("l_"), F.ceil(F.col("n") / LEAF).alias("parts"))
-    rows = placed.join(large, (F.col("tree") == F.col("t_")) & (F.col("leaf") == F.col("l_")), "left")
-    part = F.coalesce(F.pmod(F.xxhash64("member", "tree"), F.col("parts")), F.lit(0).cast("bigint"))
-    rows = rows.select("tree", "leaf", part.alias("part"), "member", F.lit(True).alias("fresh"), F.lit(float("-inf")).cast("float").alias("least"), "code")
     keys = ["tree", "leaf", "part"]
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "member")
-    graph = _merged(rows.mapInArrow(task(_local_join, keys, LEAF_TOP), "p bigint, q bigint, s float"), None, 0)
+
+    def leaves(part: int) -> DataFrame:
+        placed = codes.mapInArrow(task(_leaves, bits, part), "tree int, leaf bigint, member bigint, code binary")
+        large = placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > MAX_LEAF)
+        large = large.select(F.col("tree").alias("t_"), F.col("leaf").alias("l_"), F.ceil(F.col("n") / LEAF).alias("parts"))
+        rows = placed.join(large, (F.col("tree") == F.col("t_")) & (F.col("leaf") == F.col("l_")), "left")
+        part = F.coalesce(F.pmod(F.xxhash64("member", "tree"), F.col("parts")), F.lit(0).cast("bigint"))
+        rows = rows.select("tree", "leaf", part.alias("part"), "member", F.lit(True).alias("fresh"), F.lit(float("-inf")).alias("least"), "code")
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys, "member")
+        return rows.mapInArrow(task(_local_join, keys, LEAF_TOP), "p bigint, q bigint, s double")
+
+    graph = _merged(_in_parts(codes, leaves, "leaves"), None, 0)
     for turn in range(1, ROUNDS + 1):
         _release(codes)
-        least = graph.groupBy(F.col("p").alias("n_")).agg(F.when(F.count("*") >= K, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
-        known = codes.join(least, F.col("node") == F.col("n_"), "left").select("node", "code", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
+        least = graph.groupBy(F.col("p").alias("n_")).agg(F.when(F.count("*") >= K, F.min("s")).otherwise(F.lit(float("-inf"))).cast("double").alias("least"))
+        known = codes.join(least, F.col("node") == F.col("n_"), "left").select("node", "code", F.coalesce("least", F.lit(float("-inf")).cast("double")).alias("least"))
         picked = graph.where("pick > 0").select("p", "q", (F.col("pick") == 1).alias("fresh"))
         into = picked.groupBy(F.col("q").alias("q_"), F.col("fresh").alias("f_")).agg(F.count("*").alias("n"))
         back = picked.join(into, (F.col("q") == F.col("q_")) & (F.col("fresh") == F.col("f_")))
         chance = F.pmod(F.xxhash64("p", "q", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
         back = back.where(chance < F.lit(SAMPLE) / F.col("n")).select(F.col("q").alias("center"), F.col("p").alias("member"), "fresh")
         groups = picked.select(F.col("p").alias("center"), F.col("q").alias("member"), "fresh").unionByName(back)
-        groups = groups.join(known, F.col("member") == F.col("node")).select("center", "member", "fresh", "least", "code")
-        groups = groups.repartition("center").sortWithinPartitions("center", "member")
-        graph = _merged(groups.mapInArrow(task(_local_join, ["center"], TOP), "p bigint, q bigint, s float"), graph, turn)
+
+        def met(part: int, groups: DataFrame = groups, known: DataFrame = known) -> DataFrame:
+            rows = groups.where(F.pmod(F.xxhash64("center"), F.lit(PARTS)) == part)
+            rows = rows.join(known, F.col("member") == F.col("node")).select("center", "member", "fresh", "least", "code")
+            rows = rows.repartition("center").sortWithinPartitions("center", "member")
+            return rows.mapInArrow(task(_local_join, ["center"], TOP), "p bigint, q bigint, s double")
+
+        graph = _merged(_in_parts(codes, met, f"proposals-{turn}"), graph, turn)
     return graph.select("p", "q", "s")
 
 
@@ -279,12 +306,12 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(batch):
             q, n, a, b = (batch.column(batch.schema.names.index(c)) for c in ("query", "node", "qcode", "code"))
             s = np.einsum("nd,nd->n", _decoded(a), _decoded(b))
-            yield pa.RecordBatch.from_pydict({"query": q, "node": n, "s": pa.array(s.astype(np.float32))})
+            yield pa.RecordBatch.from_pydict({"query": q, "node": n, "s": pa.array(s)})
 
 
-STATE = "query bigint, qcode binary, pool array<bigint>, score array<float>, done array<boolean>, met array<bigint>"
+STATE = "query bigint, qcode binary, pool array<bigint>, score array<double>, done array<boolean>, met array<bigint>"
 _STATE = pa.schema([
-    ("query", pa.int64()), ("qcode", pa.binary()), ("pool", pa.list_(pa.int64())), ("score", pa.list_(pa.float32())), ("done", pa.list_(pa.bool_())),
+    ("query", pa.int64()), ("qcode", pa.binary()), ("pool", pa.list_(pa.int64())), ("score", pa.list_(pa.float64())), ("done", pa.list_(pa.bool_())),
     ("met", pa.list_(pa.int64())),
 ])
 
@@ -296,7 +323,7 @@ def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             new = r["found"] or []
             ids = np.array([*r["pool"], *(x["node"] for x in new)], np.int64)
-            score = np.array([*r["score"], *(x["s"] for x in new)], np.float32)
+            score = np.array([*r["score"], *(x["s"] for x in new)], np.float64)
             done = np.array([*r["done"], *[False] * len(new)], bool)
             open_ = np.flatnonzero(~done[: len(r["pool"])])[:EXPAND]
             done[open_] = True
@@ -308,12 +335,12 @@ def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
-    """query (a node) and its pool of nodes, nearest first, by codes."""
+    """query (a node) and its pool of nodes, nearest first."""
     own = codes.join(queries.select(F.col("node").alias("n_")), F.col("node") == F.col("n_"), "left_semi")
     one = lambda x, kind: F.array(x).cast(kind)
     state = own.select(
         F.col("node").alias("query"), F.col("code").alias("qcode"), one("node", "array<bigint>").alias("pool"),
-        one(F.lit(float("inf")), "array<float>").alias("score"), one(F.lit(False), "array<boolean>").alias("done"), one("node", "array<bigint>").alias("met"),
+        one(F.lit(float("inf")), "array<double>").alias("score"), one(F.lit(False), "array<boolean>").alias("done"), one("node", "array<bigint>").alias("met"),
     )
     for step in range(STEPS + 1):
         open_ = F.filter(F.arrays_zip("pool", "done"), lambda x: ~x["done"])
@@ -322,7 +349,7 @@ def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
         grown = state.join(reached, F.col("query") == F.col("q_")).select("query", "qcode", "met", "edges")
         found = grown.mapInArrow(task(_candidates), "query bigint, node bigint, qcode binary")
         coded = codes.select(F.col("node").alias("c_"), "code")
-        scored = found.join(coded, F.col("node") == F.col("c_")).select("query", "node", "qcode", "code").mapInArrow(task(_scores), "query bigint, node bigint, s float")
+        scored = found.join(coded, F.col("node") == F.col("c_")).select("query", "node", "qcode", "code").mapInArrow(task(_scores), "query bigint, node bigint, s double")
         scored = scored.groupBy(F.col("query").alias("q_")).agg(F.collect_list(F.struct("node", "s")).alias("found"))
         state = state.join(scored, F.col("query") == F.col("q_"), "left").drop("q_").mapInArrow(task(_advance), STATE)
         state = _written(state, f"search-{step}")
@@ -336,13 +363,14 @@ def nearest(df: DataFrame, wanted, n: int = 20, vec_id: str = "vec_id", vector:
     rows = _written(usable(df, vec_id, vector), "vectors")
     named = rows.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(7), "vector"))
     nodes = _written(named.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.any_value("vector").alias("vector")), "nodes")
-    codes = _written(nodes.select("node", "vector").mapInArrow(task(_codes), "node bigint, code binary"), "codes")
+    kind = "<f4" if df.schema[vector].dataType == T.ArrayType(T.FloatType(), df.schema[vector].dataType.containsNull) else "<f8"
+    codes = _written(nodes.select("node", "vector").mapInArrow(task(_codes, kind), "node bigint, code binary"), "codes")
     edges = _written(adjacency(build(codes)), "edges")
     keys = nodes.select(F.col("h1").alias("a_"), F.col("h2").alias("b_"), "node")
     owned = _written(named.select("vec_id", "h1", "h2").join(keys, (F.col("h1") == F.col("a_")) & (F.col("h2") == F.col("b_"))).select("vec_id", "node"), "owned")
     asked = owned.where(wanted(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     pools = search(asked.select(F.col("query").alias("node")).distinct(), codes, edges)
-    pairs = pools.select("query", F.explode(F.slice(F.array_union(F.array("query"), "pool"), 1, EXACT)).alias("node"))
+    pairs = pools.select("query", F.explode(F.slice(F.array_union(F.array("query"), "pool"), 1, max(EXACT, n + 1))).alias("node"))
     exact = nodes.select(F.col("node").alias("n_"), "vector")
     pairs = pairs.join(exact, F.col("node") == F.col("n_")).select("query", "node", F.col("vector").alias("b"))
     pairs = pairs.join(exact, F.col("query") == F.col("n_")).select("query", "node", F.col("vector").alias("a"), "b")

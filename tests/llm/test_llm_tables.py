@@ -103,6 +103,21 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), lambda i: i == 0).count() == 0
 
 
+def test_neighbours_in_a_group_of_near_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1600, 64)).astype("f4")
+    x[400:] = x[400] + 1e-3 * rng.standard_normal((1200, 64)).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(4)
+    got = {}
+    for r in ann.nearest(df, lambda i: (i >= 400) & (i % 40 == 0)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    exact, hits = x.astype("f8") @ x.astype("f8").T, 0
+    for q, found in got.items():
+        hits += len(found & set(sorted((i for i in range(1600) if i != q), key=lambda i: -exact[q, i])[:20]))
+    print("recall", hits / 20 / len(got))
+    assert len(got) == 30 and hits / 20 / len(got) > 0.95
+
+
 def test_queries_are_registered():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))

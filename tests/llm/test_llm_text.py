@@ -334,3 +334,23 @@ def test_minhash_second_pass_with_negative_ids():
         return {(a - shift, b - shift) for out in minhash._pairs(iter([batch])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())}
 
     assert run(0) == run(-100) == {(a, b) for a in range(8) for b in range(a + 1, 8) if a // 2 != b // 2}
+
+
+def test_pii_local_parts_without_digits():
+    for t in ("jane.doe@x.com wrote as jane.doe today", "bo@x.com and bo here", "12345@x.com or 12345 there"):
+        base, spans = pii.spans_of(t, pii.DEFAULT)
+        word = t[: t.index("@")]
+        at = t.index(word, 5)
+        assert [s for s in spans if s not in base] == [(at, 0, at + len(word))]
+
+
+def test_pii_evidence_crosses_a_long_chain():
+    t = "+1 017 555 7713" + " and 1 017 555 7713" * 200
+    base, spans = pii.spans_of(t, pii.DEFAULT)
+    p = np.exp(pii.EVIDENCE * np.eye(pii.LABELS)[4])
+    step = np.ones((pii.LABELS, pii.LABELS)) + np.expm1(pii.SKIP_PRIOR[0]) * np.eye(pii.LABELS)
+    want = 0
+    for _ in range(200):
+        p = p / p.sum() @ step
+        want += p[4] / p.sum() >= pii.ACCEPT
+    assert len(base) == 1 and len(spans) - 1 == want > 70

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
-from siltmark.llm import ann, bpe, lines, minhash, packing, pii, quality, secrets, sharding, warc
+from siltmark.llm import ann, bpe, lines, minhash, packing, phrases, pii, quality, resample, secrets, sharding, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -176,3 +176,92 @@ def op9_quality(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_neighbours")
 def op10_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return ann.nearest(table(spark, d, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+SQL_RESAMPLE = r"""
+WITH d AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws
+  FROM documents
+), b AS (
+  SELECT [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws
+  FROM benchmark
+), dw AS (
+  SELECT doc_id, unnest(ws) AS w FROM d
+), bw AS (
+  SELECT unnest(ws) AS w FROM b
+), bytes AS (
+  SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)
+), crc AS (
+  SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], [('0x' || x[2 * i - 1:2 * i])::BIGINT FOR i IN range(1, len(x) // 2 + 1)]),
+    lambda c, y: list_reduce([xor(c, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295) % 10000 AS k
+  FROM bytes
+), s AS (
+  SELECT k, count(*) AS s FROM dw JOIN crc ON dw.w = crc.w GROUP BY k
+), t AS (
+  SELECT k, count(*) AS t FROM bw JOIN crc ON bw.w = crc.w GROUP BY k
+), g AS (
+  SELECT s.k, floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000) / ((s.s + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t ON s.k = t.k
+), wt AS (
+  SELECT dw.doc_id, sum(gain)::BIGINT AS weight FROM dw JOIN crc ON dw.w = crc.w JOIN g ON crc.k = g.k GROUP BY dw.doc_id
+), sc AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN wt ON d.doc_id = wt.doc_id
+), r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM sc WHERE n_features >= 20
+)
+SELECT sc.doc_id, n_features, weight, score, r.rank FROM sc LEFT JOIN r ON sc.doc_id = r.doc_id AND r.rank <= r.n * 10 // 100
+"""
+
+
+@query("op12_resample", SQL_RESAMPLE)
+def op12_resample(spark: SparkSession, d: str) -> DataFrame:
+    drawn = resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL_PHRASES = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS ws FROM p
+), g AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w
+), g3 AS (
+  SELECT lang, ws[i] AS a, CASE WHEN i < len(ws) THEN ws[i + 1] END AS b, CASE WHEN i + 1 < len(ws) THEN ws[i + 2] END AS c FROM g
+), f1 AS (
+  SELECT lang, a, count(*) AS f FROM g3 GROUP BY lang, a
+), f2 AS (
+  SELECT lang, a, b, count(*) AS f FROM g3 WHERE b IS NOT NULL GROUP BY lang, a, b
+), f3 AS (
+  SELECT lang, a, b, c, count(*) AS f FROM g3 WHERE c IS NOT NULL GROUP BY lang, a, b, c HAVING count(*) >= 10
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang
+), longer AS (
+  SELECT lang, a, b, max(f) AS f FROM (SELECT lang, a, b, f FROM f3 UNION ALL SELECT lang, b, c, f FROM f3) GROUP BY lang, a, b
+), two AS (
+  SELECT f2.lang, f2.a || ' ' || f2.b AS phrase, f2.f AS a, x.f AS l, y.f AS r, (1000000::HUGEINT * f2.f * f2.f) // (x.f::HUGEINT * y.f) AS score
+  FROM f2 JOIN f1 x ON f2.lang = x.lang AND f2.a = x.a JOIN f1 y ON f2.lang = y.lang AND f2.b = y.a
+    LEFT JOIN longer z ON f2.lang = z.lang AND f2.a = z.a AND f2.b = z.b
+  WHERE f2.f >= 10 AND (z.f IS NULL OR 100 * z.f < 50 * f2.f)
+), cuts AS (
+  SELECT f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c AS phrase, f3.f AS a, x.f AS l1, yz.f AS r1, xy.f AS l2, z.f AS r2,
+    (1000000::HUGEINT * f3.f * f3.f) // (x.f::HUGEINT * yz.f) AS s1, (1000000::HUGEINT * f3.f * f3.f) // (xy.f::HUGEINT * z.f) AS s2
+  FROM f3 JOIN f1 x ON f3.lang = x.lang AND f3.a = x.a JOIN f1 z ON f3.lang = z.lang AND f3.c = z.a
+    JOIN f2 xy ON f3.lang = xy.lang AND f3.a = xy.a AND f3.b = xy.b JOIN f2 yz ON f3.lang = yz.lang AND f3.b = yz.a AND f3.c = yz.b
+), found AS (
+  SELECT * FROM two
+  UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM found
+)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n ON ranked.lang = n.lang WHERE rank <= 2000
+"""
+
+
+@query("op13_phrases", SQL_PHRASES)
+def op13_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.collocations(table(spark, d, "documents"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
-from siltmark.llm import ann, bpe, lines, minhash, packing, phrases, pii, quality, resample, secrets, sharding, warc
+from siltmark.llm import ann, bpe, lines, minhash, packing, phrases, pii, quality, resample, secrets, sharding, substrings, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -265,3 +265,31 @@ SELECT ranked.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked
 @query("op13_phrases", SQL_PHRASES)
 def op13_phrases(spark: SparkSession, d: str) -> DataFrame:
     return phrases.collocations(table(spark, d, "documents"))
+
+
+SQL_SUBSTRINGS = r"""
+WITH d AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS body FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS k FROM w) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(0, 20)) AS k FROM later)
+), words AS (
+  SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)
+), kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.i) AS body FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i
+  WHERE gone.i IS NULL GROUP BY words.doc_id
+), counts AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(counts.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.body, '')) AS kept_sha256
+FROM d LEFT JOIN counts ON d.doc_id = counts.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+@query("op11_substrings", SQL_SUBSTRINGS)
+def op11_substrings(spark: SparkSession, d: str) -> DataFrame:
+    clean = substrings.dedup(table(spark, d, "documents").select("doc_id", "text"), joined=True)
+    return clean.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -26,48 +26,37 @@ other columns are not read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column as Expression
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
+from siltmark.llm.textbytes import Column, Words, alphabet, mix
 from siltmark.llm.workers import task
 
 MIN_COUNT, TOP, CONTAINED_PERCENT = 10, 2000, 50
-#: One document in ``SAMPLE`` proposes: words from one occurrence on, pairs from two on.
-SAMPLE, SAMPLE_COUNTS = 8, (1, 2)
+#: One document in ``SAMPLE`` proposes the words and pairs that occur so often in the sample.
+SAMPLE, SAMPLE_COUNTS = 8, (2, 3)
 BITS_PER_PHRASE, MAX_BITS = 16, 27
 
-_TO = bytearray(bytes(range(256)).lower())
-for _b in b",;:!?\n\x0b\x0c\r":
-    _TO[_b] = ord(".")
-_TO[9] = ord(" ")
-_FOLD = bytes(_TO)
+#: Words passed through at a time, and rows of a batch handed to Spark.
+FLUSH, OUT = 1_500_000, 100_000
+
+LETTERS = alphabet(b" \t", b".,;:!?\n\x0b\x0c\r", lower=True)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
+FIELD_NAMES = ("row", "start", "end", "stop", "h")
 FIELDS = "lang string, word string, h1 bigint, h2 bigint, h3 bigint, c bigint"
 KEY = ["h1", "h2", "h3"]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _mix(_mix(a) * _ODD + b)
-
-
-def tokens(text: str) -> list[bytes]:
-    """Words, with a full stop at each border of pieces."""
-    return text.encode().translate(_FOLD).replace(b".", b" . ").split()
+    return mix(mix(a) * _ODD + b)
 
 
 class Bloom:
@@ -78,7 +67,7 @@ class Bloom:
         self.mask = np.uint64(len(self.table) * 64 - 1)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        x = _mix(keys)
+        x = mix(keys)
         out = np.ones(len(keys), bool)
         for p in (x & self.mask, (x >> np.uint64(32)) & self.mask):
             out &= ((self.table[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
@@ -91,7 +80,7 @@ def _positions(log2: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
-            x = _mix(h[0] if length == 1 else _pair(h[0], h[1]))
+            x = mix(h[0] if length == 1 else _pair(h[0], h[1]))
             p = np.concatenate([x & mask, (x >> np.uint64(32)) & mask])
             bits = np.uint64(1) << (p & np.uint64(63))
             yield pa.RecordBatch.from_pydict({"slot": pa.array((p >> np.uint64(6)).astype(np.int64)), "bits": pa.array(bits.view(np.int64))})
@@ -119,13 +108,14 @@ def _distinct(keys: list[np.ndarray], order: np.ndarray) -> tuple[list[np.ndarra
     return [k[at] for k in keys], np.diff(np.append(at, len(order)))
 
 
-def _rows(lang, word, keys: list[np.ndarray], c: np.ndarray) -> pa.RecordBatch:
-    n = len(c)
+def _rows(keys: list[np.ndarray], c: np.ndarray, lang: pa.Array | None = None, word: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+    n, none = len(c), pa.nulls(len(c), pa.string())
     cols = [k.view(np.int64) for k in keys] + [np.zeros(n, np.int64)] * (3 - len(keys))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(lang or [None] * n, pa.string()), pa.array(word or [None] * n, pa.string()), *map(pa.array, cols), pa.array(c.astype(np.int64))],
-        names=["lang", "word", *KEY, "c"],
+    whole = pa.RecordBatch.from_arrays(
+        [none if lang is None else lang, none if word is None else word, *map(pa.array, cols), pa.array(c.astype(np.int64))], names=["lang", "word", *KEY, "c"]
     )
+    for at in range(0, n, OUT):
+        yield whole.slice(at, OUT)
 
 
 class Pass:
@@ -148,37 +138,49 @@ class Pass:
         return due
 
     def count(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        digest, by_lang, dictionaries = xxhash.xxh3_64_intdigest, {}, {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found = tokens(text.as_py() or "")
-            if not found:
-                continue
-            seed = digest(lang.encode())
-            by_lang.setdefault(lang, []).append(np.fromiter(map(digest, found, repeat(seed)), np.uint64, len(found)))
-            by_lang[lang].append(np.array([digest(b".", seed)], np.uint64))
-            if self.words:
-                dictionaries.setdefault(lang, Counter()).update(found)
-        for lang, counts in dictionaries.items():
-            counts.pop(b".", None)
-            n, seed = len(counts), digest(lang.encode())
-            h = np.fromiter(map(digest, counts, repeat(seed)), np.uint64, n)
-            yield _rows([lang] * n, [w.decode() for w in counts], [h], np.fromiter(counts.values(), np.int64, n))
-            yield _rows([lang], None, [np.zeros(1, np.uint64)], np.array([counts.total()]))
-        for lang, parts in by_lang.items():
-            h = np.concatenate(parts)
-            stop = h == np.uint64(digest(b".", digest(lang.encode())))
-            whole = ~(stop[:-1] | stop[1:])
-            pair = _pair(h[:-1], h[1:])
-            at = np.flatnonzero(whole)
-            at = at[self._due(0, h[at], h[at + 1])]
-            keys, c = _distinct([h[at], h[at + 1]], np.argsort(pair[at]))
-            yield _rows(None, None, keys, c)
-            if self.pairs_only:
-                continue
-            at = np.flatnonzero(whole[:-1] & whole[1:])
-            at = at[self._due(1, pair[at], pair[at + 1])]
-            keys, c = _distinct([h[at], h[at + 1], h[at + 2]], np.argsort(_pair(pair[at], h[at + 2])))
-            yield _rows(None, None, keys, c)
+        langs = batch.column(0).dictionary_encode()
+        names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
+        seeds = np.array([xxhash.xxh3_64_intdigest(name.encode()) for name in names], np.uint64)
+        column = Column(batch.column(1), LETTERS)
+        held, n = [], 0
+        for part in column.words():
+            part.h = mix(part.h + seeds[code[part.row]])
+            if len(part.h):
+                held.append(part)
+                n += len(part.h)
+            if n >= FLUSH:
+                yield from self._flush(held, column, names, code)
+                held, n = [Words(*(np.concatenate([getattr(p, f) for p in held[-2:]])[-2:] for f in FIELD_NAMES), carried=True)], 0
+        yield from self._flush(held, column, names, code)
+
+    def _flush(self, held: list[Words], column: Column, names: list[str], code: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counts of a stretch of words; up to two words before it open phrases, but were counted."""
+        if not held:
+            return
+        old = len(held[0].h) if held[0].carried else 0
+        row, stop, h = (np.concatenate([getattr(p, f) for p in held]) for f in ("row", "stop", "h"))
+        if self.words:
+            order = np.argsort(h[old:], kind="stable") + old
+            keys, c = _distinct([h], order)
+            at = order[np.concatenate([[0], np.cumsum(c)[:-1]]).astype(np.int64)] if len(c) else order
+            start, end = (np.concatenate([getattr(p, f) for p in held])[at] for f in ("start", "end"))
+            word = pa.array([column.data[a:b].tobytes().lower().decode() for a, b in zip(start.tolist(), end.tolist())], pa.string())
+            lang = pa.array(names, pa.string()).take(pa.array(code[row[at]]))
+            yield from _rows(keys, c, lang, word)
+            total = np.bincount(code[row[old:]], minlength=len(names))
+            yield from _rows([np.zeros(len(names), np.uint64)], total, pa.array(names, pa.string()))
+        together = (row[1:] == row[:-1]) & (stop[1:] == stop[:-1])
+        pair = _pair(h[:-1], h[1:])
+        at = np.flatnonzero(together)
+        at = at[at + 1 >= old]
+        at = at[self._due(0, h[at], h[at + 1])]
+        yield from _rows(*_distinct([h[:-1], h[1:]], at[np.argsort(pair[at])]))
+        if self.pairs_only:
+            return
+        at = np.flatnonzero(together[:-1] & together[1:])
+        at = at[at + 2 >= old]
+        at = at[self._due(1, pair[at], pair[at + 1])]
+        yield from _rows(*_distinct([h[:-2], h[1:-1], h[2:]], at[np.argsort(_pair(pair[at], h[at + 2]))]))
 
 
 def _counted(filters: list, words: bool, pairs_only: bool):
@@ -243,7 +245,7 @@ def frequent(df: DataFrame, doc_id: str, text: str, lang: str, min_count: int =
     return found
 
 
-def _score(a: str, left: str, right: str) -> Column:
+def _score(a: str, left: str, right: str) -> Expression:
     """floor(1000000 a a / (l r)) in exact decimals of 38 digits."""
     big = lambda c: F.col(c).cast("decimal(19,0)")
     top = (big(a) * big(a)).cast("decimal(31,0)") * F.lit(1_000_000).cast("decimal(7,0)")

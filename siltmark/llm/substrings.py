@@ -32,124 +32,114 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
+from siltmark.llm.textbytes import Words, alphabet, prefix_sums, run_hashes, whole
 from siltmark.llm.workers import task
 
 WINDOW, ANCHOR = 20, 4
 
+#: Bytes of text hashed at a time (whole texts; a longer one alone).
+STRETCH = 4 << 20
+
 DOC = ["_sd_id", "_sd_key"]
 BLOCK = ["seed", "body"]
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of the base and of its inverse, kept by each worker up to the longest text so far."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> None:
-        if len(cls.up) <= n:
-            size = 1 << n.bit_length()
-            grown = lambda base: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)]))
-            cls.up, cls.down = grown(_BASE), grown(_INVERSE)
-
-
-class Words:
-    """The words of a text as hashes; any run of them gets a hash from two prefix sums."""
-
-    def __init__(self, text: str):
-        words = text.encode().split()  # at the blanks 9 to 13 and 32
-        self.h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        _Powers.upto(len(words))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.h * _Powers.up[: len(words)], dtype=np.uint64)])
-
-    def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * _Powers.down[start] ^ _ODD)
-
-
-def blocks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed, first window and number of windows of each block."""
-    n = len(words.h)
-    if n < WINDOW:
+LETTERS = alphabet(b" \t\n\x0b\x0c\r")
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def stretches(texts: pa.Array) -> Iterator[tuple[int, Words, np.ndarray, np.ndarray]]:
+    """Whole texts in stretches: number of the first, words, prefix sums of their hashes, and the
+    first word of each text."""
+    lengths = np.concatenate([[0], np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(lengths, lengths[at] + STRETCH, "right")) - 1)
+        words = whole(texts.slice(at, end - at), LETTERS)
+        yield at, words, prefix_sums(words.h), np.searchsorted(words.row, np.arange(end - at))
+        at = end
+
+
+def blocks(words: Words, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seed, first word and number of windows of each block."""
+    n = len(words.h) - WINDOW + 1
+    if n <= 0:
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none
-    at = np.arange(n - ANCHOR + 1)
-    grams = words.runs(at, at + ANCHOR)
-    anchor = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - ANCHOR + 1).argmin(1)
-    anchor += np.arange(len(anchor))
-    start = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-    return grams[anchor[start]], start, np.diff(np.append(start, len(anchor)))
+    at = np.arange(n + WINDOW - ANCHOR)
+    grams = run_hashes(sums, at, at + ANCHOR)
+    # Least hash (of 32 bits) and its place in each window, by minima over 1, 2, 4, ... places.
+    least, reach, wanted = (grams & ~_LOW) | at.astype(np.uint64), 1, WINDOW - ANCHOR + 1
+    while reach < wanted:
+        step = min(reach, wanted - reach)
+        least, reach = np.minimum(least[:-step], least[step:]), reach + step
+    anchor = (least & _LOW).astype(np.int64)
+    inside = words.row[:n] == words.row[WINDOW - 1 :]
+    new = inside.copy()
+    new[1:] &= ~inside[:-1] | (anchor[1:] != anchor[:-1])
+    start = np.flatnonzero(new)
+    before = np.cumsum(inside)
+    return grams[anchor[start]], start, np.diff(np.append(before[start], before[-1] + 1))
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not len(batch):
-            continue
-        found = [blocks(Words(v.as_py() or ""))[0] for v in batch.column(0)]
-        yield pa.RecordBatch.from_pydict({"seed": pa.array(np.concatenate(found).view(np.int64))})
+        for _, words, sums, _ in stretches(batch.column(0)):
+            yield pa.RecordBatch.from_pydict({"seed": pa.array(blocks(words, sums)[0].view(np.int64))})
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not len(batch):
-            continue
-        cols = [[], [], [], []]
-        for v in batch.column(2):
-            words = Words(v.as_py() or "")
-            seed, start, n = blocks(words)
-            for c, x in zip(cols, (seed.view(np.int64), words.runs(start, start + n + WINDOW - 1).view(np.int64), start.astype(np.int32), n.astype(np.int32))):
-                c.append(x)
-        row = pa.array(np.repeat(np.arange(len(batch)), [len(x) for x in cols[0]]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(row), batch.column(1).take(row), *(pa.array(np.concatenate(c)) for c in cols)], names=[*DOC, *BLOCK, "start", "n"]
-        )
+        for at, words, sums, first in stretches(batch.column(2)):
+            seed, start, n = blocks(words, sums)
+            row = words.row[start]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(pa.array(row + at)) for c in (0, 1)), pa.array(seed.view(np.int64)),
+                    pa.array(run_hashes(sums, start, start + n + WINDOW - 1).view(np.int64)), pa.array((start - first[row]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                ],
+                names=[*DOC, *BLOCK, "start", "n"],
+            )
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the blocks named with each text."""
     for batch in batches:
-        seeds, hashes, starts, rows = [], [], [], []
-        for k, (text, wanted) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
-            words = Words(text.as_py())
-            n = np.array([b["n"] for b in wanted])
-            at = np.repeat(np.array([b["start"] for b in wanted]) - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            seeds.append(np.repeat(np.array([b["seed"] for b in wanted]), n))
-            hashes.append(words.runs(at, at + WINDOW).view(np.int64))
-            starts.append(at.astype(np.int32))
-            rows.append(np.full(len(at), k))
-        if rows:
-            row = pa.array(np.concatenate(rows))
+        for at, _, sums, first in stretches(batch.column(2)):
+            wanted = batch.column(3).slice(at, len(first))
+            row = np.repeat(np.arange(len(first)), wanted.value_lengths().to_numpy(zero_copy_only=False))
+            seed, start, n = (wanted.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("seed", "start", "n"))
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, start = np.repeat(row, n), np.repeat(start, n) + inside
+            word = first[row] + start
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), *(pa.array(np.concatenate(c)) for c in (seeds, hashes, starts))], names=[*DOC, *BLOCK, "start"]
-            )
-
-
-def parse(pieces: list[dict]) -> list[dict]:
-    """Greedy factors of a document: from left to right, each goes on as long as a piece that
-    overlaps or touches it continues at the same place of the same reference."""
-    factors, open_ = [], {}
-    for p in sorted(pieces, key=lambda p: (p["start"], -p["n"])):
-        lag = p["start"] - p["ref_start"]
-        f = open_.get((p["ref_id"], p["ref_key"], lag))
-        if f and p["start"] <= f["start"] + f["n"]:
-            f["n"] = max(f["n"], p["start"] + p["n"] - f["start"])
-        else:
-            f = open_[p["ref_id"], p["ref_key"], lag] = {**p}
-            factors.append(f)
-    return factors
+                [
+                    *(batch.column(c).take(pa.array(row + at)) for c in (0, 1)), pa.array(np.repeat(seed, n)),
+                    pa.array(run_hashes(sums, word, word + WINDOW).view(np.int64)), pa.array(start.astype(np.int32)),
+                ],
+                names=[*DOC, *BLOCK, "start"],
+            )
+
+
+def parse(row: np.ndarray, start: np.ndarray, n: np.ndarray, ref: list[np.ndarray], ref_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy factors: the first piece of each and its length. A factor goes on as long as a piece
+    that overlaps or touches it continues at the same place of the same reference (``ref``: columns
+    that name it). Factors come by row and start."""
+    lag = start - ref_start
+    order = np.lexsort((-n, start, lag, *ref, row))
+    same = np.zeros(len(order), bool)
+    same[1:] = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in (row, *ref, lag)])
+    group = np.cumsum(~same).astype(np.int64) << 32
+    reach = np.maximum.accumulate(group + start[order] + n[order])
+    new = ~same
+    new[1:] |= group[1:] + start[order][1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    length = (reach - group)[np.append(first[1:], len(order)) - 1] - start[order][first] if len(first) else reach
+    by = np.lexsort((start[order][first], row[order][first]))
+    return order[first][by], length[by]
 
 
 PIECE = "start int, n int, ref_id bigint, ref_key bigint, ref_start int"
@@ -157,30 +147,46 @@ FACTORS = f"array<struct<{PIECE}>>"
 OWN = ("n_words", "n_removed")
 
 
+def _factors(pieces: pa.Array) -> tuple[pa.Array, list[np.ndarray], list[np.ndarray]]:
+    """Factors of each row: as a list column, and for each row their first words and lengths."""
+    flat, counts = pieces.flatten(), pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(pieces)), counts)
+    start, n, ref_start = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "n", "ref_start"))
+    ref = [flat.field("ref_id").fill_null(0).to_numpy(zero_copy_only=False), flat.field("ref_key").to_numpy(zero_copy_only=False)]
+    ref.append(flat.field("ref_id").is_null().to_numpy(zero_copy_only=False))
+    first, length = parse(row, start, n, ref, ref_start)
+    picked = flat.take(pa.array(first))
+    cells = [pa.array(length.astype(np.int32)) if f.name == "n" else picked.field(f.name) for f in flat.type]
+    ends = np.searchsorted(row[first], np.arange(len(pieces) + 1)).astype(np.int32)
+    column = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(cells, fields=list(flat.type)))
+    return column, np.split(start[first], ends[1:-1]), np.split(length, ends[1:-1])
+
+
 def _cut(joined: bool):
     """Texts without the words of their factors: the pieces stand in the last column, the text before them."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("ref_id", pa.int64()), ("ref_key", pa.int64()), ("ref_start", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n_words, n_removed, factors = [], [], [], []
-            for text, pieces in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()):
+            factors, starts, lengths = _factors(batch.column(batch.num_columns - 1))
+            texts, n_words, n_removed = [], [], []
+            for text, start, n in zip(batch.column(batch.num_columns - 2), starts, lengths):
                 text = text.as_py()
                 words = (text or "").encode().split()
-                found = parse(pieces or [])
-                gone = np.zeros(len(words) + 1, np.int64)
-                for f in found:
-                    gone[f["start"]] += 1
-                    gone[f["start"] + f["n"]] -= 1
-                gone = np.cumsum(gone[:-1]) > 0
-                n_words.append(len(words))
-                n_removed.append(int(gone.sum()))
-                factors.append(found)
-                if found or joined:
-                    text = b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()] if found else words).decode()
+                gone = 0
+                if len(start):
+                    marks = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(marks, start, 1)
+                    np.add.at(marks, start + n, -1)
+                    kept = np.flatnonzero(np.cumsum(marks[:-1]) == 0)
+                    gone = len(words) - len(kept)
+                    text = b" ".join([words[i] for i in kept.tolist()]).decode()
+                elif joined:
+                    text = b" ".join(words).decode()
                 texts.append(text)
+                n_words.append(len(words))
+                n_removed.append(gone)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(factors, kind)],
+                [*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), factors],
                 names=[*batch.schema.names[:-1], *OWN, "_sd_factors"],
             )
 

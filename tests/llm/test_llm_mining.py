@@ -7,10 +7,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltmark.llm import phrases, resample, substrings
+from siltmark.llm import phrases, resample, substrings, textbytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 997}x{i}" for i in range(20_000))
@@ -96,9 +97,53 @@ def test_substrings_at_factor_boundaries(spark):
 
 
 def test_substrings_join_pieces_to_factors():
-    piece = lambda start, n, ref, at: {"start": start, "n": n, "ref_id": ref, "ref_key": 0, "ref_start": at}
-    found = substrings.parse([piece(30, 25, 1, 130), piece(0, 30, 1, 100), piece(10, 20, 2, 7), piece(80, 20, 1, 180)])
-    assert [(f["start"], f["n"], f["ref_id"]) for f in found] == [(0, 55, 1), (10, 20, 2), (80, 20, 1)]
+    pieces = np.array([(0, 30, 25, 1, 130), (0, 0, 30, 1, 100), (0, 10, 20, 2, 7), (0, 80, 20, 1, 180), (1, 100, 20, 1, 200)])
+    row, start, n, ref, ref_start = pieces.T
+    first, length = substrings.parse(row, start, n, [ref], ref_start)
+    assert [(row[i], start[i], k, ref[i]) for i, k in zip(first, length.tolist())] == [(0, 0, 55, 1), (0, 10, 20, 2), (0, 80, 20, 1), (1, 100, 20, 1)]
+
+
+def test_words_of_a_column_at_every_cut(monkeypatch):
+    import pyarrow as pa
+
+    random.seed(8)
+    letters = textbytes.alphabet(b" \t", b".,\n", lower=True)
+    for size in (1, 2, 3, 7, 50, 1 << 20):
+        monkeypatch.setattr(textbytes, "CHUNK", size)
+        texts = [None if random.random() < 0.1 else "".join(random.choice("abAB é. ,\t\n中") for _ in range(random.randint(0, 40))) for _ in range(60)]
+        column = pa.array(["skipped", *texts]).slice(1)
+        got = textbytes.whole(column, letters)
+        data = textbytes.Column(column, letters).data
+        want, names = [], {}
+        for i, t in enumerate(texts):
+            for k, piece in enumerate(re.split(r"[.,\n]", t or "")):
+                want += [(i, k, w) for w in re.findall(r"[^ \t]+", piece)]
+        assert got.row.tolist() == [w[0] for w in want]
+        assert [data[a:b].tobytes().decode() for a, b in zip(got.start.tolist(), got.end.tolist())] == [w[2] for w in want]
+        for (i, k, w), h, s in zip(want, got.h.tolist(), got.stop.tolist()):
+            assert names.setdefault(w.lower() if w.isascii() else w.encode().lower().decode(), h) == h
+            assert s == len(re.findall(r"[.,\n]", "".join(t or "" for t in texts[:i]))) + k
+        assert len(set(names.values())) == len(names)
+
+
+def test_phrase_counts_do_not_depend_on_stretches(monkeypatch):
+    import pyarrow as pa
+
+    random.seed(6)
+    batch = pa.RecordBatch.from_pydict({"lang": ["a", "b", "a"] * 10, "text": [" ".join(random.choice("xyz.") for _ in range(random.randint(0, 30))) for _ in range(30)]})
+
+    def total():
+        out = Counter()
+        for b in phrases.Pass([], True, False).count(batch):
+            for r in b.to_pylist():
+                out[tuple(r[f] for f in ("lang", "word", "h1", "h2", "h3"))] += r["c"]
+        return out
+
+    want = total()
+    for chunk, flush in ((1, 1), (2, 3), (5, 8), (1 << 20, 4)):
+        monkeypatch.setattr(textbytes, "CHUNK", chunk)
+        monkeypatch.setattr(phrases, "FLUSH", flush)
+        assert total() == want
 
 
 def test_substrings_hot_group(spark):

@@ -43,7 +43,7 @@ from siltmark.llm.workers import task
 WINDOW, ANCHOR = 20, 4
 
 #: Bytes of text hashed at a time (whole texts; a longer one alone).
-STRETCH = 4 << 20
+STRETCH = 1 << 20
 
 DOC = ["_sd_id", "_sd_key"]
 BLOCK = ["seed", "body"]
@@ -234,6 +234,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     the place it refers to."""
     rows = _keyed(df.select(doc_id, text), doc_id, text).select(*DOC, F.col(text).alias("text"))
     shared = rows.select("text").mapInArrow(task(_seeds), "seed bigint").groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select(F.col("seed").alias("seed_"))
+    shared = _kept(shared, "shared-anchors")
     fields = "_sd_id bigint, _sd_key bigint, seed bigint, body bigint, start int, n int"
     posted = rows.mapInArrow(task(_blocks), fields)
     posted = _kept(posted.join(shared, F.col("seed") == F.col("seed_")).drop("seed_"), "blocks")

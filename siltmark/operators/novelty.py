@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.functions.quantiles import exact_quantiles
@@ -92,9 +92,11 @@ def detect_far(df: DataFrame, model: PrototypeClassifier, radii: dict[int, float
 
 def quarantine(df: DataFrame, task: int, decision: str = "decision") -> DataFrame:
     """The rows held back, stamped with the task they arrived in; not yet released."""
-    return df.where(F.col(decision) == "quarantine").withColumns(
-        {"arrived_task": F.lit(int(task)), "released_task": F.lit(None).cast("int")}
-    )
+    return df.where(F.col(decision) == "quarantine").withColumns(quarantine_marks(task))
+
+
+def quarantine_marks(task: int) -> dict[str, Column]:
+    return {"arrived_task": F.lit(int(task)), "released_task": F.lit(None).cast("int")}
 
 
 def release(

@@ -324,7 +324,7 @@ def q_asr(spark, d):
 POLICY = Policy(min_confidence=0.1817, distance_k=1.0, max_anomaly=None, radius_quantile=0.9)
 ADMIT_TAU = 0.2
 SQL_ADMIT = (
-    f"{SQL_FLIP_EMB}, cand AS (SELECT row_id, f, label AS truth, claimed, is_poisoned FROM flipped), trusted AS (SELECT * FROM sided WHERE split = 'test' AND label < 8), "
+    f"{SQL_FLIP_EMB}, cand AS (SELECT row_id, f, label AS truth, claimed, is_poisoned FROM flipped), trusted AS (SELECT * FROM sided WHERE split = 'val' AND label < 8), "
     f"{sql_proto('proto', 'trusted')}, {sql_score('sc', 'cand', 'proto', ADMIT_TAU)}, "
     "own AS (SELECT t.label, list_distance(t.f, p.c) AS dist FROM trusted t JOIN proto p ON t.label = p.class_id), "
     "med AS (SELECT label, quantile_cont(dist, 0.5) AS m FROM own GROUP BY label), "
@@ -342,7 +342,7 @@ SQL_ADMIT = (
 
 def admission_inputs(spark, d):
     """Candidates with their claimed label in ``label``, trusted rows and a model of them."""
-    trusted = test_of(sided(spark, d)).where(F.col("label").isin(KNOWN))
+    trusted = sided(spark, d).where((F.col("split") == "val") & F.col("label").isin(KNOWN))
     model = PrototypeClassifier(tau=ADMIT_TAU).fit(trusted)
     data = flipped_train(spark, d).data
     cand = data.select("row_id", "features", F.col("label").alias("truth"), F.col("label_poisoned").alias("label"), "is_poisoned")

@@ -111,9 +111,9 @@ def manifest(spark: SparkSession, run: dict) -> DataFrame:
     return spark.range(1).select(*cells, F.lit(datetime.now(timezone.utc).isoformat()).alias("run_at"))
 
 
-def write_manifest(spark: SparkSession, run: dict, path: str) -> DataFrame:
+def write_manifest(spark: SparkSession, run: dict, path: str, mode: str = "errorifexists") -> DataFrame:
     table = manifest(spark, run)
-    table.coalesce(1).write.mode("errorifexists").json(path)
+    table.coalesce(1).write.mode(mode).json(path)
     return table
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from siltmark.streaming.candidates import event_time
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,11 +51,13 @@ def last_version(spark: SparkSession, path: str) -> DataFrame:
     return table.where(F.col("version") == last).drop("version")
 
 
-def latest_values(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
-    """The newest row of every key over all versions written in ``update`` mode."""
+def latest_values(spark: SparkSession, path: str, keys: list[str], values: list[str], closed: str | None = None) -> DataFrame:
+    """The newest row of every key over all versions written in ``update`` mode. Keys whose newest
+    row is a tombstone (``closed`` is set) have left."""
     table = spark.read.parquet(f"{path}/table")
-    newest = F.max_by(F.struct(*values), "version").alias("_v")
-    return table.groupBy(*keys).agg(newest).select(*keys, "_v.*")
+    newest = F.max_by(F.struct(*values, *([closed] if closed else [])), "version").alias("_v")
+    found = table.groupBy(*keys).agg(newest).select(*keys, "_v.*")
+    return found.where(~F.col(closed)).drop(closed) if closed else found
 
 
 @contextmanager
@@ -109,3 +113,67 @@ def expiring_sums(df: DataFrame, value: str = "value", label: str = "label", ttl
     return keyed.groupBy("label", "salt").transformWithStateInPandas(
         _RunningSums(ttl_ms), "label string, salt int, n_rows bigint, total double, squares double", "Update", "ProcessingTime" if ttl_ms else "None"
     )
+
+
+class _TimedSums(StatefulProcessor):
+    """Sums per (class, salt) until it has been silent for some event time; then a tombstone."""
+
+    def __init__(self, silence_ms: int):
+        self.silence_ms = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "n bigint, total double, squares double, last bigint")
+
+    def _row(self, key, n, total, squares, closed) -> pd.DataFrame:
+        return pd.DataFrame({"label": [key[0]], "salt": [key[1]], "n_rows": [n], "total": [total], "squares": [squares], "closed": [closed]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        n, total, squares, last = self.sums.get() if self.sums.exists() else (0, 0.0, 0.0, 0)
+        for part in rows:
+            v = part["value"].astype(float)
+            n, total, squares, last = n + len(v), total + float(v.sum()), squares + float((v * v).sum()), max(last, int(part["at"].max()))
+        self.sums.update((n, total, squares, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.silence_ms)
+        yield self._row(key, n, total, squares, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, total, squares, _ = self.sums.get()
+        self.sums.clear()
+        yield self._row(key, n, total, squares, True)
+
+    def close(self) -> None:
+        pass
+
+
+def silent_sums(
+    df: DataFrame, silence_ms: int, delay: str, value: str = "value", label: str = "label", salts: int = 16, row_id: str = "row_id", ts: str = "ts"
+) -> DataFrame:
+    """Running sums of classes that may fall silent: a part (label, salt) without a row for
+    ``silence_ms`` of event time frees its state and emits a last row with ``closed`` set, so that
+    readers of the versions see it leave (``latest_values``). A part that comes back starts anew.
+
+    The time is the watermark's, so a replay gives the same tombstones. Parts fall silent one by
+    one: the time should be well above the usual gap between rows of a class, times ``salts``.
+    """
+    timed = event_time(df, ts).withWatermark(ts, delay)
+    keyed = timed.select(
+        F.col(label).cast("string").alias("label"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int").alias("salt"), F.col(value).cast("double").alias("value"),
+        F.unix_millis(ts).alias("at"), ts,
+    )
+    fields = "label string, salt int, n_rows bigint, total double, squares double, closed boolean"
+    return keyed.groupBy("label", "salt").transformWithStateInPandas(_TimedSums(silence_ms), fields, "Update", "EventTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that timers need, for the queries started within the block."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

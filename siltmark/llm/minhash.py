@@ -14,8 +14,9 @@
    known, pairs over the match threshold *between different components* are proposed, each once
    (in the first list the two share). Proposals are confirmed on the full sets.
 
-Two nodes with a similarity of exactly 0.75 miss ``MATCHES`` of 64 with a chance below 1e-5 and
-``FINE_MATCHES`` of 512 with one of about 3e-5; confirmed links are exact.
+Two nodes with a similarity of exactly 0.75 have fewer than ``MATCHES`` of 64 equal coordinates, or
+fewer than ``FINE_MATCHES`` of 512 of four bits, with a chance of about 1e-6 (binomial; every coordinate
+mixes all 64 bits of a shingle, so that it holds for sets of a few shingles too). Confirmed links are exact.
 
 Defined cases: NULL, empty and blank texts have an empty set and are linked with nothing; fewer
 than five words make one shingle; a NULL id is its own component, kept; rows that share an id
@@ -37,8 +38,8 @@ from siltmark.functions.scratch import scratch_path
 from siltmark.llm.workers import task
 
 SHINGLE, PERCENT = 5, 75
-COORDS, MATCHES = 64, 32
-FINE, FINE_MATCHES = 512, 354
+COORDS, MATCHES = 64, 30
+FINE, FINE_MATCHES = 512, 344
 BLOCK = 2048
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -56,9 +57,8 @@ def _seeds(n: int, stream: int) -> np.ndarray:
     return _mix((np.arange(n, dtype=np.uint64) + np.uint64(1 + stream * 1_000_003)) * _ODD)
 
 
-#: One permutation of 32-bit values per coordinate: exclusive or with a mask, odd multiplier.
-_MASKS = (_seeds(FINE, 1) >> np.uint64(32)).astype(np.uint32)
-_FACTORS = (_seeds(FINE, 2) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: One seed per coordinate: its hash function mixes all bits of a shingle plus the seed.
+_COORD_SEEDS = _seeds(FINE, 3)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -82,12 +82,11 @@ def set_hashes(found: np.ndarray) -> tuple[int, int]:
 
 
 def signature(found: np.ndarray, n: int) -> np.ndarray:
-    """The least value of each of the first ``n`` permutations (of a set that is not empty)."""
-    x = (found >> np.uint64(32)).astype(np.uint32)
+    """The least value of each of the first ``n`` hash functions (of a set that is not empty)."""
     least = np.full(n, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 1024):
-        values = (x[None, at : at + 1024] ^ _MASKS[:n, None]) * _FACTORS[:n, None]
-        np.minimum(least, values.min(1), out=least)
+    for at in range(0, len(found), 512):
+        x = _mix(found[None, at : at + 512] + _COORD_SEEDS[:n, None])
+        np.minimum(least, (x >> np.uint64(32)).min(1).astype(np.uint32), out=least)
     return least
 
 

@@ -220,6 +220,8 @@ def test_pii_base_and_field():
     assert [t[a:b] for a, _, b in spans if (a, _, b) not in base] == ["4539.1488.0343.6467"]
     assert pii.spans_of("id 1234567 and 1234567", pii.DEFAULT) == ([], [])
     assert pii.base_spans("1." + "9" * 5000 + ".1.1") == []
+    zeros = "0" * 5000 + ".1.2.3"  # beyond the digits that int() takes
+    assert pii.base_spans(zeros) == [(0, 1, len(zeros))] and pii.base_spans("0.0.0.000256") == []
 
 
 def brute_lines(rows, least):
@@ -288,6 +290,27 @@ def test_near_duplicates(spark, docs, nothing, monkeypatch):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_minhash_keeps_small_pairs_at_the_threshold():
+    """Sets of 3 of 4, 6 of 8, 9 of 12 and 30 of 40 shingles: similarity 0.75 exactly."""
+    rng = np.random.default_rng(4)
+    for a, b, n in ((3, 4, 9000), (6, 8, 7000), (9, 12, 3000), (30, 40, 1500)):
+        sets = rng.integers(0, 1 << 63, (n, b), dtype=np.int64).view(np.uint64)
+        for s in sets:
+            x, y = minhash.signature(s[:a], minhash.FINE), minhash.signature(s, minhash.FINE)
+            assert (x[: minhash.COORDS] == y[: minhash.COORDS]).sum() >= minhash.MATCHES
+            assert ((x & 15) == (y & 15)).sum() >= minhash.FINE_MATCHES
+
+
+def test_near_duplicates_links_small_texts_at_the_threshold(spark):
+    """A text of seven words and the same with one word more: 3 of 4 shingles."""
+    rows = []
+    for i in range(5000):
+        words = [f"w{i}x{k}" for k in range(8)]
+        rows += [(2 * i, " ".join(words[:7])), (2 * i + 1, " ".join(words))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8))
+    assert got.where("component_id <> 2 * floor(doc_id / 2)").count() == 0
+
+
 def test_minhash_blocks_cover_large_lists():
     """A list in several blocks proposes what one block does."""
     import pyarrow as pa

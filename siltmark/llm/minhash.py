@@ -15,7 +15,7 @@
    (in the first list the two share). Proposals are confirmed on the full sets.
 
 Two nodes with a similarity of exactly 0.75 have fewer than ``MATCHES`` of 64 equal coordinates, or
-fewer than ``FINE_MATCHES`` of 512 of four bits, with a chance of about 1e-6 (binomial; every coordinate
+fewer than ``FINE_MATCHES`` of 512 of four bits, with a chance of about 5e-5 (binomial; every coordinate
 mixes all 64 bits of a shingle, so that it holds for sets of a few shingles too). Confirmed links are exact.
 
 Defined cases: NULL, empty and blank texts have an empty set and are linked with nothing; fewer
@@ -38,8 +38,8 @@ from siltmark.functions.scratch import scratch_path
 from siltmark.llm.workers import task
 
 SHINGLE, PERCENT = 5, 75
-COORDS, MATCHES = 64, 30
-FINE, FINE_MATCHES = 512, 344
+COORDS, MATCHES = 64, 32
+FINE, FINE_MATCHES = 512, 354
 BLOCK = 2048
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")

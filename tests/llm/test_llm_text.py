@@ -291,14 +291,16 @@ def test_near_duplicates(spark, docs, nothing, monkeypatch):
 
 
 def test_minhash_keeps_small_pairs_at_the_threshold():
-    """Sets of 3 of 4, 6 of 8, 9 of 12 and 30 of 40 shingles: similarity 0.75 exactly."""
-    rng = np.random.default_rng(4)
+    """Sets of 3 of 4, 6 of 8, 9 of 12 and 30 of 40 shingles: similarity 0.75 exactly. By the stated
+    chance one of these 20,500 pairs is lost."""
+    rng, lost = np.random.default_rng(4), 0
     for a, b, n in ((3, 4, 9000), (6, 8, 7000), (9, 12, 3000), (30, 40, 1500)):
         sets = rng.integers(0, 1 << 63, (n, b), dtype=np.int64).view(np.uint64)
         for s in sets:
             x, y = minhash.signature(s[:a], minhash.FINE), minhash.signature(s, minhash.FINE)
-            assert (x[: minhash.COORDS] == y[: minhash.COORDS]).sum() >= minhash.MATCHES
-            assert ((x & 15) == (y & 15)).sum() >= minhash.FINE_MATCHES
+            coarse, fine = (x[: minhash.COORDS] == y[: minhash.COORDS]).sum(), ((x & 15) == (y & 15)).sum()
+            lost += coarse < minhash.MATCHES or fine < minhash.FINE_MATCHES
+    assert lost <= 5
 
 
 def test_near_duplicates_links_small_texts_at_the_threshold(spark):
@@ -308,7 +310,7 @@ def test_near_duplicates_links_small_texts_at_the_threshold(spark):
         words = [f"w{i}x{k}" for k in range(8)]
         rows += [(2 * i, " ".join(words[:7])), (2 * i + 1, " ".join(words))]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8))
-    assert got.where("component_id <> 2 * floor(doc_id / 2)").count() == 0
+    assert got.where("component_id <> 2 * floor(doc_id / 2)").count() <= 3
 
 
 def test_minhash_blocks_cover_large_lists():

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from siltmark.functions.sizing import local_side, small_side, small_table
 
 STATE_ROWS = 2_000_000
+#: Distinct values a bracket of ``column_quantiles`` may hold for each wanted quantile.
+BRACKET_VALUES = 4096
+#: Rounds of brackets before giving up; two or three are usual at any size.
+MAX_SCANS = 20
 GROUPS_PER_TASK = 20
 SKETCH_ACCURACY = 20_000
 
@@ -148,3 +152,106 @@ def _bracketed_whole(vals, sized, probs, group):
         F.max(F.when(at(F.least(k + 1, F.col("n_rows") - 1)), F.col("_v"))).alias("_b"),
     )
     return out.select(*group, "prob", "n_rows", (F.col("_a") + (F.col("_b") - F.col("_a")) * (pos - k)).alias("quantile"))
+
+
+def column_quantiles(
+    df: DataFrame, columns: list[str], probs: list[float], others: list[Column] = (), accuracy: int = SKETCH_ACCURACY, bracket_values: int = BRACKET_VALUES
+) -> tuple[dict[str, dict[float, float | None]], dict]:
+    """Exact quantiles of many columns in two scans, without a row per value: for every column
+    ``{prob: quantile}``, and the named aggregates ``others`` from the first scan.
+
+    The first aggregate takes counts and one mergeable sketch per column. The second counts, for
+    all columns at once, the values below each sketched bracket and the distinct values inside it
+    (a histogram of at most ``bracket_values`` bins is exact while it has room left). A bracket
+    that misses is widened and one that is too full is sketched again, on its own values. NULL and
+    NaN are ignored, a value held by a third of the rows is one bin, and what reaches the driver
+    does not depend on the number of rows.
+    """
+    if accuracy < 100 or bracket_values < 64:
+        raise ValueError("a sketch this coarse cannot be made exact in a few scans")
+    v = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    margin = 2.0 / accuracy
+    first = df.agg(
+        *others, *[F.count(v[c]).alias(f"_n{i}") for i, c in enumerate(columns)], *[F.min(v[c]).alias(f"_lo{i}") for i, c in enumerate(columns)],
+        *[F.max(v[c]).alias(f"_hi{i}") for i, c in enumerate(columns)], *[F.percentile_approx(v[c], _cuts(probs, margin), accuracy).alias(f"_s{i}") for i, c in enumerate(columns)],
+    ).head()
+    found: dict[str, dict[float, float | None]] = {c: {} for c in columns}
+    open_ = []
+    for i, c in enumerate(columns):
+        n, cuts = first[f"_n{i}"], _cuts(probs, margin)
+        for p in probs:
+            if not n:
+                found[c][p] = None
+                continue
+            sketch = dict(zip(cuts, first[f"_s{i}"]))
+            ends = first[f"_lo{i}"], first[f"_hi{i}"]
+            open_.append(_Target(c, p, n, ends, _bracket_of(sketch, ends, p, margin), margin))
+    for _ in range(MAX_SCANS):
+        if not open_:
+            break
+        cells = []
+        for j, t in enumerate(open_):
+            cells.append(F.count_if(v[t.column] < t.bracket[0]).alias(f"b{j}"))
+            cells.append(F.histogram_numeric(F.when(v[t.column].between(*t.bracket), v[t.column]), F.lit(bracket_values)).alias(f"h{j}"))
+        row, left = df.agg(*cells).head(), []
+        for j, t in enumerate(open_):
+            value = t.resolve(row[f"b{j}"], row[f"h{j}"] or [], bracket_values)
+            if value is None:
+                left.append(t)
+            else:
+                found[t.column][t.prob] = value
+        if left:
+            cells = [
+                F.percentile_approx(F.when(v[t.column].between(*t.ends), v[t.column]), t.cuts(), accuracy).alias(f"s{j}") for j, t in enumerate(left)
+            ]
+            row = df.agg(*cells).head()
+            for j, t in enumerate(left):
+                t.bracket = tuple(row[f"s{j}"])
+        open_ = left
+    if open_:
+        raise RuntimeError(f"no exact bracket for {[(t.column, t.prob) for t in open_]}")
+    names = [c for c in first.asDict() if not c.startswith(("_n", "_lo", "_hi", "_s"))]
+    return found, {c: first[c] for c in names}
+
+
+def _cuts(probs: list[float], margin: float) -> list[float]:
+    return sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)})
+
+
+def _bracket_of(sketch: dict[float, float], ends: tuple[float, float], p: float, margin: float) -> tuple[float, float]:
+    lo, hi = min(1.0, max(0.0, p - margin)), min(1.0, max(0.0, p + margin))
+    return (ends[0] if lo == 0.0 else sketch[lo]), (ends[1] if hi == 1.0 else sketch[hi])
+
+
+class _Target:
+    """One wanted quantile: the bracket tried next, and the range of values known to hold it."""
+
+    def __init__(self, column, prob, n, ends, bracket, margin):
+        self.column, self.prob, self.n, self.ends, self.bracket, self.margin = column, prob, n, ends, bracket, margin
+        self.below, self.inside = 0, n  # values below ``ends`` and inside
+        position = prob * (n - 1)
+        self.k = int(position)
+        self.frac = position - self.k
+        self.upper = min(self.k + 1, n - 1)
+
+    def resolve(self, below: int, bins: list, room: int) -> float | None:
+        """The quantile, or None after the range or the margin was adjusted for another try."""
+        inside = int(sum(b["y"] for b in bins))
+        if not below <= self.k <= self.upper < below + inside:
+            self.margin *= 16  # the sketch was off: a wider bracket, in the end the whole range
+            return None
+        if len(bins) < room:
+            ranks, end = {}, below
+            for b in sorted(bins, key=lambda b: b["x"]):
+                for r in (self.k, self.upper):
+                    if end <= r < end + b["y"]:
+                        ranks[r] = b["x"]
+                end += int(b["y"])
+            return ranks[self.k] + (ranks[self.upper] - ranks[self.k]) * self.frac
+        # Too many values: the next sketch runs inside this bracket.
+        self.ends, self.below, self.inside, self.margin = self.bracket, below, inside, min(self.margin, 0.01)
+        return None
+
+    def cuts(self) -> list[float]:
+        place = (self.k - self.below) / max(1, self.inside)
+        return [max(0.0, place - self.margin), min(1.0, place + self.margin + 2.0 / max(1, self.inside))]

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.functions.quantiles import exact_quantiles
+from siltmark.functions.quantiles import column_quantiles
 from siltmark.functions.sizing import bounded_rows, known_classes
 from siltmark.functions.vectors import long_values
 from siltmark.operators.validate import non_finite
@@ -26,11 +26,8 @@ def blank_non_finite(df: DataFrame, features: list[str]) -> DataFrame:
 
 def fit_medians(train: DataFrame, features: list[str]) -> dict[str, float | None]:
     """Exact median of the finite values of every feature."""
-    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]
-    long = blank_non_finite(train, features).select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
-    rows = exact_quantiles(long, "value", [0.5], ["feature"]).collect()
-    found = {r["feature"]: r["quantile"] for r in rows}
-    return {c: found.get(c) for c in features}
+    found, _ = column_quantiles(blank_non_finite(train, features).select(*features), features, [0.5])
+    return {c: found[c][0.5] for c in features}
 
 
 def clean(df: DataFrame, features: list[str], policy: str = "impute", medians: dict | None = None) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltmark.functions.quantiles import exact_quantiles
+from siltmark.functions.quantiles import column_quantiles
 from siltmark.functions.sizing import small_side
 
 
@@ -110,34 +110,18 @@ def percent_name(p: float) -> str:
 def audit_features(df: DataFrame, features: list[str], probs: tuple = (0.25, 0.5, 0.75)) -> DataFrame:
     """Per feature: nulls, non-finite values, min, max, mean, deviation and quantiles.
 
-    Statistics run over finite values in one aggregate pass; quantiles are exact at any size.
+    Statistics and quantile sketches come from one aggregate over finite values; a second scan
+    makes the quantiles exact at any size (see ``column_quantiles``).
     """
-    finite = df.select(*[F.when(~non_finite(F.col(c)), F.col(c).cast("double")).alias(c) for c in features])
-    raw = df.agg(
-        *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in features],
-        *[F.count_if(non_finite(F.col(c))).alias(f"bad_{c}") for c in features],
-    )
-    nulls = raw.head()
-    stats = finite.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.lit(nulls[f"nulls_{c}"]).cast("bigint").alias("n_null"),
-                F.lit(nulls[f"bad_{c}"]).cast("bigint").alias("n_non_finite"),
-                F.count(c).alias("n_finite"),
-                F.min(c).alias("min"),
-                F.max(c).alias("max"),
-                F.avg(c).alias("mean"),
-                F.stddev_pop(c).alias("std"),
-            ).alias(c)
-            for c in features
-        ]
-    )
-    table = stats.select(F.explode(F.array(*features)).alias("_s")).select("_s.*")
-    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features]
-    long = finite.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
-    q = exact_quantiles(long, "value", list(probs), ["feature"])
-    wide = q.groupBy("feature").agg(
-        *[F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(percent_name(p)) for p in probs]
-    )
-    return table.join(wide, "feature", "left")
+    finite = {c: f"_f_{c}" for c in features}
+    rows = df.select(*features, *[F.when(~non_finite(F.col(c)), F.col(c).cast("double")).alias(f) for c, f in finite.items()])
+    others = []
+    for i, (c, f) in enumerate(finite.items()):
+        others += [F.count_if(F.col(c).isNull()).alias(f"null_{i}"), F.count_if(non_finite(F.col(c))).alias(f"bad_{i}"), F.count(f).alias(f"count_{i}")]
+        others += [F.min(f).alias(f"min_{i}"), F.max(f).alias(f"max_{i}"), F.avg(f).alias(f"avg_{i}"), F.stddev_pop(f).alias(f"std_{i}")]
+    quantiles, stats = column_quantiles(rows, list(finite.values()), [float(p) for p in probs], others)
+    table = [
+        (c, *(stats[f"{s}_{i}"] for s in ("null", "bad", "count", "min", "max", "avg", "std")), *(quantiles[f][float(p)] for p in probs)) for i, (c, f) in enumerate(finite.items())
+    ]
+    fields = "feature string, n_null bigint, n_non_finite bigint, n_finite bigint, min double, max double, mean double, std double"
+    return df.sparkSession.createDataFrame(table, ", ".join([fields, *[f"{percent_name(p)} double" for p in probs]]))

@@ -93,6 +93,13 @@ def q_audit_rollup(spark, d):
     return audit_rollup(split(candidates(spark, d), SEED))
 
 
+def interim(spark, rows):
+    """Ids, features and split, computed once and written by split: later scans read the side they need."""
+    root = scratch_path(spark, "flows")
+    write_layer(split(rows, SEED).select("row_id", *FLOW_FEATURES, "split"), root, "processed", "flows")
+    return read_layer(spark, root, "processed", "flows")
+
+
 SQL_MEDIANS = f"""{SQL_DIRTY}, train AS (SELECT * FROM dirty WHERE {sql_split()} = 'train'),
     med AS (SELECT """ + ", ".join(f"quantile_cont({c}, 0.5) FILTER (WHERE isfinite({c})) AS m_{c}" for c in FLOW_FEATURES) + " FROM train)"
 
@@ -104,8 +111,8 @@ SQL_MEDIANS = f"""{SQL_DIRTY}, train AS (SELECT * FROM dirty WHERE {sql_split()}
     + " FROM dirty CROSS JOIN med",
 )
 def q_clean(spark, d):
-    rows = dirty_flows(spark, d)
-    medians = fit_medians(split(rows, SEED).where(F.col("split") == "train"), FLOW_FEATURES)
+    rows = interim(spark, dirty_flows(spark, d))
+    medians = fit_medians(rows.where(F.col("split") == "train"), FLOW_FEATURES)
     good, _ = clean(rows, FLOW_FEATURES, "impute", {c: round(v, 6) for c, v in medians.items()})
     return good.select("row_id", *FLOW_FEATURES)
 
@@ -164,7 +171,7 @@ def q_fit_scaler(spark, d):
     + f" FROM flows CROSS JOIN st WHERE {sql_split()} <> 'train'",
 )
 def q_apply_scaler(spark, d):
-    rows = split(flows(spark, d), SEED)
+    rows = interim(spark, flows(spark, d))
     scaler = Scaler.fit(rows.where(F.col("split") == "train"), FLOW_FEATURES)
     out = scaler.apply(rows.where(F.col("split") != "train"))
     return out.select("row_id", *[r6(c).alias(c) for c in FLOW_FEATURES])

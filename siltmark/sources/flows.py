@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltmark.functions.hashing import content_key
-from siltmark.functions.sizing import small_side
+from siltmark.functions.scratch import scratch_path
 
 CORRUPT = "_corrupt_record"
 COPIES_PER_CHUNK = 100_000
@@ -60,18 +60,23 @@ def with_row_id(df: DataFrame, columns: list[str] | None = None, row_id: str = "
     """A stable id for rows without a key: md5 of the content of ``columns``, plus a copy number
     for rows that share it (``<md5>-2`` for the second). Every row keeps its values as they are.
 
-    Hashes are counted first (combined in each task); rows with a hash of their own are named
-    in place and not shuffled. Rows that share one are grouped with their whole-row copies,
-    counted, and written out again in chunks, so even a row that makes up a third of the table
-    is never gathered in one place.
+    Eight-byte hashes are counted first (combined in each task) and those that repeat are written;
+    all other rows are named in one scan, in place. Rows that may share their content are grouped
+    with their whole-row copies, counted, and written out again in chunks, so even a row that makes
+    up a third of the table is never gathered in one place.
     """
-    keyed = df.withColumn("_k", content_key(columns or df.columns))
-    shared = keyed.groupBy("_k").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_k").alias("_s"))
-    marked = keyed.join(small_side(shared), F.col("_k") == F.col("_s"), "left")
-    single = marked.where("_s IS NULL").select(*df.columns, F.col("_k").alias(row_id))
+    named = columns or df.columns
+    brief = df.withColumn("_b", F.xxhash64(*named))
+    shared = brief.groupBy("_b").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_b").alias("_s"))
+    path = scratch_path(df.sparkSession, "shared-hashes")
+    shared.write.parquet(path)
+    shared = df.sparkSession.read.parquet(path)
+    single = brief.join(shared, F.col("_b") == F.col("_s"), "left_anti").select(*df.columns, content_key(named).alias(row_id))
+    many = brief.join(shared, F.col("_b") == F.col("_s"), "left_semi").drop("_b").withColumn("_k", content_key(named))
+    whole = F.col("_k") if set(named) == set(df.columns) else content_key(df.columns)
     chunk = F.lit(COPIES_PER_CHUNK).cast("bigint")
     row = F.any_value(F.struct(*df.columns)).alias("_row")
-    many = marked.where("_s IS NOT NULL").withColumn("_whole", content_key(df.columns))
+    many = many.withColumn("_whole", whole)
     many = many.groupBy("_k", "_whole").agg(F.count("*").alias("_n"), row)
     before = Window.partitionBy("_k").orderBy("_whole").rowsBetween(Window.unboundedPreceding, -1)
     many = many.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -1,9 +1,11 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltmark.functions import quantiles
-from siltmark.functions.quantiles import exact_quantiles
+from siltmark.functions.quantiles import column_quantiles, exact_quantiles
 
 PROBS = [0.0, 0.1, 0.5, 0.77, 1.0]
 
@@ -49,3 +51,33 @@ def test_without_groups(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("x"))
     for rows in (1000, 10):
         assert exact_quantiles(df, "x", [0.25], state_rows=rows).head()["quantile"] == 25.0
+
+
+@pytest.mark.parametrize("accuracy, room", [(20_000, 4096), (100, 64)])
+def test_columns_at_once(spark, accuracy, room):
+    """Ties, gaps, an empty column and brackets that miss or hold too much, against sorted values."""
+    i = F.col("id")
+    df = spark.range(3000).select(
+        (F.pmod(F.xxhash64("id"), F.lit(10_007)) / 7.0).alias("spread"), F.when(i % 3 == 0, 5.0).otherwise((i % 50).cast("double")).alias("tied"),
+        F.when(i % 7 == 0, F.lit(float("nan"))).when(i % 11 == 0, None).otherwise(-i / 3.0).alias("gaps"), F.lit(None).cast("double").alias("none"), F.lit(2.5).alias("one"),
+    )
+    probs = [0.0, 0.25, 0.5, 0.999, 1.0]
+    found, others = column_quantiles(df, df.columns, probs, [F.count("*").alias("rows")], accuracy, room)
+    assert others == {"rows": 3000} and set(found["none"].values()) == {None}
+    rows = df.collect()
+    for c in ("spread", "tied", "gaps", "one"):
+        values = sorted(r[c] for r in rows if r[c] is not None and not math.isnan(r[c]))
+        for p in probs:
+            k = int(p * (len(values) - 1))
+            upper = values[min(k + 1, len(values) - 1)]
+            assert found[c][p] == pytest.approx(values[k] + (upper - values[k]) * (p * (len(values) - 1) - k), abs=1e-12), (c, p)
+
+
+def test_columns_do_not_fan_out(spark, capsys):
+    """Rows are not multiplied by features before the aggregate."""
+    from siltmark.operators.prepare import fit_medians
+
+    df = spark.range(100).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("b"))
+    assert fit_medians(df, ["a", "b"]) == {"a": 49.5, "b": 99.0}
+    df.agg(F.percentile_approx("a", [0.5], 100), F.histogram_numeric("b", F.lit(10))).explain()
+    assert "Generate" not in capsys.readouterr().out

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.functions.sizing import small_side
+from siltmark.operators.admission import Defence, admit
 from siltmark.operators.classifier import PrototypeClassifier, fit_many
 from siltmark.operators.corruption import conditions
 from siltmark.operators.evaluate import compare_conditions, confusion, metrics_of, novelty_metrics, per_class, to_long
 from siltmark.operators.novelty import UNKNOWN, detect_unknown, label_unknown
 from siltmark.operators.split import split
-from siltmark.operators.tasks import REPLAY_CAP, STRATEGIES, make_tasks, replay_buffer, task_classes_df, task_manifest, training_set
+from siltmark.operators.tasks import REPLAY_CAP, STRATEGIES, make_tasks, merge_buffer, replay_buffer, task_classes_df, task_manifest, training_set
 from siltmark.sources.tables import write_conditions, write_manifest
 
 MATRIX = "strategy string, after_task int, eval_task int, score double, n_rows bigint"
@@ -83,6 +84,25 @@ def run_both(
     )
 
 
+def run_buffers(
+    rows: DataFrame, tasks: list[int], path: str, cap: int = REPLAY_CAP, seed: int = 0, defence: Defence | None = None, row_id: str = "row_id", label: str = "label"
+) -> DataFrame:
+    """The replay buffer after every task: ``rows`` (with ``task_id``) of a task meet the version
+    before, so at most 2 * cap rows per class are handled at each step. With ``defence`` only
+    admitted rows may enter. Versions are written as they arise (``buffer_version``: the task) and
+    overwritten by a repeat; old ones stay, so that what entered can be followed."""
+    spark, version = rows.sparkSession, None
+    for task in tasks:
+        new = rows.where(F.col("task_id") == task)
+        if defence is not None:
+            new = admit(new, defence).where("decision = 'admit'").select(*rows.columns)
+        merged = replay_buffer(new, cap, seed, row_id, label) if version is None else merge_buffer(version, new, cap, seed, row_id, label)
+        # Only the selected rows, at most cap per class, meet in the one file of a version.
+        merged.repartition(1).write.mode("overwrite").parquet(f"{path}/buffer_version={int(task)}")
+        version = spark.read.schema(rows.schema).parquet(f"{path}/buffer_version={int(task)}")
+    return spark.read.parquet(path)
+
+
 @dataclass
 class Params:
     """One row of an experiment grid."""

@@ -19,8 +19,8 @@ from siltmark.operators.neighbours import knn_consistency
 from siltmark.operators.novelty import class_radii, detect_far, detect_unknown, label_unknown, quarantine, release, threshold_sweep
 from siltmark.operators.prepare import Scaler
 from siltmark.operators.split import split
-from siltmark.operators.tasks import replay_buffer
-from siltmark.plans.experiment import Params, manifest_fields, run_conditions
+from siltmark.operators.tasks import poison_persistence, replay_buffer
+from siltmark.plans.experiment import Params, manifest_fields, run_buffers, run_conditions
 from siltmark.plans.inputs import (
     SEED, SQL_EMB, SQL_SIDED, TAU, TWO_TASKS, sql_int, sql_key, sql_lowest, sql_proto, sql_score, sql_split, vectors,
 )
@@ -513,6 +513,33 @@ def q_secure_replay(spark, d):
     return secure_replay(cand, defence, 5, SEED).select("row_id", F.col("label").alias("claimed"))
 
 
+_BUFFER_CAP = 15
+_SQL_TASK = "CASE WHEN truth < 4 THEN 1 WHEN truth < 6 THEN 2 WHEN truth < 8 THEN 3 END"
+
+
+def _sql_buffer(arm: str, task: int) -> str:
+    kept = "" if arm == "all" else " AND decision = 'admit'"
+    source = f"(SELECT row_id, claimed, is_poisoned FROM dec WHERE {_SQL_TASK} <= {task}{kept})"
+    return (
+        f"SELECT '{arm}' AS arm, {task} AS after_task, count(*) AS n_rows, count(*) FILTER (WHERE is_poisoned) AS n_poisoned, "
+        f"round(avg(CASE WHEN is_poisoned THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS share FROM {sql_lowest(source, str(_BUFFER_CAP), 'replay', 'claimed')}"
+    )
+
+
+@query("q_poison_over_tasks", f"WITH {SQL_ADMIT} " + " UNION ALL ".join(_sql_buffer(arm, task) for arm in ("all", "admitted") for task in (1, 2, 3)))
+def q_poison_over_tasks(spark, d):
+    """Share of flipped rows in the replay buffer after every task, with and without admission."""
+    cand, defence = admission_parts(spark, d)
+    truth = F.col("truth")
+    rows = cand.withColumn("task_id", F.when(truth < 4, 1).when(truth < 6, 2).when(truth < 8, 3))
+    log, out = flipped_train(spark, d).log, None
+    for arm, guard in (("all", None), ("admitted", defence)):
+        buffers = run_buffers(rows, [1, 2, 3], scratch_path(spark, f"buffers-{arm}"), _BUFFER_CAP, SEED, guard)
+        shares = poison_persistence(buffers, log).select(F.lit(arm).alias("arm"), F.col("buffer_version").alias("after_task"), "n_rows", "n_poisoned", "share")
+        out = shares if out is None else out.unionByName(shares)
+    return rounded(out, "share")
+
+
 @query(
     "q_buffer_audit",
     f"WITH {SQL_ADMIT}, buf AS (SELECT * FROM {sql_lowest('dec', '10', 'replay', 'claimed')}) SELECT row_id, claimed, reason FROM buf WHERE decision <> 'admit'",

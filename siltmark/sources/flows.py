@@ -16,9 +16,9 @@ COPIES_PER_CHUNK = 100_000
 def read_flows(spark: SparkSession, path: str, schema: T.StructType, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(rows, bad)`` from CSV or Parquet under a declared schema.
 
-    CSV: fields are matched to the trimmed header by name, in any order (files read together
-    share one header); a declared field that the header lacks raises an error, further fields
-    are left out. Values are trimmed, ``Inf``, ``Infinity`` and ``NaN`` parse as such, and a line
+    CSV: fields are matched to the trimmed header by name, in any order; a declared field that the
+    header lacks raises an error, further fields are left out. Files read together share one
+    header: Spark checks the first line of each when it reads it, and another one is an error. Values are trimmed, ``Inf``, ``Infinity`` and ``NaN`` parse as such, and a line
     that does not fit the schema goes to ``bad`` with its text. Bad rows are split off by a
     filter on the same scan.
     """
@@ -35,7 +35,7 @@ def read_flows(spark: SparkSession, path: str, schema: T.StructType, fmt: str |
     raw = (
         spark.read.schema(full)
         .option("header", True)
-        .option("enforceSchema", True)
+        .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("ignoreLeadingWhiteSpace", True)

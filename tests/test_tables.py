@@ -61,3 +61,17 @@ def test_grid_is_the_product(spark):
     g = experiment_grid(spark, [1, 2], ["0", "0.05"], [0.5], caps=(10, 50))
     assert g.count() == 16 and g.select("run_id").distinct().count() == 16
     assert {str(r[0]) for r in g.select("poison_rate").distinct().collect()} == {"0.000000", "0.050000"}
+
+
+def test_files_with_another_header_order_are_refused(spark, folder):
+    from pyspark.sql import types as T
+
+    from siltmark.sources.flows import read_flows
+
+    path = folder + "/headers"
+    spark.createDataFrame([(1, 2.5)], "id int, v double").write.option("header", True).csv(path)
+    kind = T._parse_datatype_string("v double, id int")
+    assert [tuple(r) for r in read_flows(spark, path, kind)[0].collect()] == [(2.5, 1)]
+    spark.createDataFrame([(7.5, 3)], "v double, id int").write.mode("append").option("header", True).csv(path)
+    with pytest.raises(Exception, match="CSV header"):
+        read_flows(spark, path, kind)[0].collect()

@@ -106,3 +106,22 @@ def test_a_perceptron_continues_from_task_to_task(spark, skewed, monkeypatch):
     cells = {(r["after_task"], r["eval_task"]): r["score"] for r in run_tasks(rows, [1, 2], "replay", make, cap=20, seed=1).collect()}
     assert started == [False, True] and set(cells) == {(1, 1), (2, 1), (2, 2)}
     assert cells[1, 1] > 0.9
+
+
+def test_buffers_from_task_to_task(spark, skewed, folder):
+    """A version is the buffer of all rows so far; with a defence poison stays out of every one."""
+    from siltmark.operators.admission import Defence, Policy
+    from siltmark.operators.classifier import PrototypeClassifier
+    from siltmark.plans.experiment import run_buffers
+
+    task = F.when(F.col("label") < 2, 1).when(F.col("label") < 4, 2)
+    rows = skewed.withColumn("task_id", task).where("task_id IS NOT NULL").withColumn("truth", F.col("label"))
+    rows = rows.withColumn("label", F.when(F.col("row_id") % 7 == 0, (F.col("label") + 1) % 4).otherwise(F.col("label")))
+    found = run_buffers(rows, [1, 2], folder + "/all", 10, 3)
+    want = {(1, r["row_id"]) for r in replay_buffer(rows.where("task_id = 1"), 10, 3).collect()} | {(2, r["row_id"]) for r in replay_buffer(rows, 10, 3).collect()}
+    assert {(r["buffer_version"], r["row_id"]) for r in found.collect()} == want
+    assert found.where("label <> truth").count() > 0
+    trusted = skewed.where("label < 4")
+    defence = Defence.fit(PrototypeClassifier().fit(trusted), trusted, Policy(0.5, 6.0, None, 1.0))
+    kept = run_buffers(rows, [1, 2], folder + "/kept", 10, 3, defence)
+    assert kept.where("label <> truth").count() == 0 and kept.where("buffer_version = 2").count() > 20

@@ -5,6 +5,10 @@ lowest row of a group of n sits near the fraction k/n of the key range. One narr
 counts groups, a second counts the rows below a small bracket around k/n and orders only
 the rows inside it (about 20 * sqrt(k) of them). The outcome is one exact cut key per
 group, so selecting is a filter: no row of the table is shuffled or sorted.
+
+Keys that are not uniform (ids repeated in bulk) can miss a bracket. The range of such a cut is
+then narrowed two hex digits at a time: every round counts the rows of each digit pair inside
+the tasks and descends into the pair that holds the k-th row, until few rows or one key remain.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions.hashing import seed_key
+from siltmark.functions.scratch import written
 from siltmark.functions.sizing import SMALL_ROWS, local_side, small_side, small_table
 
 Quota = Callable[[Column], Column]
@@ -23,6 +28,10 @@ KEY_END = "g"  # sorts after every hex digit
 FRACTION_DIGITS = 12
 FRACTION_SCALE = float(16**FRACTION_DIGITS)
 BUCKET_ROWS = 1_000_000
+KEY_DIGITS, RADIX_DIGITS = 32, 2
+#: A narrowed range of at most so many rows is ordered; a wider one is narrowed further.
+RANGE_ROWS = 1 << 16
+TIES = ("error", "whole")
 
 
 def lowest_cuts(
@@ -33,12 +42,17 @@ def lowest_cuts(
     row_id: str = "row_id",
     group: list[str] | None = None,
     slack: float = 10.0,
+    ties: str = "error",
 ) -> DataFrame:
     """Cut keys of the lowest ``quotas[name](n)`` rows of each group.
 
+    A cut inside rows of one id is an error, or, with ``ties="whole"``, takes all rows of that id.
+
     Returns ``group..., n_rows`` and per quota ``k_<name>, h_<name>, id_<name>``: the last
     selected key and row id (NULL where nothing is selected, ``KEY_END`` where all are).
     """
+    if ties not in TIES:
+        raise ValueError(f"ties must be one of {TIES}")
     group = list(group or [])
     keyed = df.select(*group, F.col(row_id).alias("_id"), seed_key(salt, seed, row_id).alias("_h"))
     wanted = F.array(
@@ -58,7 +72,7 @@ def lowest_cuts(
     n_open = sizes.where(is_open).count() if table is None else sum(
         0 < k < n for k, n in zip(table["k"].to_pylist(), table["n_rows"].to_pylist())
     )
-    found = _resolve(keyed, sizes.where(is_open), n_open, group)
+    found = _resolve(keyed, sizes.where(is_open), n_open, group, ties)
     full = sizes.join(found, matches([*group, "quota"], "_f_"), "left").select(
         *group,
         "n_rows",
@@ -78,19 +92,36 @@ def matches(keys: list[str], prefix: str) -> Column:
     return F.expr(" and ".join(f"`{k}` <=> `{prefix}{k}`" for k in keys))
 
 
-def _resolve(keyed: DataFrame, sizes: DataFrame, n_open: int, group: list[str], whole: bool = False) -> DataFrame:
-    """The k-th key of every (group, quota) with 0 < k < n, from the rows in its bracket."""
-    span = ("'' as _lo", f"'{KEY_END}' as _hi") if whole else ("_lo", "_hi")
-    open_cuts = sizes.selectExpr(*[f"`{c}` as `_b_{c}`" for c in group], "quota", "k", *span)
+def _resolve(keyed: DataFrame, sizes: DataFrame, n_open: int, group: list[str], ties: str) -> DataFrame:
+    """The k-th key of every (group, quota) with 0 < k < n: from its bracket, else by narrowing."""
+    cut = _cuts_between(keyed, sizes, group)
+    table = small_table(cut)
+    n_found = cut.count() if table is None else table.num_rows
+    if n_found < n_open:
+        found = local_side(cut, table).select(*[f"_f_{c}" for c in (*group, "quota")])
+        missed = sizes.join(found, matches([*group, "quota"], "_f_"), "left_anti")
+        cut = cut.unionByName(_cuts_between(keyed, _narrowed(keyed, missed, group), group))
+        table = small_table(cut)
+    over = cut.where("_over").count() if table is None else sum(table["_over"].to_pylist())
+    if over and ties == "error":
+        # The key is (hash, id): a cut inside equal ids would select too many.
+        raise ValueError("row ids repeat at a cut: selecting exactly k rows needs unique ids")
+    return local_side(cut, table)
+
+
+def _paired(keyed: DataFrame, cuts: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
+    """Every row beside the open cuts of its group; ``fields`` are the columns of a cut."""
     if group:
-        paired = keyed.join(open_cuts, matches(group, "_b_"))
-    else:
-        fields = ["quota", "k", "_lo", "_hi"]
-        structs = [F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in open_cuts.collect()]
-        none = F.expr("cast(array() as array<struct<quota:string,k:bigint,_lo:string,_hi:string>>)")
-        paired = keyed.withColumn("_b", F.explode(F.array(*structs) if structs else none)).select(
-            "_id", "_h", *[F.col(f"_b.{f}").alias(f) for f in fields]
-        )
+        return keyed.join(cuts.selectExpr(*[f"`{c}` as `_b_{c}`" for c in group], *fields), matches(group, "_b_"))
+    structs = [F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in cuts.select(*fields).collect()]
+    if not structs:
+        return keyed.limit(0).select("*", *[F.lit(None).cast(cuts.schema[f].dataType).alias(f) for f in fields])
+    return keyed.withColumn("_b", F.explode(F.array(*structs))).select("_id", "_h", *[F.col(f"_b.{f}").alias(f) for f in fields])
+
+
+def _cuts_between(keyed: DataFrame, sizes: DataFrame, group: list[str]) -> DataFrame:
+    """The cuts whose k-th key lies in [_lo, _hi)."""
+    paired = _paired(keyed, sizes, group, ["quota", "k", "_lo", "_hi"])
     # Rows below a bracket collapse to one counted row per task before the shuffle.
     kept = [f"case when _h >= _lo then {c} end as {c}" for c in ("_h", "_id")]
     counted = (
@@ -104,21 +135,36 @@ def _resolve(keyed: DataFrame, sizes: DataFrame, n_open: int, group: list[str],
         .orderBy(F.col("_h").asc_nulls_first(), F.col("_id"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    cut = (
+    return (
         counted.withColumn("_end", F.sum("_c").over(w))
         .where("_h is not null and _end >= k and _end - _c < k")
         .selectExpr(*[f"`{c}` as `_f_{c}`" for c in group], "quota as _f_quota", "_h as _cut_h", "_id as _cut_id", "_end > k as _over")
     )
-    table = small_table(cut)
-    n_found = cut.count() if table is None else table.num_rows
-    over = cut.where("_over").count() if table is None else sum(table["_over"].to_pylist())
-    if over:
-        # The key is (hash, id): a cut inside equal ids would select too many.
-        raise ValueError("row ids repeat at a cut: selecting exactly k rows needs unique ids")
-    if not whole and n_found < n_open:
-        # Keys that are not uniform (ids repeated in bulk) can miss a bracket: order all rows.
-        return _resolve(keyed, sizes, n_open, group, whole=True)
-    return local_side(cut, table)
+
+
+def _narrowed(keyed: DataFrame, cuts: DataFrame, group: list[str]) -> DataFrame:
+    """``cuts`` with a range [_lo, _hi) of one key prefix each: the one that holds the k-th row.
+
+    ``_k`` is the rank that is left below the prefix. A prefix grows until at most RANGE_ROWS rows
+    share it, or it is a whole key, whose rows are then one counted row per id.
+    """
+    names = [*group, "quota", "k", "_k", "_p"]
+    state, digits = small_side(cuts.select(*group, "quota", "k", F.col("k").alias("_k"), F.lit("").alias("_p"))), 0
+    while digits < KEY_DIGITS:
+        rows = _paired(keyed, state, group, ["quota", "k", "_k", "_p"]).where(F.expr(f"substring(_h, 1, {digits}) = _p"))
+        digits += RADIX_DIGITS
+        # At most 256 counts per cut and round.
+        counts = rows.groupBy(*names[:-1], F.expr(f"substring(_h, 1, {digits})").alias("_p")).agg(F.count("*").alias("_c"))
+        end = F.sum("_c").over(Window.partitionBy(*group, "quota").orderBy("_p"))
+        here = counts.withColumn("_end", end).where("_end >= _k and _end - _c < _k").withColumn("_k", F.expr("_k - (_end - _c)")).select(*names, "_c")
+        table = small_table(here)
+        if table is None:
+            here = written(here, "narrowed-cuts")
+        widest = here.agg(F.max("_c")).head()[0] if table is None else max(table["_c"].to_pylist(), default=0)
+        state = local_side(here, table).select(*names)
+        if (widest or 0) <= RANGE_ROWS:
+            break
+    return state.select(*group, "quota", "k", F.col("_p").alias("_lo"), F.concat("_p", F.lit(KEY_END)).alias("_hi"))
 
 
 def _key_at(fraction: str, start: str, end: str) -> Column:
@@ -161,10 +207,14 @@ def select_lowest(
     salt: str,
     row_id: str = "row_id",
     group: list[str] | None = None,
+    ties: str = "error",
 ) -> DataFrame:
-    """The lowest ``k`` rows of every group (all rows of smaller groups)."""
+    """The lowest ``k`` rows of every group (all rows of smaller groups).
+
+    With ``ties="whole"`` ids may repeat: the id that holds the k-th row comes with all its rows.
+    """
     quota = k if callable(k) else (lambda n: F.least(F.lit(int(k)).cast("bigint"), n))
-    cuts = lowest_cuts(df, {"k": quota}, seed, salt, row_id, group)
+    cuts = lowest_cuts(df, {"k": quota}, seed, salt, row_id, group, ties=ties)
     marked = mark_lowest(df, cuts, ["k"], seed, salt, row_id, group, prefix="_in_")
     return marked.where(F.col("_in_k")).drop("_in_k")
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from siltmark.functions.scratch import scratch_path
 from siltmark.operators.prepare import LabelMap, Scaler, align, assemble, clean, encode_labels, fit_medians
-from siltmark.operators.selection import hash_rank
+from siltmark.operators.selection import hash_rank, select_lowest
 from siltmark.operators.split import split, split_stratified, subset
 from siltmark.operators.validate import Rule, audit_classes, audit_features, audit_rollup, rules_for, validate, violations
 from siltmark.plans.inputs import (
@@ -205,6 +205,24 @@ def q_hash_rank(spark, d):
     return hash_rank(candidates(spark, d), SEED, "rank", group=["label"]).select("row_id", "label", "hash_rank")
 
 
+_REPEATED_SHARE = 0.3
+
+
+@query(
+    "q_select_repeated",
+    f"""WITH keyed AS (SELECT l_suppkey AS row_id, l_returnflag AS label, l_quantity, count(*) OVER (PARTITION BY l_returnflag) AS n,
+    rank() OVER (PARTITION BY l_returnflag ORDER BY {sql_key('repeated', 'l_suppkey')}, l_suppkey) AS first FROM lineitem)
+    SELECT row_id, label, count(*) AS n_rows, sum(l_quantity::DECIMAL(18, 2))::DOUBLE AS quantity FROM keyed WHERE first <= floor({_REPEATED_SHARE}::DECIMAL(10, 6) * n) GROUP BY row_id, label""",
+)
+def q_select_repeated(spark, d):
+    """Line items of the lowest suppliers per flag, near 30 % of the rows: every id repeats in bulk."""
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("row_id"), F.col("l_returnflag").alias("label"), "l_quantity")
+    share = lambda n: F.floor(F.lit(Decimal(str(_REPEATED_SHARE))) * n)
+    picked = select_lowest(rows, share, SEED, "repeated", group=["label"], ties="whole")
+    quantity = F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity")
+    return picked.groupBy("row_id", "label").agg(F.count("*").alias("n_rows"), quantity)
+
+
 @query(
     "q_align",
     f"""WITH {SQL_FLOWS} SELECT 'lines' AS dataset, count(*) AS n_rows, round(avg(l_extendedprice), 6) AS mean_amount, count(l_quantity) AS with_quantity FROM flows

@@ -33,13 +33,46 @@ def test_null_groups_are_groups(spark, skewed):
     assert ids(select_lowest(df, 5, 3, "t", group=["label"])) == ids(brute(df, 5, "t", 3, ["label"]))
 
 
-def test_bracket_that_misses_falls_back_to_a_full_order(skewed):
+@pytest.mark.parametrize("range_rows", [1, 50, 1 << 16])
+def test_bracket_that_misses_is_narrowed(skewed, range_rows, monkeypatch):
     """A slack of zero makes the bracket too narrow for most cuts; results stay exact."""
+    monkeypatch.setattr(selection, "RANGE_ROWS", range_rows)
     cuts = lowest_cuts(skewed, {"k": lambda n: F.lit(31)}, 3, "t", group=["label"], slack=0.0)
     got = mark_lowest(skewed, cuts, ["k"], 3, "t", group=["label"]).where("in_k")
     assert ids(got) == ids(brute(skewed, 31, "t", 3, ["label"]))
 
 
+@pytest.mark.parametrize("group", [["label"], []])
+@pytest.mark.parametrize("k", [1, 150, 399, 640])
+def test_repeated_ids_come_whole(spark, monkeypatch, group, k):
+    """Ids of 1 to 300 rows, a third of all rows one id: all rows of the id of the k-th row come."""
+    monkeypatch.setattr(selection, "RANGE_ROWS", 4)
+    rows = [(i if i % 3 else 0, i % 2) for i in range(900)] + [(7, 0)] * 50
+    df = spark.createDataFrame(rows, "row_id bigint, label int")
+    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(seed_key("t", 3, "row_id"), "row_id")
+    want = df.withColumn("r", F.rank().over(w)).where(F.col("r") <= k)
+    got = select_lowest(df, k, 3, "t", group=group, ties="whole")
+    assert sorted(map(tuple, got.select("row_id", "label").collect())) == sorted(map(tuple, want.select("row_id", "label").collect()))
+
+
+def test_a_cut_inside_repeated_ids_is_an_error(spark):
+    df = spark.createDataFrame([(1,)] * 500 + [(2,)] * 500, "row_id bigint")
+    with pytest.raises(ValueError, match="repeat"):
+        select_lowest(df, 30, 3, "t")
+
+
+def test_narrowing_orders_a_bounded_share(spark, monkeypatch):
+    """The range that is ordered after narrowing holds few rows, though the bracket missed."""
+    monkeypatch.setattr(selection, "RANGE_ROWS", 32)
+    df = spark.range(20_000).select(F.col("id").alias("row_id"))
+    keyed = df.select(F.col("row_id").alias("_id"), seed_key("t", 3, "row_id").alias("_h"))
+    cuts = spark.createDataFrame([("k", 7_000)], "quota string, k bigint")
+    at = selection._narrowed(keyed, cuts, []).head()
+    inside = keyed.where((F.col("_h") >= at["_lo"]) & (F.col("_h") < at["_hi"])).count()
+    assert 0 < inside <= 32
+    assert keyed.where(F.col("_h") < at["_lo"]).count() < 7_000 <= keyed.where(F.col("_h") < at["_hi"]).count()
+
+
 def test_many_groups_shuffle_instead_of_broadcasting(skewed, monkeypatch):
     """Beyond the size bound the cuts stay a distributed table; the rows are the same."""
     import siltmark.functions.sizing as sizing

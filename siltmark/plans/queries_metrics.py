@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
@@ -15,7 +16,7 @@ from siltmark.operators.evaluate import (
     across_seeds, attack_success, classification_metrics, compare_conditions, confusion, confusion_wide, continual_metrics,
     efficiency, forgetting, metrics_json, new_class_metrics, novelty_metrics, per_class, security_metrics, to_long, tradeoff,
 )
-from siltmark.operators.neighbours import knn_consistency
+from siltmark.operators.neighbours import knn_consistency, nearest_rows
 from siltmark.operators.novelty import class_radii, detect_far, detect_unknown, label_unknown, quarantine, release, threshold_sweep
 from siltmark.operators.prepare import Scaler
 from siltmark.operators.split import split
@@ -404,6 +405,24 @@ def q_knn_consistency(spark, d):
     return rounded(knn_consistency(rows, trusted, 7), "knn_share")
 
 
+_RECALL = 0.95
+
+
+@query(
+    "q_knn_recall",
+    f"WITH {SQL_SIDED} SELECT label, count(*) AS n_rows, 7 * count(*) AS n_neighbours, TRUE AS reached FROM sided WHERE split <> 'train' GROUP BY label",
+)
+def q_knn_recall(spark, d):
+    """Neighbours found in buckets against all training rows, and whether the wanted share is true ones."""
+    rows = sided(spark, d)
+    cand, ref = (x.select("row_id", "label", "features") for x in (rows.where(F.col("split") != "train"), train_of(rows)))
+    found = nearest_rows(cand, ref, 7, recall=_RECALL, leaf_rows=16)
+    exact = nearest_rows(cand, ref, 7).select("row_id", F.col("_n.tid").alias("_true"))
+    both = found.join(exact, "row_id").select("label", F.size("_n").alias("n"), F.size(F.array_intersect("_n.tid", "_true")).alias("hits"), F.size("_true").alias("due"))
+    reached = F.sum(F.sum("hits")).over(Window.partitionBy()) >= _RECALL * F.sum(F.sum("due")).over(Window.partitionBy())
+    return both.groupBy("label").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_neighbours"), reached.alias("reached"))
+
+
 @query("q_admission", f"WITH {SQL_ADMIT} SELECT row_id, claimed, decision, reason FROM dec")
 def q_admission(spark, d):
     return decisions(spark, d).select("row_id", F.col("label").alias("claimed"), "decision", "reason")

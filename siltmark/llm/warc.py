@@ -1,8 +1,9 @@
 """WARC archives with one Zstandard frame per record and the dictionary in a leading skippable frame.
 
-Writing. Payload digests are computed by Spark; the smallest id of each digest and length comes
-from a grouped minimum (combined in each task), joined back to the pages. Each task then fills
-archives: the first records of an archive (at most ``SAMPLE_BYTES``) train its dictionary, which
+Writing. Payload digests are computed by Spark; the smallest id of each digest and length that
+occurs twice or more comes from a grouped minimum (combined in each task) and is written. The pages
+are joined with that written table, so that the join deals both sides anew and can split a payload
+that a third of the pages hold. Each task then fills archives: the first records of an archive (at most ``SAMPLE_BYTES``) train its dictionary, which
 is stored in front, and an archive closes near ``ARCHIVE_BYTES``. Archives are rows with the
 columns of Spark's ``binaryFile`` source (path, modificationTime, length, content), so a retried
 task leaves no half file, and ``read_archives`` reads such a table or a folder of archives alike.
@@ -29,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltmark.functions.scratch import written
 from siltmark.llm.workers import task
 
 # Fixed values of the WARC and Zstandard formats.
@@ -82,9 +84,10 @@ def marked(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str
     rows = df.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("_n", F.octet_length("payload")).withColumn("_sha", F.sha1("payload"))
     first = F.min("page_id")  # a minimum passes over NULL: it is larger than any id
-    firsts = rows.groupBy(F.col("_sha").alias("_s"), F.col("_n").alias("_l")).agg(first.alias("_first"))
-    joined = rows.join(firsts, (rows["_sha"] == firsts["_s"]) & (rows["_n"] == firsts["_l"]))
-    revisit = (F.col("_n") >= least) & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    firsts = rows.groupBy(F.col("_sha").alias("_s"), F.col("_n").alias("_l")).agg(first.alias("_first"), F.count("*").alias("_c"))
+    firsts = written(firsts.where("_c > 1").drop("_c"), "first-payloads").hint("shuffle_hash")
+    joined = rows.join(firsts, (rows["_sha"] == firsts["_s"]) & (rows["_n"] == firsts["_l"]), "left")
+    revisit = F.col("_s").isNotNull() & (F.col("_n") >= least) & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return joined.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
 

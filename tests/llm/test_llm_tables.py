@@ -6,6 +6,7 @@ import os
 import struct
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -56,6 +57,29 @@ def archive(rows):
     return a.bytes()
 
 
+def test_warc_hot_payload_is_split(spark):
+    """Half of the pages hold one payload: no task gets all of them, and the marks are right."""
+    small = {
+        "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    old = {k: spark.conf.get(k) for k in small}
+    hot = F.repeat(F.lit("<p>all the same</p>"), 40)
+    own = F.concat(F.sha2(F.col("id").cast("string"), 256), F.sha2(F.concat(F.lit("x"), "id"), 512))
+    pages = spark.range(0, 6000, 1, 16).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 2 == 1, hot).otherwise(own).alias("html"))
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = warc.marked(pages).select("page_id", "revisit", "refers_to", F.spark_partition_id().alias("part")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == 6000
+    assert all((r["revisit"], r["refers_to"]) == ((True, 1) if r["page_id"] % 2 and r["page_id"] > 1 else (False, None)) for r in got)
+    parts = Counter(r["part"] for r in got if r["page_id"] % 2)
+    assert len(parts) > 2 and max(parts.values()) < 2000
+
+
 def test_warc_dictionary_and_damage():
     data = archive([(i, b"<html>page %d of many with much the same words</html>" % i) for i in range(250)])
     assert struct.unpack_from("<I", data)[0] == warc.DICTIONARY_MAGIC

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions.quantiles import exact_quantiles
@@ -10,6 +12,8 @@ from siltmark.functions.sizing import bounded_rows, small_side
 from siltmark.operators.classifier import PrototypeClassifier
 
 UNKNOWN = -1
+#: Score bins of a calibration; a power of two, so that bins and thresholds are exact doubles.
+SCORE_BINS = 1024
 
 
 def detect_unknown(df: DataFrame, threshold: float, probs: str = "probs") -> DataFrame:
@@ -19,6 +23,32 @@ def detect_unknown(df: DataFrame, threshold: float, probs: str = "probs") -> Dat
     return df.withColumn("is_unknown", F.coalesce((best < F.lit(float(threshold))) | F.isnan(best), F.lit(True)))
 
 
+def calibrate(val: DataFrame, rate: float, pred: str = "pred", max_prob: str = "max_prob", bins: int = SCORE_BINS) -> DataFrame:
+    """``<pred>, n_rows, threshold`` from known validation rows: per predicted class the largest
+    bin edge below which at most the share ``rate`` of its rows lie, so that calling them unknown
+    costs no more false alarms than wanted. Only counts per class and bin leave the tasks; rows
+    without a score do not count."""
+    if not 0.0 <= rate < 1.0:
+        raise ValueError("rate must be in [0, 1)")
+    scored = val.where(F.col(max_prob).isNotNull() & ~F.isnan(max_prob) & F.col(pred).isNotNull())
+    counts = scored.groupBy(pred, F.floor(F.col(max_prob) * bins).alias("_bin")).agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(pred)
+    upto = F.sum("_c").over(whole.orderBy("_bin"))
+    allowed = F.floor(F.lit(Decimal(str(rate))) * F.col("n_rows"))
+    placed = counts.withColumns({"_upto": upto, "n_rows": F.sum("_c").over(whole)})
+    # The bin in which the first row beyond the allowed ones lies.
+    first = placed.where(F.col("_upto") > allowed).groupBy(pred, "n_rows").agg(F.min("_bin").alias("_bin"))
+    return first.select(pred, "n_rows", (F.col("_bin") / F.lit(float(bins))).alias("threshold"))
+
+
+def detect_unknown_by_class(df: DataFrame, thresholds: DataFrame, default: float, pred: str = "pred", max_prob: str = "max_prob") -> DataFrame:
+    """Add ``is_unknown`` by the threshold of the predicted class (``default`` where it has none)."""
+    table = small_side(thresholds.select(F.col(pred).alias("_pred"), F.col("threshold").alias("_threshold")))
+    joined = df.join(table, F.col(pred) == F.col("_pred"), "left")
+    below = F.col(max_prob) < F.coalesce("_threshold", F.lit(float(default)))
+    return joined.withColumn("is_unknown", F.coalesce(below | F.isnan(max_prob), F.lit(True))).drop("_pred", "_threshold")
+
+
 def label_unknown(df: DataFrame, pred: str = "pred") -> DataFrame:
     """Add ``final_pred``: the prediction, or -1 where the row is unknown."""
     return df.withColumn("final_pred", F.when(F.col("is_unknown"), F.lit(UNKNOWN)).otherwise(F.col(pred)))

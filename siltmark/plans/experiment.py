@@ -33,20 +33,25 @@ def run_tasks(
     cap: int = REPLAY_CAP,
     seed: int = 0,
     label: str = "label",
+    validate: bool = False,
 ) -> DataFrame:
     """Accuracy matrix: after each task, the score on the test rows of every task so far.
 
+    With ``validate`` the validation rows of the tasks so far decide when a fit stops
+    (``MLClassifier``).
+
     A model that can continue (``MLClassifier`` perceptrons, given all class ids) goes on from the
     weights of the task before, under both strategies: ``finetune`` on the rows of the task alone,
     ``replay`` with the buffer. Prototypes have nothing to continue and are refitted, so under
     ``finetune`` older classes are gone by construction.
     """
     spark = tasked.sparkSession
-    train, test = tasked.where(F.col("split") == "train"), tasked.where(F.col("split") == "test")
+    train, val, test = (tasked.where(F.col("split") == s) for s in ("train", "val", "test"))
     cells, model = [], None
     for i, task in enumerate(tasks):
         rows = training_set(train, task, strategy, cap, seed, label=label)
-        model = model.update(rows) if getattr(model, "continues", False) else make_model().fit(rows)
+        extra = {"val": val.where(F.col("task_id").isin(tasks[: i + 1]))} if validate else {}
+        model = model.update(rows, **extra) if getattr(model, "continues", False) else make_model().fit(rows, **extra)
         seen = test.where(F.col("task_id").isin(tasks[: i + 1]))
         hit = (F.col("pred") == F.col(label)).cast("double")
         scores = model.predict(seen).groupBy("task_id").agg(F.avg(hit).alias("score"), F.count("*").alias("n"))

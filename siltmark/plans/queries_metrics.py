@@ -17,7 +17,9 @@ from siltmark.operators.evaluate import (
     efficiency, forgetting, metrics_json, new_class_metrics, novelty_metrics, per_class, security_metrics, to_long, tradeoff,
 )
 from siltmark.operators.neighbours import knn_consistency, nearest_rows
-from siltmark.operators.novelty import class_radii, detect_far, detect_unknown, label_unknown, quarantine, release, threshold_sweep
+from siltmark.operators.novelty import (
+    calibrate, class_radii, detect_far, detect_unknown, detect_unknown_by_class, label_unknown, quarantine, release, threshold_sweep,
+)
 from siltmark.operators.prepare import Scaler
 from siltmark.operators.split import split
 from siltmark.operators.tasks import poison_persistence, replay_buffer
@@ -405,6 +407,28 @@ def q_knn_consistency(spark, d):
     return rounded(knn_consistency(rows, trusted, 7), "knn_share")
 
 
+_FALSE_ALARMS = 0.1
+
+
+@query(
+    "q_calibrate",
+    f"""WITH {SQL_SIDED}, trn AS (SELECT * FROM sided WHERE split = 'train'), rest AS (SELECT * FROM sided WHERE split <> 'train'),
+    {sql_proto('proto', 'trn')}, {sql_score('sc', 'rest', 'proto', TAU)},
+    v AS (SELECT pred, floor(max_prob * 1024) AS bin, count(*) OVER (PARTITION BY pred) AS n, row_number() OVER (PARTITION BY pred ORDER BY floor(max_prob * 1024)) AS rn
+      FROM sc_best WHERE split = 'val'),
+    th AS (SELECT pred, n, bin / 1024.0::DOUBLE AS threshold FROM v WHERE rn = floor({_FALSE_ALARMS}::DECIMAL(10, 6) * n) + 1)
+    SELECT pred, any_value(th.n) AS n_val, round(any_value(threshold), 6) AS threshold, count(*) AS n_test, count(*) FILTER (WHERE max_prob < coalesce(threshold, 0.5)) AS n_unknown
+    FROM sc_best LEFT JOIN th USING (pred) WHERE split = 'test' GROUP BY pred""",
+)
+def q_calibrate(spark, d):
+    """Thresholds per class that call at most a tenth of the validation rows unknown, used on test rows."""
+    rows = PrototypeClassifier(tau=TAU).fit(train_of(sided(spark, d))).predict(sided(spark, d).where(F.col("split") != "train"))
+    thresholds = calibrate(rows.where(F.col("split") == "val"), _FALSE_ALARMS)
+    judged = detect_unknown_by_class(rows.where(F.col("split") == "test"), thresholds, 0.5)
+    counts = judged.groupBy("pred").agg(F.count("*").alias("n_test"), F.count_if("is_unknown").alias("n_unknown"))
+    return rounded(counts.join(thresholds.withColumnRenamed("n_rows", "n_val"), "pred", "left").select("pred", "n_val", "threshold", "n_test", "n_unknown"), "threshold")
+
+
 _RECALL = 0.95
 
 

@@ -13,7 +13,7 @@ from siltmark.operators.split import split
 from siltmark.operators.tasks import (
     make_tasks, merge_buffer, poison_persistence, replay_buffer, task_classes_df, task_manifest, training_set,
 )
-from siltmark.plans.experiment import run_both
+from siltmark.plans.experiment import run_both, run_tasks
 from siltmark.plans.inputs import (
     SEED, SQL_EVENTS, SQL_FLOWS, SQL_SIDED, TASKS, TAU, candidates, flows, sql_int, sql_key, sql_lowest,
     sql_proto, sql_score, sql_tasks, vectors,
@@ -252,6 +252,35 @@ def q_ml_update(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+@query("q_ml_validated", f"WITH {SQL_SIDED} SELECT row_id, label, TRUE AS known, TRUE AS sound, TRUE AS lowest FROM sided WHERE split = 'test'")
+def q_ml_validated(spark, d):
+    """A perceptron that stops by validation rows; what the contract promises of every row, and that
+    the model kept has the lowest validation loss measured."""
+    rows = sided(spark, d)
+    val = rows.where(F.col("split") == "val")
+    model = MLClassifier("mlp", hidden=(8,), max_iter=20, seed=SEED).fit(train_of(rows), val)
+    lowest = abs(model.validation_loss(val) - min(model.val_losses)) < 1e-9
+    known = F.col("pred").isin(model.class_ids).alias("known")
+    sound = F.col("max_prob").between(1.0 / len(model.class_ids), 1.0).alias("sound")
+    return model.predict(test_of(rows)).select("row_id", "label", known, sound, F.lit(lowest).alias("lowest"))
+
+
+@query(
+    "q_task_matrix_ml",
+    f"WITH {SQL_TASKED} SELECT s.strategy, a.task_id AS after_task, t.task_id AS eval_task, count(*) AS n_rows, TRUE AS sound FROM tasked t "
+    "JOIN (SELECT DISTINCT task_id FROM task_classes) a ON t.task_id <= a.task_id CROSS JOIN (VALUES ('finetune'), ('replay')) AS s(strategy) "
+    "WHERE t.split = 'test' GROUP BY ALL",
+)
+def q_task_matrix_ml(spark, d):
+    """Perceptrons carried from task to task, each fit stopped by the validation rows so far."""
+    rows, _ = tasked(spark, d)
+    classes = sorted(c for cs in TASKS.values() for c in cs)
+    make = lambda: MLClassifier("mlp", class_ids=classes, hidden=(8,), max_iter=10, seed=SEED)
+    parts = [run_tasks(rows, sorted(TASKS), s, make, 20, SEED, validate=True) for s in ("finetune", "replay")]
+    sound = F.col("score").between(0.0, 1.0).alias("sound")
+    return parts[0].unionByName(parts[1]).select("strategy", "after_task", "eval_task", "n_rows", sound)
+
+
 # Corruption
 
 _FLIP_RATE = "0.05"

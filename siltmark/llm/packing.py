@@ -35,7 +35,7 @@ from siltmark.llm.workers import task
 CAPACITY = 2048
 #: Open bins of one packer, pieces of a run in descending order, and documents of a bucket.
 OPEN, RUN, BUCKET_ROWS = 4096, 4096, 40_000
-#: Chunks and words up to this many characters are cached, this many of them.
+#: Chunks and words up to this many characters are cached, this many of them (chunks: and those of one text).
 CHUNK, CACHED, CACHED_WORDS = 48, 300_000, 200_000
 END_ID = 0
 
@@ -57,12 +57,14 @@ class WordTokenizer:
         stages = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
         self.words = regex.compile(next(s["pattern"]["Regex"] for s in stages if s["type"] == "Split")).findall
         self.model = self.tokenizer.model.tokenize
+        raw = np.arange(max(self.tokenizer.get_vocab(True).values()) + 1, dtype="<u4").tobytes()
+        self.id_bytes = [raw[at : at + 4] for at in range(0, len(raw), 4)]
         self.cache: dict[str, bytes] = {"": b""}
         self.word_cache: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLING)
-        ids = _packed_ids([t.id for t in self.model(spelled)])
+        ids = b"".join([self.id_bytes[t.id] for t in self.model(spelled)])
         if len(word) <= CHUNK:
             if len(self.word_cache) >= CACHED_WORDS:
                 self.word_cache.clear()
@@ -70,27 +72,36 @@ class WordTokenizer:
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
+        known = self.word_cache
+        if chunk.isascii():
+            # Letters are one word, a mark at their end is another: the expression would find the same.
+            if chunk.isalpha():
+                word = chunk.lower()
+                return known.get(word) or self._word(word)
+            if chunk[-1] in _MARKS and chunk[:-1].isalpha():
+                word, mark = chunk[:-1].lower(), chunk[-1]
+                return (known.get(word) or self._word(word)) + (known.get(mark) or self._word(mark))
         if _PLAIN.fullmatch(chunk):
-            known = self.word_cache
-            ids = b"".join([known.get(w) or self._word(w) for w in self.words(chunk.lower())])
-        else:
-            ids = _packed_ids(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        if len(chunk) <= CHUNK:
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-                self.cache[""] = b""
-            self.cache[chunk] = ids
-        return ids
+            return b"".join([known.get(w) or self._word(w) for w in self.words(chunk.lower())])
+        return _packed_ids(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if "\t" in text or "\r" in text:
             text = text.replace("\t", " ").replace("\r", " ")
         chunks = text.replace("\n", " ").split(" ")
-        parts = list(map(self.cache.get, chunks))
-        if None in parts:
-            parts = [self._chunk(c) if p is None else p for p, c in zip(parts, chunks)]
-        return b"".join(parts)
+        cache = self.cache
+        if len(cache) >= CACHED:
+            cache.clear()
+            cache[""] = b""
+        new = set(chunks).difference(cache)
+        for c in new:
+            cache[c] = self._chunk(c)
+        ids = b"".join(map(cache.__getitem__, chunks))
+        for c in new:
+            if len(c) > CHUNK:
+                del cache[c]
+        return ids
 
 
 def _packed_ids(ids: list[int]) -> bytes:
@@ -105,6 +116,8 @@ def _spelling() -> dict[int, int]:
 
 
 _SPELLING = _spelling()
+#: Marks that are a word of their own behind letters.
+_MARKS = frozenset(".,;:!?")
 #: Visible ASCII without "<" (special strings) and Latin letters whose lower case has one letter.
 _PLAIN = regex.compile(r"[!-;=-~\u00c0-\u012f\u0131-\u024f]+")
 

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from siltmark.llm import bpe, lines, minhash, packing, pii, quality, secrets, sharding
 
@@ -157,6 +158,23 @@ def test_packing(docs, nothing):
     assert packing.pack(packing.pieces(nothing, WORDS), 0, ["doc_id", "piece"]).count() == 0
 
 
+def test_words_of_letters_skip_the_expression(monkeypatch):
+    """Plain words, with a mark behind them or not, and repeated long chunks are spelled once and directly."""
+    tok, library = packing.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    odd = ["it's o'clock. don't' 's x's", "a<|endoftext|>b <", "Größe, ÉTÉ! naïve? 北京。", "\ta\r\nb  c ", "x1.2, 3rd. a.b.", "İstanbul ǅ ß.", "!?", "'"]
+    for text in [*odd, " ".join(odd)]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(tok.encode(text), "<u4").tolist() == ids
+    text = f"Hello unseen. Wörld {'q' * 60} world, {'q' * 60}"
+    expected, spelled, calls = library.encode(text, add_special_tokens=False).ids, tok._chunk, []
+    monkeypatch.setattr(tok, "words", lambda t: calls.append(t) or [t])
+    monkeypatch.setattr(tok, "_chunk", lambda c: calls.append(len(c)) or spelled(c))
+    assert np.frombuffer(tok.encode(text), "<u4").tolist() == expected
+    assert calls.count(60) == 1 and [c for c in calls if isinstance(c, str)] == ["wörld"]
+    assert all(len(c) <= packing.CHUNK for c in tok.cache)
+
+
+
 def test_best_fit_bounds_open_bins():
     fit = packing.BestFit(10, 2)
     assert [fit.place(n) for n in (6, 5, 4, 3, 2)] == [(0, 0), (1, 0), (0, 6), (1, 5), (1, 8)]

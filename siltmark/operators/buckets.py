@@ -31,6 +31,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Trusted rows that place the cuts and candidates that measure recall, at most (both documented samples).
 CUT_ROWS, RECALL_ROWS = 1 << 14, 256
 LEAF_ROWS = 4_096
+#: Rows of a batch that deals rows to leaves.
+DEALT_ROWS = 1 << 13
 #: Sample rows a leaf needs at least for its cut to be a median.
 ROWS_A_CUT = 8
 #: Tables and leaves per table, cheapest first.
@@ -173,12 +175,16 @@ def in_leaves(df: DataFrame, forest: Forest, n_leaves: int, width: int) -> DataF
         for b in batches:
             if not len(b):
                 continue
-            found = forest.leaves(to_matrix(b.column(at), width), n_leaves)
-            _, n_tables, n = found.shape
-            rows = np.repeat(np.arange(len(b)), n_tables * n)
-            t = np.tile(np.repeat(np.arange(n_tables, dtype=np.int32), n), len(b))
-            columns = [c.take(pa.array(rows)) for c in b.columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(t), pa.array(found.ravel())], names=[*b.schema.names, "t", "leaf"])
+            # A row is repeated for every leaf: few rows at a time, so that what is held stays small.
+            step = max(1, DEALT_ROWS // (len(forest.directions) * n_leaves))
+            for start in range(0, len(b), step):
+                part = b.slice(start, step)
+                found = forest.leaves(to_matrix(part.column(at), width), n_leaves)
+                _, n_tables, n = found.shape
+                rows = np.repeat(np.arange(len(part)), n_tables * n)
+                t = np.tile(np.repeat(np.arange(n_tables, dtype=np.int32), n), len(part))
+                columns = [c.take(pa.array(rows)) for c in part.columns]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(t), pa.array(found.ravel())], names=[*part.schema.names, "t", "leaf"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(deal, f"{kinds}, t int, leaf int")

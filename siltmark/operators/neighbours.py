@@ -35,17 +35,17 @@ def top_k(x: np.ndarray, ids: np.ndarray, trusted: np.ndarray, tids: np.ndarray,
     """Per row of ``x`` the k nearest trusted rows by (distance, id), the row itself excluded."""
     order = np.argsort(tids, kind="stable")
     trusted, tids, tlabels = trusted[order], tids[order], tlabels[order]
-    for start in range(0, len(x), CHUNK):
-        part = x[start : start + CHUNK]
-        d2 = np.empty((len(part), len(trusted)))
-        for j in range(len(part)):
-            diff = trusted - part[j]
-            d2[j] = np.einsum("ij,ij->i", diff, diff)
-        d2[ids[start : start + CHUNK][:, None] == tids[None, :]] = np.inf
-        best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-        for j, row in enumerate(best):
-            row = row[np.isfinite(d2[j, row])]
-            yield start + j, d2[j, row], tids[row], tlabels[row]
+    d2 = np.empty(len(trusted))
+    for j in range(len(x)):
+        # One row at a time, in pieces of the trusted rows: no matrix of pairs is held.
+        for start in range(0, len(trusted), CHUNK):
+            diff = trusted[start : start + CHUNK] - x[j]
+            np.einsum("ij,ij->i", diff, diff, out=d2[start : start + CHUNK])
+        d2[(tids == ids[j]) | ~np.isfinite(d2)] = np.inf
+        farthest = np.partition(d2, k - 1)[k - 1] if len(d2) > k else np.inf
+        near = np.flatnonzero((d2 <= farthest) & (d2 < np.inf))
+        row = near[np.argsort(d2[near], kind="stable")[:k]]
+        yield j, d2[row], tids[row], tlabels[row]
 
 
 def knn_consistency(

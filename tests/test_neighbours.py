@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +93,23 @@ def test_missing_vectors_have_no_neighbours(spark):
     cand = ref.withColumn("row_id", F.col("row_id") + 10)
     got = {r["row_id"]: r["n_neighbours"] for r in knn_consistency(cand, ref, 3, limit=1, recall=0.9, leaf_rows=1).collect()}
     assert got == {11: 2, 12: 2, 13: 0, 14: 0}
+
+
+def test_nearest_of_a_block_hold_no_matrix_of_pairs():
+    """Memory follows the trusted rows alone; ties go to the lower id, odd vectors are nobody's neighbours."""
+    rng = np.random.default_rng(3)
+    x, trusted = rng.standard_normal((300, 4)), rng.standard_normal((20_000, 4))
+    trusted[500:600] = trusted[400]
+    x[0], trusted[9] = trusted[400], np.nan
+    ids, tids = np.arange(300), np.arange(20_000)[::-1].copy()
+    tracemalloc.start()
+    found = list(neighbours.top_k(x, ids, trusted, tids, tids % 7, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20  # 300 x 20,000 distances alone are 48 MB
+    assert [j for j, *_ in found] == list(range(300))
+    for j, d2, near, labels in found:
+        true = sorted((float(((t - x[j]) ** 2).sum()), int(i)) for t, i in zip(trusted[::-1], tids[::-1]) if i != j and np.isfinite(t).all())[:5] if j < 3 else None
+        assert true is None or near.tolist() == [i for _, i in true]
+        assert (labels == near % 7).all() and (np.diff(d2) >= 0).all()
+    assert len(next(iter(neighbours.top_k(x[:1], ids[:1], trusted[:3], tids[:3], tids[:3], 5)))[2]) == 3

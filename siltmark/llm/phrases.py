@@ -99,23 +99,30 @@ def bloom(phrases: DataFrame, length: int) -> bytes:
     return table.tobytes()
 
 
+def _narrow(words: Words) -> Words:
+    """Places in a column of less than 2 GB in four bytes each."""
+    small = [getattr(words, f).astype(np.int32) if len(words.end) and words.end[-1] < 1 << 31 else getattr(words, f) for f in FIELD_NAMES[:-1]]
+    return Words(*small, words.h)
+
+
 def _distinct(keys: list[np.ndarray], order: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of ``keys`` and their counts; ``order`` brings equal rows together."""
-    keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys]) if len(order) else True
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:  # one after the other: a copy of one key at a time
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
     at = np.flatnonzero(new)
-    return [k[at] for k in keys], np.diff(np.append(at, len(order)))
+    order = order[at]
+    return [k[order] for k in keys], np.diff(np.append(at, len(new)))
 
 
 def _rows(keys: list[np.ndarray], c: np.ndarray, lang: pa.Array | None = None, word: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
-    n, none = len(c), pa.nulls(len(c), pa.string())
-    cols = [k.view(np.int64) for k in keys] + [np.zeros(n, np.int64)] * (3 - len(keys))
-    whole = pa.RecordBatch.from_arrays(
-        [none if lang is None else lang, none if word is None else word, *map(pa.array, cols), pa.array(c.astype(np.int64))], names=["lang", "word", *KEY, "c"]
-    )
-    for at in range(0, n, OUT):
-        yield whole.slice(at, OUT)
+    for at in range(0, len(c), OUT):
+        n = min(OUT, len(c) - at)
+        texts = [pa.nulls(n, pa.string()) if t is None else t.slice(at, n) for t in (lang, word)]
+        cols = [pa.array(k[at : at + n].view(np.int64)) for k in keys] + [pa.array(np.zeros(n, np.int64))] * (3 - len(keys))
+        yield pa.RecordBatch.from_arrays([*texts, *cols, pa.array(c[at : at + n].astype(np.int64))], names=["lang", "word", *KEY, "c"])
 
 
 class Pass:
@@ -146,11 +153,12 @@ class Pass:
         for part in column.words():
             part.h = mix(part.h + seeds[code[part.row]])
             if len(part.h):
-                held.append(part)
+                held.append(_narrow(part))
                 n += len(part.h)
             if n >= FLUSH:
+                carried = Words(*(np.concatenate([getattr(p, f) for p in held[-2:]])[-2:] for f in FIELD_NAMES), carried=True)
                 yield from self._flush(held, column, names, code)
-                held, n = [Words(*(np.concatenate([getattr(p, f) for p in held[-2:]])[-2:] for f in FIELD_NAMES), carried=True)], 0
+                held, n = [carried], 0
         yield from self._flush(held, column, names, code)
 
     def _flush(self, held: list[Words], column: Column, names: list[str], code: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -158,18 +166,20 @@ class Pass:
         if not held:
             return
         old = len(held[0].h) if held[0].carried else 0
-        row, stop, h = (np.concatenate([getattr(p, f) for p in held]) for f in ("row", "stop", "h"))
+        row, start, end, stop, h = (np.concatenate([getattr(p, f) for p in held]) for f in FIELD_NAMES)
+        held.clear()  # the stretch is held once
         if self.words:
             order = np.argsort(h[old:], kind="stable") + old
             keys, c = _distinct([h], order)
             at = order[np.concatenate([[0], np.cumsum(c)[:-1]]).astype(np.int64)] if len(c) else order
-            start, end = (np.concatenate([getattr(p, f) for p in held])[at] for f in ("start", "end"))
-            word = pa.array([column.data[a:b].tobytes().lower().decode() for a, b in zip(start.tolist(), end.tolist())], pa.string())
+            word = pa.array([column.data[a:b].tobytes().lower().decode() for a, b in zip(start[at].tolist(), end[at].tolist())], pa.string())
             lang = pa.array(names, pa.string()).take(pa.array(code[row[at]]))
             yield from _rows(keys, c, lang, word)
+            del order, keys, word, lang
             total = np.bincount(code[row[old:]], minlength=len(names))
             yield from _rows([np.zeros(len(names), np.uint64)], total, pa.array(names, pa.string()))
         together = (row[1:] == row[:-1]) & (stop[1:] == stop[:-1])
+        del row, start, end, stop
         pair = _pair(h[:-1], h[1:])
         at = np.flatnonzero(together)
         at = at[at + 1 >= old]

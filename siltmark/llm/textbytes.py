@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes worked on at a time; a piece is cut between words only.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF93  # 3 modulo 8

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +258,19 @@ def test_phrase_scores_are_exact(spark):
     big = 10**12 + 39
     df = spark.createDataFrame([(big, big + 1, big + 7)], "a bigint, l bigint, r bigint")
     assert df.select(phrases._score("a", "l", "r")).head()[0] == 1_000_000 * big * big // ((big + 1) * (big + 7))
+
+
+def test_a_stretch_of_words_is_held_once():
+    """Counting a million words traced 256 MB while each stretch lay beside its copies."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 3000, 1000)) for _ in range(1100)]
+    batch, total, rows = pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": texts}), 0, Counter()
+    tracemalloc.start()
+    for found in phrases.Pass([], True, False).count(batch):
+        kind = (found["h1"].to_numpy() != 0).astype(int) + (found["h2"].to_numpy() != 0) + (found["h3"].to_numpy() != 0)
+        rows.update(dict(enumerate(np.bincount(kind, weights=found["c"].to_numpy(), minlength=4).astype(int).tolist())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = 1100 * 1000
+    assert [rows[k] for k in range(4)] == [n, n, n - 1100, n - 2200]
+    assert peak < 190 << 20

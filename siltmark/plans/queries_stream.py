@@ -96,9 +96,13 @@ def in_order(spark, d, arrival, files):
     the other by equal steps of arrival: the source takes files by the time they were written."""
     start, end = arrival.agg(F.min("_arrival"), F.max("_arrival")).head()
     step = max(1, -(-(end - start + 1) // files))
-    path = scratch_path(spark, "in-order") + "/files"
+    # All rows are dealt to their files in one scan by all tasks; a file is then put together from its share alone.
+    root = scratch_path(spark, "in-order")
+    path, dealt = f"{root}/files", f"{root}/dealt"
+    rows = arrival.withColumn("_file", F.floor((F.col("_arrival") - start) / step).cast("int")).drop("_arrival")
+    rows.write.partitionBy("_file").parquet(dealt)
     for k in range(files):
-        part = arrival.where(F.floor((F.col("_arrival") - start) / step) == k).drop("_arrival")
+        part = spark.read.schema(rows.schema).parquet(dealt).where(F.col("_file") == k).drop("_file")
         part.coalesce(1).write.mode("append").parquet(path)
     return read_candidates(spark, path, arrival.drop("_arrival").schema, 1)
 

@@ -168,3 +168,22 @@ def test_expiring_state_keeps_the_same_sums(spark, skewed, arriving, folder, ttl
     got = {r["label"]: (r["n"], r["t"]) for r in parts.groupBy("label").agg(F.sum("n_rows").alias("n"), F.sum("total").alias("t")).collect()}
     both = skewed.union(skewed.where("row_id >= 668"))
     assert got == {str(r["label"]): (r["n"], r["t"]) for r in both.groupBy("label").agg(F.count("*").alias("n"), F.sum("value").alias("t")).collect()}
+
+
+def test_rows_in_order_are_read_once(spark, tmp_path):
+    """A stream of many files scans its source for the range and for dealing, not once per file."""
+    from siltmark.plans.queries_stream import in_order
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def counted(v):
+        read.add(1)
+        return v
+
+    counted = counted.asNondeterministic()
+    rows = spark.range(64, numPartitions=4).select("id", counted("id").alias("_arrival"))
+    out, query = run_to_table(in_order(spark, None, rows, 8), "in-order", str(tmp_path / "out"))
+    assert sorted(r["id"] for r in out.collect()) == list(range(64))
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [8] * 8
+    assert read.value == 2 * 64

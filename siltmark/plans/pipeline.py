@@ -73,13 +73,15 @@ class Stage:
 class Run:
     """One row of the grid over a root folder: builds or reuses the stages that are asked for."""
 
-    def __init__(self, spark: SparkSession, root: str, setup: Setup, row: dict):
+    def __init__(self, spark: SparkSession, root: str, setup: Setup, row: dict, fitted: dict[str, Defence] | None = None):
         self.spark, self.root, self.setup = spark, root.rstrip("/"), setup
         self.settings = asdict(setup) | {k: str(v) for k, v in row.items() if k not in ("run_id", "output")}
         self.row = row
         self.source = file_fingerprint(spark, setup.path)
         self.tables: dict[str, DataFrame] = {}
         self.log: list[tuple] = []
+        #: Defences by the fingerprint of the rows they were fitted on: the runs of a grid share them.
+        self.fitted = {} if fitted is None else fitted
 
     def fingerprint(self, name: str) -> str:
         stage = STAGES[name]
@@ -207,7 +209,10 @@ def _decided(run: Run) -> DataFrame:
     """Decisions of the defence, fitted on clean validation rows, over the claimed labels."""
     s = run.setup
     trusted = run.side("tasked", "val").where("task_id IS NOT NULL")
-    defence = Defence.fit(PrototypeClassifier(tau=s.tau).fit(trusted), trusted, s.policy)
+    key = run.fingerprint("tasked")
+    if key not in run.fitted:
+        run.fitted[key] = Defence.fit(PrototypeClassifier(tau=s.tau).fit(trusted), trusted, s.policy)
+    defence = run.fitted[key]
     claimed = run.table("corrupted").withColumnsRenamed({"label": "truth", "label_poisoned": "label"})
     out = admit(claimed, defence).withColumnRenamed("label", "claimed")
     return out.select("row_id", "features", "truth", "claimed", "is_poisoned", "task_id", "decision", "reason")
@@ -278,9 +283,9 @@ def run_grid(spark: SparkSession, root: str, setup: Setup, grid: DataFrame) -> t
     rows = sorted(bounded_rows(grid, MAX_RUNS, "runs"), key=lambda r: r["run_id"])
     if others := {r["model"] for r in rows} - {"prototype"}:
         raise ValueError(f"no model {sorted(others)}")
-    metrics, log = None, []
+    metrics, log, fitted = None, [], {}
     for r in rows:
-        run = Run(spark, root, setup, r.asDict())
+        run = Run(spark, root, setup, r.asDict(), fitted)
         found = run.table("metrics").select(F.lit(r["run_id"]).alias("run_id"), "metric", "value")
         run.table("bad_lines"), run.table("checks")
         write_manifest(spark, run_manifest(run), f"{r['output']}/manifest", "overwrite")

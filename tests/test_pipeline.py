@@ -75,3 +75,10 @@ def test_a_folder_without_a_record_is_overwritten_and_a_changed_source_rebuilds(
 def test_unknown_models_are_refused(spark, folder, flows):
     with pytest.raises(ValueError, match="no model"):
         run_grid(spark, folder, flows, experiment_grid(spark, [1], ["0"], [0.5], models=("forest",), output=folder))
+
+
+def test_runs_of_a_grid_share_the_fitted_defence(spark, folder, flows, monkeypatch):
+    fits, fit = [], pipeline.Defence.fit
+    monkeypatch.setattr(pipeline.Defence, "fit", lambda *a: fits.append(1) or fit(*a))
+    _, stages = run_grid(spark, folder + "/out", flows, grid(spark, folder, ["0", "0.3"]))
+    assert [s for _, s in built(stages)].count("decided") == 2 and len(fits) == 1

@@ -250,8 +250,8 @@ def q_align(spark, d):
 def q_csv_scan(spark, d):
     path = scratch_path(spark, "flows") + "/csv"
     price = F.when(F.col("l_suppkey") % 53 == 0, F.lit("Infinity")).when(F.col("l_suppkey") % 59 == 0, F.lit("-Inf")).otherwise(F.col("l_extendedprice").cast("string"))
-    # A text in a number column marks the lines a scan must set aside.
-    quantity = F.when(F.col("l_partkey") % 89 == 0, F.lit("many")).otherwise(F.col("l_quantity").cast("string"))
+    # A text in a number column marks the lines a scan must set aside: those not known to pass.
+    quantity = F.when(F.coalesce(F.col("l_partkey") % 89 != 0, F.lit(False)), F.col("l_quantity").cast("string")).otherwise(F.lit("many"))
     out = table(spark, d, "lineitem").select(
         "l_suppkey", price.alias(" l_extendedprice"), F.col("l_orderkey").alias(" l_orderkey"), F.col("l_linenumber").alias("l_linenumber "),
         "l_tax", quantity.alias("l_quantity"), "l_shipdate", "l_discount", "l_returnflag", "l_linestatus", "l_partkey",

@@ -42,3 +42,19 @@ def test_query_equals_its_sql(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the given tables are absent")
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_csv_scan_sets_rows_without_a_part_aside(spark, folder):
+    """The SQL keeps rows whose part key is known not to be a multiple of 89; a NULL is not."""
+    kinds = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    kinds += "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    row = lambda key, part, supplier: (key, part, supplier, 1, 2.0, 3.5, 0.1, 0.0, "A", "F", None)
+    rows = [row(1, 1, 1), row(2, None, 1), row(3, 89, 1), row(4, 2, None), row(None, 3, 53)]
+    spark.createDataFrame(rows, kinds).write.parquet(folder + "/lineitem.parquet")
+    duckdb = pytest.importorskip("duckdb")
+    duckdb.sql(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    cur = duckdb.execute(entry.oracle_sql()["q_csv_scan"])
+    cols = [d[0] for d in cur.description]
+    got = entry.queries()["q_csv_scan"](spark, folder).select(*cols).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(cur.fetchall(), key=repr)
+    assert len(got) == 3

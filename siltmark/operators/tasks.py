@@ -81,16 +81,23 @@ def training_set(
     return current.unionByName(past.withColumn("origin", F.lit("replay")))
 
 
-def poison_persistence(buffers: DataFrame, log: DataFrame, row_id: str = "row_id") -> DataFrame:
+def poison_persistence(buffers: DataFrame, log: DataFrame, row_id: str = "row_id", versions: list[int] | None = None) -> DataFrame:
     """Poisoned share of every buffer version: ``buffer_version, n_rows, n_poisoned, share``.
 
-    Buffers are small and the log may not be, so the log is first reduced to buffered ids.
+    A version that holds no row is not seen in ``buffers``; one that is named in ``versions`` comes
+    with zero rows and no share. Buffers are small and the log may not be, so the log is first
+    reduced to buffered ids.
     """
     members = small_side(buffers.select(F.col(row_id).alias("_m")).distinct())
     marked = log.join(members, F.col(row_id) == F.col("_m"), "left_semi").select(F.col(row_id).alias("_id")).distinct()
     joined = buffers.join(small_side(marked.withColumn("_p", F.lit(1))), F.col(row_id) == F.col("_id"), "left")
-    return joined.groupBy("buffer_version").agg(
+    found = joined.groupBy("buffer_version").agg(
         F.count("*").alias("n_rows"),
         F.count("_p").alias("n_poisoned"),
         F.avg(F.coalesce(F.col("_p"), F.lit(0)).cast("double")).alias("share"),
     )
+    if versions is None:
+        return found
+    wanted = buffers.sparkSession.createDataFrame([(int(v),) for v in versions], "_v int")
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_rows", "n_poisoned")]
+    return wanted.join(found, F.col("_v") == F.col("buffer_version"), "left").select(F.col("_v").alias("buffer_version"), *counts, "share")

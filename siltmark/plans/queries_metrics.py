@@ -577,8 +577,9 @@ def q_poison_over_tasks(spark, d):
     rows = cand.withColumn("task_id", F.when(truth < 4, 1).when(truth < 6, 2).when(truth < 8, 3))
     log, out = flipped_train(spark, d).log, None
     for arm, guard in (("all", None), ("admitted", defence)):
-        buffers = run_buffers(rows, [1, 2, 3], scratch_path(spark, f"buffers-{arm}"), _BUFFER_CAP, SEED, guard)
-        shares = poison_persistence(buffers, log).select(F.lit(arm).alias("arm"), F.col("buffer_version").alias("after_task"), "n_rows", "n_poisoned", "share")
+        tasks = [1, 2, 3]
+        buffers = run_buffers(rows, tasks, scratch_path(spark, f"buffers-{arm}"), _BUFFER_CAP, SEED, guard)
+        shares = poison_persistence(buffers, log, versions=tasks).select(F.lit(arm).alias("arm"), F.col("buffer_version").alias("after_task"), "n_rows", "n_poisoned", "share")
         out = shares if out is None else out.unionByName(shares)
     return rounded(out, "share")
 

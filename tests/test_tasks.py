@@ -125,3 +125,20 @@ def test_buffers_from_task_to_task(spark, skewed, folder):
     defence = Defence.fit(PrototypeClassifier().fit(trusted), trusted, Policy(0.5, 6.0, None, 1.0))
     kept = run_buffers(rows, [1, 2], folder + "/kept", 10, 3, defence)
     assert kept.where("label <> truth").count() == 0 and kept.where("buffer_version = 2").count() > 20
+
+
+def test_a_buffer_without_rows_is_reported(spark, skewed, folder):
+    """A defence that admits no row leaves empty versions; each comes with zero rows and no share."""
+    from siltmark.operators.admission import Defence, Policy
+    from siltmark.operators.classifier import PrototypeClassifier
+    from siltmark.plans.experiment import run_buffers
+
+    rows = skewed.where("label < 3").withColumn("task_id", F.when(F.col("label") < 2, 1).otherwise(2))
+    model = PrototypeClassifier().fit(rows)
+    defence = Defence.fit(model, rows, Policy(1.1, None, None, 1.0))
+    log = rows.where("row_id % 7 = 0").select("row_id")
+    kept = run_buffers(rows, [1, 2], folder + "/kept", 10, 3, defence)
+    assert sorted(tuple(r) for r in poison_persistence(kept, log, versions=[1, 2]).collect()) == [(1, 0, 0, None), (2, 0, 0, None)]
+    second = run_buffers(rows.where("task_id = 2"), [1, 2], folder + "/second", 10, 3)
+    found = {r[0]: r[1] for r in poison_persistence(second, log, versions=[1, 2]).collect()}
+    assert found == {1: 0, 2: 10 * rows.where("task_id = 2").select("label").distinct().count()}

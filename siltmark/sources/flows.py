@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltmark.functions.hashing import content_key
-from siltmark.functions.scratch import scratch_path
+from siltmark.functions.sizing import local_side, small_side, small_table
 
 CORRUPT = "_corrupt_record"
 COPIES_PER_CHUNK = 100_000
+HASH_BUCKETS = 1 << 16
 
 
 def read_flows(spark: SparkSession, path: str, schema: T.StructType, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -60,23 +61,28 @@ def with_row_id(df: DataFrame, columns: list[str] | None = None, row_id: str = "
     """A stable id for rows without a key: md5 of the content of ``columns``, plus a copy number
     for rows that share it (``<md5>-2`` for the second). Every row keeps its values as they are.
 
-    Eight-byte hashes are counted first (combined in each task) and those that repeat are written;
-    all other rows are named in one scan, in place. Rows that may share their content are grouped
-    with their whole-row copies, counted, and written out again in chunks, so even a row that makes
-    up a third of the table is never gathered in one place.
+    Rows are numbered within their id by one shuffle of the ids and the columns asked for. Hashes
+    shared by more than COPIES_PER_CHUNK rows are found first, by counts of few hash buckets that
+    combine in each task; their rows are grouped with their whole-row copies, counted, and written
+    out again in chunks, so even a row that makes up a third of the table is never gathered in one
+    place.
     """
     named = columns or df.columns
+    entire = set(named) == set(df.columns)
     brief = df.withColumn("_b", F.xxhash64(*named))
-    shared = brief.groupBy("_b").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_b").alias("_s"))
-    path = scratch_path(df.sparkSession, "shared-hashes")
-    shared.write.parquet(path)
-    shared = df.sparkSession.read.parquet(path)
-    single = brief.join(shared, F.col("_b") == F.col("_s"), "left_anti").select(*df.columns, content_key(named).alias(row_id))
-    many = brief.join(shared, F.col("_b") == F.col("_s"), "left_semi").drop("_b").withColumn("_k", content_key(named))
-    whole = F.col("_k") if set(named) == set(df.columns) else content_key(df.columns)
+    bucket = F.pmod("_b", F.lit(HASH_BUCKETS).cast("bigint"))
+    over = F.col("_n") > COPIES_PER_CHUNK
+    crowded = brief.groupBy(bucket.alias("_g")).agg(F.count("*").alias("_n")).where(over).select("_g")
+    table = small_table(crowded)  # complete: there are at most HASH_BUCKETS
+    if not table.num_rows:
+        return _numbered(df, named, row_id)
+    inside = brief.join(local_side(crowded, table), bucket == F.col("_g"), "left_semi")
+    hot = small_side(inside.groupBy("_b").agg(F.count("*").alias("_n")).where(over).select(F.col("_b").alias("_s")))
+    rest = brief.join(hot, F.col("_b") == F.col("_s"), "left_anti").select(*df.columns)
+    many = brief.join(hot, F.col("_b") == F.col("_s"), "left_semi").drop("_b").withColumn("_k", content_key(named))
+    many = many.withColumn("_whole", F.col("_k") if entire else content_key(df.columns))
     chunk = F.lit(COPIES_PER_CHUNK).cast("bigint")
     row = F.any_value(F.struct(*df.columns)).alias("_row")
-    many = many.withColumn("_whole", whole)
     many = many.groupBy("_k", "_whole").agg(F.count("*").alias("_n"), row)
     before = Window.partitionBy("_k").orderBy("_whole").rowsBetween(Window.unboundedPreceding, -1)
     many = many.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -86,4 +92,13 @@ def with_row_id(df: DataFrame, columns: list[str] | None = None, row_id: str = "
     many = many.withColumn("_i", F.explode(F.sequence(first, F.least(F.col("_n"), first + chunk - 1))))
     number = F.col("_at") + F.col("_i")
     name = F.when(number == 1, F.col("_k")).otherwise(F.concat_ws("-", "_k", number.cast("string")))
-    return single.unionByName(many.select("_row.*", name.alias(row_id)))
+    return _numbered(rest, named, row_id).unionByName(many.select("_row.*", name.alias(row_id)))
+
+
+def _numbered(df: DataFrame, named: list[str], row_id: str) -> DataFrame:
+    """Rows with ids, numbered in the order of their whole content. Ids travel as 16 bytes."""
+    order = F.col("_k") if set(named) == set(df.columns) else F.unhex(content_key(df.columns))
+    keyed = df.withColumn("_k", F.unhex(content_key(named))).withColumn("_o", order)
+    numbered = keyed.withColumn("_i", F.row_number().over(Window.partitionBy("_k").orderBy("_o")))
+    text = F.lower(F.hex("_k"))
+    return numbered.select(*df.columns, F.when(F.col("_i") == 1, text).otherwise(F.concat_ws("-", text, F.col("_i").cast("string"))).alias(row_id))

@@ -77,6 +77,22 @@ def test_row_ids_do_not_collide_and_rows_stay(spark):
     assert sorted(r["row_id"][-2:] for r in part.where("p = 'x'").collect())[:2] == ["-2", "-3"]
 
 
+def test_row_ids_shuffle_ids_and_wanted_columns_once(spark, monkeypatch):
+    """One exchange without the columns nobody asks for; rows of a crowded id go another way, to the same ids."""
+    text = F.concat(F.lit("text"), (F.col("id") % 50).cast("string"))
+    df = spark.range(400).select(text.alias("text"), F.when(F.col("id") % 4 == 0, 0.5).otherwise(F.col("id") % 50 + 0.0).alias("v"), (F.col("id") % 3).alias("w"))
+    plan = with_row_id(df).select("row_id", "w")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    want = {}
+    for named in (None, ["v"]):
+        for limit in (100_000, 5):
+            monkeypatch.setattr("siltmark.sources.flows.COPIES_PER_CHUNK", limit)
+            rows = with_row_id(df, named).collect()
+            assert len({r["row_id"] for r in rows}) == 400
+            assert sorted(tuple(r)[:3] for r in rows) == sorted(tuple(r) for r in df.collect())
+            assert want.setdefault(str(named), sorted(r["row_id"] for r in rows)) == sorted(r["row_id"] for r in rows)
+
+
 def test_csv_is_read_by_name(spark, folder):
     with open(os.path.join(folder, "a.csv"), "w") as f:
         f.write(" b , a,extra\n1.5,7,x\n-Inf,8,y\nInf,9,z\nInfinity,10,z\nNaN,11,z\nno,12,z\n")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from siltmark.functions.hashing import hex_to_int, seed_key, uniform
 from siltmark.functions.sizing import known_classes
-from siltmark.operators.selection import lowest_cuts, mark_lowest
+from siltmark.operators.selection import lowest_cuts, lowest_rows, mark_lowest
 from siltmark.operators.split import fraction
 
 FLIP_SALT = "flip"
 TARGET_SALT = "tgt"
+PERTURB_SALT = "perturb"
 
 
 @dataclass(frozen=True)
@@ -131,10 +132,30 @@ def perturb_features(
 ) -> DataFrame:
     """Shift controllable features of floor(rate * rows) rows by up to ``scale`` training
     deviations either way. ``<col>_poisoned`` holds the result; ``bounds`` clip it."""
-    marked = _chosen(df, F.lit(True), {"r": rate}, seed, "perturb", row_id).withColumnRenamed("_pick_r", "is_poisoned")
+    marked = _chosen(df, F.lit(True), {"r": rate}, seed, PERTURB_SALT, row_id).withColumnRenamed("_pick_r", "is_poisoned")
+    return _shifted(marked, cols, scale, seed, stds, row_id, bounds)
+
+
+def perturb_log(
+    df: DataFrame,
+    cols: list[str],
+    rate,
+    scale: float,
+    seed: int,
+    stds: dict[str, float],
+    row_id: str = "row_id",
+    bounds: dict[str, tuple[float, float]] | None = None,
+) -> DataFrame:
+    """The change log of ``perturb_features``, from the chosen rows alone: the keys of all rows are
+    made once, not once to find the cut and once more to mark it."""
+    chosen = lowest_rows(df.select(row_id, *cols), _quota(rate), seed, PERTURB_SALT, row_id).withColumn("is_poisoned", F.lit(True))
+    return change_log(_shifted(chosen, cols, scale, seed, stds, row_id, bounds), "perturb", seed, row_id)
+
+
+def _shifted(marked: DataFrame, cols: list[str], scale: float, seed: int, stds: dict, row_id: str, bounds: dict | None) -> DataFrame:
     out = {}
     for c in cols:
-        offset = (uniform(seed_key(f"perturb:{c}", seed, row_id)) * 2.0 - 1.0) * F.lit(float(scale) * float(stds[c]))
+        offset = (uniform(seed_key(f"{PERTURB_SALT}:{c}", seed, row_id)) * 2.0 - 1.0) * F.lit(float(scale) * float(stds[c]))
         moved = F.col(c).cast("double") + offset
         if bounds and c in bounds:
             moved = F.greatest(F.lit(float(bounds[c][0])), F.least(F.lit(float(bounds[c][1])), moved))

@@ -187,19 +187,40 @@ def mark_lowest(
 ) -> DataFrame:
     """Add boolean ``<prefix><name>`` per quota; rows of groups without a cut get FALSE."""
     group = list(group or [])
-    key = f"struct(md5(concat_ws(':', '{salt}', '{seed}', cast(`{row_id}` as string))) as h, `{row_id}` as i)"
-    # Struct order is field by field with NULL first, so a missing cut selects nothing.
+    h, i = f"md5(concat_ws(':', '{salt}', '{seed}', cast(`{row_id}` as string)))", f"`{row_id}`"
+    # (h, id) up to the cut, NULL ids first; a missing cut selects nothing. Keys decide almost every
+    # row, so an id that is costly to make is not made once more to be compared.
+    upto = lambda cut_h, cut_id: f"coalesce({h} <= {cut_h} and ({h} < {cut_h} or {i} is null or coalesce({i} <= {cut_id}, false)), false)"
     if not group:
         row, kind = cuts.head(), df.schema[row_id].dataType
-        at = lambda n: F.struct(F.lit(row[f"h_{n}"]).cast("string").alias("h"), F.lit(row[f"id_{n}"]).cast(kind).alias("i"))
-        return df.withColumns({f"{prefix}{n}": F.expr(key) <= at(n) if row else F.lit(False) for n in names})
+        if not row:
+            return df.withColumns({f"{prefix}{n}": F.lit(False) for n in names})
+        key, own = F.expr(h), F.col(f"`{row_id}`")
+        cut = lambda n: (F.lit(row[f"h_{n}"]).cast("string"), F.lit(row[f"id_{n}"]).cast(kind))
+        flag = lambda at, last: F.coalesce((key <= at) & ((key < at) | own.isNull() | F.coalesce(own <= last, F.lit(False))), F.lit(False))
+        return df.withColumns({f"{prefix}{n}": flag(*cut(n)) for n in names})
     fields = [f"{c}_{n}" for n in names for c in ("h", "id")]
     right = cuts.selectExpr(*[f"`{c}` as `_g_{c}`" for c in group], *fields)
     joined = df.join(right, matches(group, "_g_"), "left")
-    flags = [F.expr(f"{key} <= struct(h_{n} as h, id_{n} as i) as `{prefix}{n}`") for n in names]
+    flags = [F.expr(f"{upto(f'h_{n}', f'id_{n}')} as `{prefix}{n}`") for n in names]
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], *flags)
 
 
+def lowest_rows(df: DataFrame, quota: Quota, seed: int, salt: str, row_id: str = "row_id", slack: float = 10.0) -> DataFrame:
+    """The lowest ``quota(n)`` rows of the whole table, for few rows of many: one scan writes the
+    rows below a key that lies a little above the cut, and the rest is done on those."""
+    size = df.agg(F.count("*").alias("n_rows")).select("n_rows", quota(F.col("n_rows")).cast("bigint").alias("k")).head()
+    n, k = size["n_rows"], max(0, min(size["k"], size["n_rows"]))
+    if 0 < k < n:
+        share = (k + slack * k**0.5 + slack) / n
+        if share < 1:
+            top = f"{int(share * FRACTION_SCALE):0{FRACTION_DIGITS}x}"
+            near = written(df.where(seed_key(salt, seed, row_id) < F.lit(top)), "lowest-rows")
+            if near.count() >= k:
+                df = near
+    return select_lowest(df, lambda rows: F.least(F.lit(k).cast("bigint"), rows), seed, salt, row_id)
+
+
 def select_lowest(
     df: DataFrame,
     k: int | Quota,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltmark.functions.scratch import scratch_path
 from siltmark.operators.classifier import PrototypeClassifier
-from siltmark.operators.corruption import apply_label_flip, apply_trigger, change_log, conditions, perturb_features
+from siltmark.operators.corruption import apply_label_flip, apply_trigger, change_log, conditions, perturb_features, perturb_log
 from siltmark.operators.ml import MLClassifier, score_with
 from siltmark.operators.split import split
 from siltmark.operators.tasks import (
@@ -382,7 +382,7 @@ def q_perturb_log(spark, d):
     rows = flows(spark, d)
     cols = ["l_quantity", "l_extendedprice"]
     std = rows.agg(*[F.stddev_pop(c).alias(c) for c in cols]).head().asDict()
-    log = change_log(perturb_features(rows, cols, "0.02", 0.5, SEED, std, bounds={"l_quantity": (1.0, 50.0)}), "perturb", SEED)
+    log = perturb_log(rows, cols, "0.02", 0.5, SEED, std, bounds={"l_quantity": (1.0, 50.0)})
     return rounded(log.withColumns({c: F.col(c).cast("double") for c in ("original", "changed")}), "original", "changed")
 
 

@@ -129,3 +129,20 @@ def test_neighbours_are_exact_on_both_paths(skewed, block_rows):
         near = sorted((sum((x - y) ** 2 for x, y in zip(f, r["features"])), i, l) for i, l, f in ref if i != r["row_id"])[:5]
         got = [x for x in a if x["row_id"] == r["row_id"]][0]
         assert got["agree"] == sum(l == r["label"] for _, _, l in near) and got["n_neighbours"] == 5
+
+
+def test_the_log_of_a_perturbation_needs_no_marked_table(spark, monkeypatch):
+    """The same log from the chosen rows alone, also where the first key range is too narrow; every id is made once."""
+    from siltmark.operators import selection
+    from siltmark.operators.corruption import change_log, perturb_features, perturb_log
+
+    df = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("row_id"), (F.col("id") % 9 + 0.5).alias("v"))
+    for rate in ("0", "0.02", "0.5", "1"):
+        marked = perturb_features(df, ["v"], rate, 0.5, 7, {"v": 2.0}, bounds={"v": (1.0, 8.0)})
+        want = sorted(tuple(r) for r in change_log(marked, "perturb", 7).collect())
+        got = sorted(tuple(r) for r in perturb_log(df, ["v"], rate, 0.5, 7, {"v": 2.0}, bounds={"v": (1.0, 8.0)}).collect())
+        assert got == want and (rate == "0") == (not want)
+    few = selection.lowest_rows(df, lambda n: F.floor(n / 50), 7, "s", slack=-10.0)
+    assert sorted(r[0] for r in few.collect()) == sorted(r[0] for r in selection.select_lowest(df, 100, 7, "s").collect())
+    plan = perturb_features(df, ["v"], "0.02", 0.5, 7, {"v": 2.0}).where("is_poisoned").select("v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(h" not in plan

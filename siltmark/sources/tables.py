@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltmark.functions import digest
+from siltmark.functions.scratch import scratch_path
 from siltmark.functions.sizing import MAX_CLASSES, bounded_rows
 
 # The folders a data set is laid out in.
@@ -28,6 +31,11 @@ MANIFEST_FIELDS = (
     "limitations",
 )
 
+#: A file of at most so many bytes is hashed as a whole by one task.
+WHOLE_BYTES = 256 << 20
+PACKED = r"\.(gz|gzip|bz2|deflate|lz4|snappy|zst|zstd)$"
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+
 
 def layer_path(root: str, layer: str, name: str) -> str:
     if layer not in LAYERS:
@@ -60,10 +68,45 @@ def append_quarantine(held: DataFrame, path: str) -> str:
     return path
 
 
-def file_checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``file, bytes, sha256`` of every file under a path, hashed where it is read."""
+def file_checksums(spark: SparkSession, path: str, glob: str = "*", whole: int = WHOLE_BYTES) -> DataFrame:
+    """``file, bytes, sha256`` of every file under a path, hashed where it is read. Files above
+    ``whole`` bytes are read by many tasks and hashed a stretch of that size at a time."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    hashed = lambda df: df.select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    # The source skips the content of files that a plain comparison of lengths leaves out.
+    out = hashed(files.where(F.col("length") <= whole))
+    found = files.where(F.col("length") > whole).select("path", name, "length").collect()
+    # A reader of lines would unpack packed files.
+    large = [r for r in found if digest.library() and not re.search(PACKED, r["path"].lower())]
+    if others := [r["path"] for r in found if r not in large]:
+        out = out.unionByName(hashed(spark.read.format("binaryFile").load(others)))
+    if not large:
+        return out
+    rows = [(r["file"], r["length"], _long_digest(spark, r["path"], r["length"], whole)) for r in large]
+    return out.unionByName(spark.createDataFrame(rows, "file string, bytes bigint, sha256 string"))
+
+
+def _long_digest(spark: SparkSession, path: str, length: int, whole: int) -> str:
+    """SHA-256 of one large file: its blocks are read and written as pieces by many tasks; then a
+    task after the other takes the next stretch and hands on 112 bytes of state."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("line"))
+    pieces = lines.mapInArrow(digest.join_lines, "at bigint, n bigint, size bigint, bytes binary")
+    folder = scratch_path(spark, "file-pieces")
+    pieces.withColumn("stretch", F.floor(F.col("at") / whole).cast("int")).write.partitionBy("stretch").parquet(folder)
+    pieces = spark.read.parquet(folder)
+    total = pieces.agg(F.sum("size")).head()[0]
+    # The reader of lines drops a byte order mark at the start and adds an end to the last line.
+    mark = BYTE_ORDER_MARK if total <= length - 2 else b""
+    missing = length - total - len(mark)
+    if missing not in (0, -1):
+        raise ValueError(f"{path}: {total} bytes were read of {length}")
+    state, first = digest.proceed(digest.begin(), [mark]), True
+    for (stretch,) in pieces.select("stretch").distinct().orderBy("stretch").collect():
+        part = pieces.where(F.col("stretch") == stretch).coalesce(1).sortWithinPartitions("at", "n").select("bytes")
+        state, first = bytes(part.mapInArrow(digest.step(state, first), "state binary").head()[0]), False
+    return digest.finish(digest.proceed(state, [b"\n"] if missing == 0 else []))
 
 
 def content_checksum(df: DataFrame) -> DataFrame:

@@ -75,3 +75,26 @@ def test_files_with_another_header_order_are_refused(spark, folder):
     spark.createDataFrame([(7.5, 3)], "v double, id int").write.mode("append").option("header", True).csv(path)
     with pytest.raises(Exception, match="CSV header"):
         read_flows(spark, path, kind)[0].collect()
+
+
+def test_large_files_are_hashed_in_stretches(spark, folder):
+    """The digest of a file, whatever lies at its borders, with no task that reads more than a stretch."""
+    import hashlib
+    import os
+
+    from siltmark.sources import tables
+
+    held = {
+        "plain.bin": bytes(range(256)) * 3000, "ended.bin": b"a\r\nb\n" * 90_000, "open.bin": b"x" * 70_000 + b"\n" + b"y" * 70_000,
+        "mark.bin": b"\xef\xbb\xbf" + b"z\n" * 90_000, "mark_open.bin": b"\xef\xbb\xbf" + b"z\n" * 90_000 + b"z", "ends.bin": b"\n" * 150_000, "small.bin": b"s",
+        "random.bin": os.urandom(1_000_000), "packed.gz": os.urandom(200_000),
+    }
+    for name, content in held.items():
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = {r["file"]: (r["bytes"], r["sha256"]) for r in tables.file_checksums(spark, folder, whole=100_000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in held.items()}

@@ -17,7 +17,7 @@ from siltmark.plans.inputs import (
     candidates, dirty_flows, flows, sql_key, sql_lowest, sql_split, table,
 )
 from siltmark.plans.registry import query, r6, rounded
-from siltmark.sources.flows import read_flows, with_row_id
+from siltmark.sources.flows import read_flows, text_cell, with_row_id
 from siltmark.sources.grid import experiment_grid
 from siltmark.sources.tables import dataset_card, file_checksums, read_layer, write_layer
 
@@ -248,18 +248,18 @@ def q_align(spark, d):
     "ELSE l_extendedprice END AS l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 89 <> 0",
 )
 def q_csv_scan(spark, d):
-    path = scratch_path(spark, "flows") + "/csv"
+    path, texts = scratch_path(spark, "flows") + "/csv", ["l_returnflag", "l_linestatus"]
     price = F.when(F.col("l_suppkey") % 53 == 0, F.lit("Infinity")).when(F.col("l_suppkey") % 59 == 0, F.lit("-Inf")).otherwise(F.col("l_extendedprice").cast("string"))
     # A text in a number column marks the lines a scan must set aside: those not known to pass.
     quantity = F.when(F.coalesce(F.col("l_partkey") % 89 != 0, F.lit(False)), F.col("l_quantity").cast("string")).otherwise(F.lit("many"))
     out = table(spark, d, "lineitem").select(
         "l_suppkey", price.alias(" l_extendedprice"), F.col("l_orderkey").alias(" l_orderkey"), F.col("l_linenumber").alias("l_linenumber "),
-        "l_tax", quantity.alias("l_quantity"), "l_shipdate", "l_discount", "l_returnflag", "l_linestatus", "l_partkey",
+        "l_tax", quantity.alias("l_quantity"), "l_shipdate", "l_discount", *[text_cell(F.col(c)).alias(c) for c in texts], "l_partkey",
     )
     out.write.option("header", True).csv(path)
     schema = "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
     schema += "l_returnflag string, l_linestatus string, l_partkey bigint, l_suppkey bigint"
-    rows, _ = read_flows(spark, path, T._parse_datatype_string(schema))
+    rows, _ = read_flows(spark, path, T._parse_datatype_string(schema), encoded=texts)
     return rows
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,14 +16,26 @@ COPIES_PER_CHUNK = 100_000
 HASH_BUCKETS = 1 << 16
 
 
-def read_flows(spark: SparkSession, path: str, schema: T.StructType, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
+def text_cell(text: Column) -> Column:
+    """A text as a CSV cell that any line-wise reader gives back whole: percent-encoded, so that it
+    holds no blank, line end, quote or separator; a lone ``%`` is the empty text, no cell is NULL."""
+    return F.when(text == "", F.lit("%")).otherwise(F.url_encode(text))
+
+
+def cell_text(cell: Column) -> Column:
+    """The text of a ``text_cell``."""
+    return F.when(cell == "%", F.lit("")).otherwise(F.try_url_decode(cell))
+
+
+def read_flows(spark: SparkSession, path: str, schema: T.StructType, fmt: str | None = None, encoded: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """``(rows, bad)`` from CSV or Parquet under a declared schema.
 
     CSV: fields are matched to the trimmed header by name, in any order; a declared field that the
     header lacks raises an error, further fields are left out. Files read together share one
     header: Spark checks the first line of each when it reads it, and another one is an error. Values are trimmed, ``Inf``, ``Infinity`` and ``NaN`` parse as such, and a line
     that does not fit the schema goes to ``bad`` with its text. Bad rows are split off by a
-    filter on the same scan.
+    filter on the same scan. Text columns named in ``encoded`` were written by ``text_cell``: only
+    these keep empty texts, outer blanks and line ends.
     """
     kind = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     if kind == "parquet":
@@ -48,7 +62,7 @@ def read_flows(spark: SparkSession, path: str, schema: T.StructType, fmt: str |
     # which rows are bad does not depend on what is selected later.
     parsed = F.xxhash64(*[F.col(f.name) for f in schema.fields]) >= F.lit(-(2**63))
     bad = F.col(CORRUPT).isNotNull()
-    names = [f.name for f in schema.fields]
+    names = [cell_text(F.col(f.name)).alias(f.name) if f.name in encoded else F.col(f.name) for f in schema.fields]
     return raw.where(parsed & ~bad).select(*names), raw.where(parsed & bad).select(*names, CORRUPT)
 
 

@@ -58,3 +58,24 @@ def test_csv_scan_sets_rows_without_a_part_aside(spark, folder):
     got = entry.queries()["q_csv_scan"](spark, folder).select(*cols).collect()
     assert sorted((tuple(r) for r in got), key=repr) == sorted(cur.fetchall(), key=repr)
     assert len(got) == 3
+
+
+def test_csv_scan_gives_every_text_back(spark, folder):
+    """Empty and padded texts, line ends, quotes and separators are values as any other; NULL is none of them."""
+    texts = [None, "", " ", "A", " A", "A ", "\t", "a,b", 'a"b', '"', '""', "a\\", '\\"', "\\N", "a\nb", "\n", "\nA", "\r", "a\r\nb", "%", "%41", "+", "\u00e9\u00a0", "\u2028", "\U0001f600", "\x00", "#", "NaN", "NULL"]
+    numbers = [1.5, None, float("nan"), float("inf"), float("-inf"), -0.0, 5e-324, 1.7976931348623157e308, 0.1]
+    kinds = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    kinds += "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    rows, n = [], len(texts)
+    for i, a in enumerate(texts):
+        for j, b in enumerate([a, "F", texts[(i * 7 + 3) % n]]):
+            v = lambda k, i=i, j=j: numbers[(i + j * 2 + k) % len(numbers)]
+            rows.append(((1 << 63) - 1 - i if j else -i, [-5, 1, 2][j], [None, 53, 1][j], -(1 << 31) + i, v(0), v(1), v(2), v(3), a, b, None))
+    spark.createDataFrame(rows, kinds).write.parquet(folder + "/lineitem.parquet")
+    duckdb = pytest.importorskip("duckdb")
+    duckdb.sql(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    cur = duckdb.execute(entry.oracle_sql()["q_csv_scan"])
+    cols = [d[0] for d in cur.description]
+    got = entry.queries()["q_csv_scan"](spark, folder).select(*cols).collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, cur.fetchall()))
+    assert len(got) == len(rows)

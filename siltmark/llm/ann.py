@@ -48,6 +48,8 @@ POOL, EXPAND, STEPS, REVERSE, EXACT = 400, 64, 5, 30, 64
 PARTS = 4
 #: Rows a task handles at once.
 CHUNK = 30_000
+#: Queries a task of the search is dealt, and those it handles at once: a state grows to some 200 KB.
+QUERIES, BLOCK = 256, 32
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -287,18 +289,28 @@ def adjacency(graph: DataFrame) -> DataFrame:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(query, node, code of the query) not yet met, from a query's state and its frontier's edges."""
+    """(query, node, code of the query) not yet met, from a query's state and its frontier's edges;
+    about ``CHUNK`` rows are held at once, however many queries a batch has."""
+
+    def rows(batch: pa.RecordBatch, at: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+        of = pa.array(np.repeat(at, [len(f) for f in found]))
+        q, code = (batch.column(batch.schema.names.index(c)).take(of) for c in ("query", "qcode"))
+        return pa.RecordBatch.from_pydict({"query": q, "node": pa.array(np.concatenate(found)), "qcode": code})
+
     for batch in batches:
-        q, code, met, edges = (batch.column(batch.schema.names.index(c)) for c in ("query", "qcode", "met", "edges"))
-        out_q, out_n, out_c = [], [], []
+        met, edges = (batch.column(batch.schema.names.index(c)) for c in ("met", "edges"))
+        at, found, n = [], [], 0
         for i in range(len(batch)):
-            found = np.unique(np.concatenate([np.asarray(x, np.int64) for x in edges[i].as_py()] or [np.empty(0, np.int64)]))
-            found = found[~np.isin(found, met[i].values.to_numpy(), assume_unique=True)]
-            out_q.append(np.full(len(found), q[i].as_py(), np.int64))
-            out_n.append(found)
-            out_c += [code[i].as_py()] * len(found)
-        if out_n and sum(map(len, out_n)):
-            yield pa.RecordBatch.from_pydict({"query": pa.array(np.concatenate(out_q)), "node": pa.array(np.concatenate(out_n)), "qcode": pa.array(out_c, pa.binary())})
+            reached = np.unique(edges[i].values.flatten().to_numpy())
+            reached = reached[~np.isin(reached, met[i].values.to_numpy(), assume_unique=True)]
+            at.append(i)
+            found.append(reached)
+            n += len(reached)
+            if n >= CHUNK:
+                yield rows(batch, at, found)
+                at, found, n = [], [], 0
+        if n:
+            yield rows(batch, at, found)
 
 
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,27 +329,37 @@ _STATE = pa.schema([
 
 
 def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Take the scored nodes of a round into the pools; what was expanded is done."""
+    """Take the scored nodes of a round into the pools; what was expanded is done. ``BLOCK`` queries
+    are held at once."""
+
+    def lists(values: list[np.ndarray]) -> pa.Array:
+        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)], dtype=np.int32), pa.array(np.concatenate(values)))
+
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            new = r["found"] or []
-            ids = np.array([*r["pool"], *(x["node"] for x in new)], np.int64)
-            score = np.array([*r["score"], *(x["s"] for x in new)], np.float64)
-            done = np.array([*r["done"], *[False] * len(new)], bool)
-            open_ = np.flatnonzero(~done[: len(r["pool"])])[:EXPAND]
-            done[open_] = True
-            order = np.lexsort((ids, -score))[:POOL]
-            met = np.union1d(np.asarray(r["met"], np.int64), [x["node"] for x in new]).astype(np.int64)
-            rows.append({"query": r["query"], "qcode": r["qcode"], "pool": ids[order], "score": score[order], "done": done[order], "met": met})
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, _STATE)
+        for start in range(0, len(batch), BLOCK):
+            some = batch.slice(start, BLOCK)
+            cells = {c: some.column(some.schema.names.index(c)) for c in some.schema.names}
+            out = {c: [] for c in ("pool", "score", "done", "met")}
+            for i in range(len(some)):
+                pool, score, done, met = (cells[c][i].values.to_numpy(zero_copy_only=False) for c in out)
+                new = cells["found"][i].values
+                nodes, scores = (np.empty(0, np.int64), np.empty(0)) if new is None else (new.field(f).to_numpy() for f in ("node", "s"))
+                ids, score = np.concatenate([pool, nodes]), np.concatenate([score, scores])
+                done = np.concatenate([done, np.zeros(len(nodes), bool)])
+                done[np.flatnonzero(~done[: len(pool)])[:EXPAND]] = True
+                order = np.lexsort((ids, -score))[:POOL]
+                for c, x in zip(out, (ids[order], score[order], done[order], np.union1d(met, nodes)), strict=True):
+                    out[c].append(x)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([cells["query"], cells["qcode"], *map(lists, out.values())], schema=_STATE)
 
 
 def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
     """query (a node) and its pool of nodes, nearest first."""
     own = codes.join(queries.select(F.col("node").alias("n_")), F.col("node") == F.col("n_"), "left_semi")
     one = lambda x, kind: F.array(x).cast(kind)
+    # So many partitions that the states of one fit a worker.
+    n = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // QUERIES))
     state = own.select(
         F.col("node").alias("query"), F.col("code").alias("qcode"), one("node", "array<bigint>").alias("pool"),
         one(F.lit(float("inf")), "array<double>").alias("score"), one(F.lit(False), "array<boolean>").alias("done"), one("node", "array<bigint>").alias("met"),
@@ -345,13 +367,15 @@ def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
     for step in range(STEPS + 1):
         open_ = F.filter(F.arrays_zip("pool", "done"), lambda x: ~x["done"])
         front = state.select("query", F.explode(F.slice(F.transform(open_, lambda x: x["pool"]), 1, EXPAND)).alias("at"))
-        reached = front.join(edges, F.col("at") == F.col("node")).groupBy(F.col("query").alias("q_")).agg(F.collect_list("edges").alias("edges"))
-        grown = state.join(reached, F.col("query") == F.col("q_")).select("query", "qcode", "met", "edges")
+        reached = front.join(edges, F.col("at") == F.col("node")).select(F.col("query").alias("q_"), "edges").repartition(n, "q_")
+        reached = reached.groupBy("q_").agg(F.collect_list("edges").alias("edges"))
+        dealt = state.repartition(n, "query")
+        grown = dealt.join(reached, F.col("query") == F.col("q_")).select("query", "qcode", "met", "edges")
         found = grown.mapInArrow(task(_candidates), "query bigint, node bigint, qcode binary")
         coded = codes.select(F.col("node").alias("c_"), "code")
         scored = found.join(coded, F.col("node") == F.col("c_")).select("query", "node", "qcode", "code").mapInArrow(task(_scores), "query bigint, node bigint, s double")
-        scored = scored.groupBy(F.col("query").alias("q_")).agg(F.collect_list(F.struct("node", "s")).alias("found"))
-        state = state.join(scored, F.col("query") == F.col("q_"), "left").drop("q_").mapInArrow(task(_advance), STATE)
+        scored = scored.withColumnRenamed("query", "q_").repartition(n, "q_").groupBy("q_").agg(F.collect_list(F.struct("node", "s")).alias("found"))
+        state = dealt.join(scored, F.col("query") == F.col("q_"), "left").drop("q_").mapInArrow(task(_advance), STATE)
         state = _written(state, f"search-{step}")
         _release(codes)
     return state.select("query", "pool")

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -142,6 +143,36 @@ def test_neighbours_in_a_group_of_near_copies(spark):
     assert len(got) == 30 and hits / 20 / len(got) > 0.95
 
 
+def test_search_holds_few_queries_at_once():
+    """However many queries a batch has, a task of the search makes batches of bounded size; nothing is lost."""
+    n, wide = 100, 1500
+    rng = np.random.default_rng(2)
+    lists = [[rng.choice(9_000, 30, replace=False).tolist() for _ in range(wide // 30)] for _ in range(n)]
+    met = [sorted(rng.choice(9_000, 500, replace=False).tolist()) for _ in range(n)]
+    code = [bytes([i]) * 9 for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({"query": pa.array(range(n)), "qcode": pa.array(code), "met": pa.array(met), "edges": pa.array(lists)})
+    out = list(ann._candidates(iter([batch])))
+    assert max(map(len, out)) < ann.CHUNK + wide and len(out) > 1
+    want = {(q, v, code[q]) for q in range(n) for v in {x for e in lists[q] for x in e} - set(met[q])}
+    got = [(r["query"], r["node"], r["qcode"]) for b in out for r in b.to_pylist()]
+    assert len(got) == len(want) and set(got) == want
+
+    pool = [sorted(m[:450], key=lambda v: -v)[:400] for m in met]
+    found = [[{"node": v, "s": float(v)} for v in range(20_000 + q, 20_003 + q)] if q % 3 else None for q in range(n)]
+    state = {"query": pa.array(range(n)), "qcode": pa.array(code), "pool": pa.array(pool), "score": pa.array([list(map(float, p)) for p in pool])}
+    state |= {"done": pa.array([[True, False] * (len(p) // 2) for p in pool]), "met": pa.array(met), "found": pa.array(found)}
+    out = list(ann._advance(iter([pa.RecordBatch.from_pydict(state)])))
+    assert max(map(len, out)) <= ann.BLOCK and sum(map(len, out)) == n
+    for r in (r for b in out for r in b.to_pylist()):
+        q = r["query"]
+        new = [x["node"] for x in found[q] or []]
+        assert r["qcode"] == code[q] and r["met"] == sorted(met[q] + new)
+        assert r["pool"] == sorted(pool[q] + new, reverse=True)[: ann.POOL] and r["score"] == list(map(float, r["pool"]))
+        opened = [v for v, d in zip(pool[q], [True, False] * 200) if not d][: ann.EXPAND]
+        closed = {v for v, d in zip(pool[q], [True, False] * 200) if d} | set(opened)
+        assert r["done"] == [v in closed for v in r["pool"]]
+
+
 def test_queries_are_registered():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))

@@ -98,3 +98,15 @@ def test_large_files_are_hashed_in_stretches(spark, folder):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in held.items()}
+
+
+def test_layers_hold_hex_ids_in_half_their_digits(spark, folder):
+    import os
+
+    from siltmark.sources.tables import read_layer, write_layer
+
+    rows = spark.range(0, 50_000, 1, 2).select(F.md5(F.col("id").cast("string")).alias("row_id"), (F.col("id") % 7).cast("int").alias("label"))
+    path = write_layer(rows, folder, "interim", "ids")
+    size = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet"))
+    assert size < 22 * 50_000  # 32 digits an id hold 16 bytes
+    assert read_layer(spark, folder, "interim", "ids").exceptAll(rows).isEmpty()

@@ -358,8 +358,9 @@ def search(queries: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
     """query (a node) and its pool of nodes, nearest first."""
     own = codes.join(queries.select(F.col("node").alias("n_")), F.col("node") == F.col("n_"), "left_semi")
     one = lambda x, kind: F.array(x).cast(kind)
-    # So many partitions that the states of one fit a worker.
-    n = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // QUERIES))
+    # So many partitions that the states of one fit a worker, and no more than fill one with a block.
+    n_own = own.count()
+    n = max(1, -(-n_own // QUERIES), min(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_own // BLOCK)))
     state = own.select(
         F.col("node").alias("query"), F.col("code").alias("qcode"), one("node", "array<bigint>").alias("pool"),
         one(F.lit(float("inf")), "array<double>").alias("score"), one(F.lit(False), "array<boolean>").alias("done"), one("node", "array<bigint>").alias("met"),
